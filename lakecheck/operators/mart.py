@@ -11,6 +11,7 @@ from lakecheck.functions.exprs import instant
 
 # Sums run over exact decimals, so a result does not depend on how tasks split the rows.
 MARGIN_TYPE = "decimal(18,6)"
+MARGIN_TOTAL = "decimal(28,6)"
 MONEY_TYPE = "decimal(28,2)"
 
 
@@ -62,7 +63,7 @@ def customer_metrics(full_orders: DataFrame, by: tuple[str, ...] = ("customer_id
         revenue.alias("total_revenue"),
         _mean(revenue, F.count("total_amount"), 4).alias("avg_order_value"),
         F.max("order_date").alias("last_order_date"),
-        _mean(F.sum(margin), F.count(margin), 4).alias("avg_profit_margin"),
+        _mean(F.sum(margin).cast(MARGIN_TOTAL), F.count(margin), 4).alias("avg_profit_margin"),
     )
 
 
@@ -121,7 +122,7 @@ def customer_order_summary(
             revenue.alias("total_revenue"),
             _mean(revenue, F.sum("amounts"), 4).alias("avg_order_value"),
             F.max("last_order_date").alias("last_order_date"),
-            _mean(F.sum("margin"), F.sum("margins"), 4).alias("avg_profit_margin"),
+            _mean(F.sum("margin").cast(MARGIN_TOTAL), F.sum("margins"), 4).alias("avg_profit_margin"),
             F.min_by("category", rank).alias("top_category"),
         )
     )
@@ -131,5 +132,8 @@ def customer_order_summary(
 
 
 def _mean(total: Column, count: Column, digits: int) -> Column:
-    """Decimal division, so that ties round half up."""
+    """Decimal division, so that ties round half up.
+
+    The total must leave digits for the fraction: decimal(38,s) / bigint would keep only six.
+    """
     return F.round(F.try_divide(total, count), digits).cast("double")
