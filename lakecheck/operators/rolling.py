@@ -46,17 +46,16 @@ def rolling_zscore_days(
 ) -> DataFrame:
     """z-score of each of the last days against the calendar days before it.
 
-    Mean and deviation are rounded before z is formed. The window has no partition key: ``daily`` holds
+    Mean and deviation are rounded before z is formed, the mean from exact decimals. The window has no partition key: ``daily`` holds
     one row per day.
     """
     recent = daily.filter(between_days(daily, day, as_of - timedelta(days=days + last), as_of))
     past = Window.orderBy(F.unix_date(F.col(day))).rangeBetween(-days, -1)
     x = F.col(value).cast("double")
+    mean = F.round(F.avg(F.col(value).cast("decimal(24,4)")).over(past), digits).cast("double")
     z = F.when(F.col("stddev") > 0, F.round((x - F.col("mean")) / F.col("stddev"), 2)).otherwise(0.0)
     scored = (
-        recent.withColumns(
-            {"mean": F.round(F.avg(x).over(past), digits), "stddev": F.round(F.stddev_samp(x).over(past), 2)}
-        )
+        recent.withColumns({"mean": mean, "stddev": F.round(F.stddev_samp(x).over(past), 2)})
         .filter(F.col(day) >= F.lit(as_of - timedelta(days=last)))
         .filter(F.col("mean").isNotNull())
         .withColumn("z_score", z)

@@ -10,7 +10,7 @@ from lakecheck.functions.exprs import money
 from lakecheck.operators import keys, mart, rolling
 from lakecheck.plans.inputs import EVENTS_DAY, ORDERS_DAY, Inputs
 from lakecheck.plans.mart_queries import FULL, full_orders
-from lakecheck.plans.registry import query
+from lakecheck.plans.registry import mean, query
 
 
 @query(
@@ -42,15 +42,14 @@ def _(t: Inputs):
     return rolling.rolling_zscore_rows(counts, ["inactive_reason"], "load_date")
 
 
-def z_days(daily: str, value: str, day: str, digits: int) -> str:
+def z_days(daily: str, value: str, day: str, scale: int) -> str:
     return f"""WITH d AS ({daily}),
-        r AS (SELECT load_date, {value}, round((SELECT avg(CAST(x.{value} AS DOUBLE)) FROM d x
-                     WHERE x.load_date >= d.load_date - 30 AND x.load_date < d.load_date), {digits}) AS mean,
-                     round((SELECT stddev_samp(CAST(x.{value} AS DOUBLE)) FROM d x
-                     WHERE x.load_date >= d.load_date - 30 AND x.load_date < d.load_date), 2) AS stddev
-              FROM d WHERE load_date BETWEEN {day} - 7 AND {day}),
-        z AS (SELECT *, CASE WHEN stddev > 0 THEN round((CAST({value} AS DOUBLE) - mean) / stddev, 2) ELSE 0.0 END AS z_score FROM r
-              WHERE mean IS NOT NULL)
+        b AS (SELECT d.load_date, any_value(d.{value}) AS {value}, sum(x.{value}) AS total, count(x.{value}) AS n,
+                     round(stddev_samp(CAST(x.{value} AS DOUBLE)), 2) AS stddev
+              FROM d JOIN d x ON x.load_date >= d.load_date - 30 AND x.load_date < d.load_date
+              WHERE d.load_date BETWEEN {day} - 7 AND {day} GROUP BY d.load_date),
+        r AS (SELECT load_date, {value}, {mean("total", "n", scale, scale)} AS mean, stddev FROM b),
+        z AS (SELECT *, CASE WHEN stddev > 0 THEN round((CAST({value} AS DOUBLE) - mean) / stddev, 2) ELSE 0.0 END AS z_score FROM r)
         SELECT *, CASE WHEN abs(z_score) >= 3 THEN 'CRITICAL' WHEN abs(z_score) >= 2 THEN 'WARNING' ELSE 'NORMAL' END AS z_flag FROM z"""
 
 

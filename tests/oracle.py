@@ -50,3 +50,21 @@ def difference(spark, con, name: str, sf_dir: str) -> str | None:
         if a != b:
             return f"columns {sorted(names)}\n  {a}\n  {b}"
     return None
+
+
+SPARK_NAMES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "DOUBLE": "double",
+    "VARCHAR": "string",
+    "DATE": "date",
+    "TIMESTAMP": "timestamp_ntz",
+    "BOOLEAN": "boolean",
+}
+
+
+def type_difference(spark, con, name: str, sf_dir: str) -> dict:
+    """Columns whose types differ between both sides."""
+    mine = dict(QUERIES[name](spark, sf_dir).dtypes)
+    theirs = {r[0]: SPARK_NAMES.get(r[1], r[1].lower()) for r in con.execute(f"DESCRIBE {ORACLES[name]}").fetchall()}
+    return {c: (mine.get(c), theirs.get(c)) for c in mine.keys() | theirs.keys() if mine.get(c) != theirs.get(c)}
