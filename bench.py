@@ -98,6 +98,8 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.driver.memory": "16g",
             "spark.log.level": "ERROR",
+            # no call-site capture per column expression while plans are built
+            "spark.python.sql.dataFrameDebugging.enabled": "false",
         },
     )
     seconds = {name: timed(lambda name=name: drain(QUERIES[name](spark, SF_DIR))) for name in HEADLINE}

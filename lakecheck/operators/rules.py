@@ -6,6 +6,7 @@ reference rules first reduce the table to one row per value, so no value group i
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from dataclasses import dataclass
 from datetime import date, datetime
@@ -46,20 +47,26 @@ class Rule:
         return (self.column,) if isinstance(self.column, str) else tuple(self.column)
 
 
+RULE_FIELDS = (
+    "position INT, database_name STRING, table_name STRING, column_name STRING, rule_name STRING, "
+    "rule_type STRING, severity STRING, expected_constraint STRING"
+)
+# position in the rule list, the rule, and the condition of a failing row
+Entry = tuple[int, Rule, Column | None]
+
+
 def evaluate_rules(
     frames: dict[str, DataFrame], rules: list[Rule], run_id: str, as_of: datetime | date, suite: str = ""
 ) -> DataFrame:
     """One audit row per rule. A rule that does not resolve against its table becomes an ERROR row."""
     counted, broken = [], []
-    by_table: dict[str, list[tuple[int, Rule, Column]]] = defaultdict(list)
+    by_table: dict[str, list[Entry]] = defaultdict(list)
     for position, rule in enumerate(rules):
         try:
             kind = rule.rule_type.upper()
             if kind in ROW_TYPES:
-                bad = _bad_row(rule)
-                if bad is not None:
-                    frames[rule.table].select(bad)
-                by_table[rule.table].append((position, rule, bad))
+                frames[rule.table]
+                by_table[rule.table].append((position, rule, _bad_row(rule)))
             elif kind == "UNIQUENESS":
                 counted.append(_uniqueness(frames[rule.table], rule, position))
             elif kind == "REFERENTIAL":
@@ -71,7 +78,9 @@ def evaluate_rules(
         except (KeyError, ValueError) as exc:
             broken.append((position, str(exc.args[0])[:500]))
     for table, entries in by_table.items():
-        counted.append(_one_pass(frames[table], entries))
+        passed, errors = _isolated(frames[table], entries)
+        counted += passed
+        broken += errors
 
     spark = next(iter(frames.values())).sparkSession
     if broken:
@@ -91,6 +100,25 @@ def evaluate_rules(
     return _audit_rows(results, rules, run_id, as_of, suite)
 
 
+def _isolated(df: DataFrame, entries: list[Entry]) -> tuple[list[DataFrame], list[tuple[int, str]]]:
+    """The one pass over a table, and the errors of rules that do not resolve against it.
+
+    All rules are analysed together; only if that fails is each one tried alone.
+    """
+    try:
+        return [_one_pass(df, entries)], []
+    except AnalysisException:
+        pass
+    sound, errors = [], []
+    for entry in entries:
+        try:
+            _one_pass(df, [entry])
+            sound.append(entry)
+        except AnalysisException as exc:
+            errors.append((entry[0], exc.getCondition() or "ANALYSIS_ERROR"))
+    return ([_one_pass(df, sound)] if sound else []), errors
+
+
 def _bad_row(rule: Rule) -> Column | None:
     """The condition a failing row meets; None for a count rule."""
     kind = rule.rule_type.upper()
@@ -116,34 +144,27 @@ def _bad_row(rule: Rule) -> Column | None:
     return ~value.cast("string").rlike(rule.pattern)
 
 
-def _one_pass(df: DataFrame, entries: list[tuple[int, Rule, Column | None]]) -> DataFrame:
+def _one_pass(df: DataFrame, entries: list[Entry]) -> DataFrame:
     """All row rules of one table: a single aggregate, then one output row per rule."""
-    measures = [F.count(F.lit(1)).alias("total")]
-    for position, rule, bad in entries:
-        if bad is None:
-            continue
-        measures.append(F.count_if(bad).alias(f"failed_{position}"))
-        if rule.columns:
-            measures.append(F.min(F.when(bad, _shown(rule))).alias(f"sample_{position}"))
-    totals = df.agg(*measures)
-    rows = []
+    marked, measures, rows = [], ["count(1) AS total"], []
     for position, rule, bad in entries:
         if bad is None:
             # an empty table that should hold rows fails, although it has no row to count
-            holds = F.expr(f"total {rule.operator} {int(rule.threshold)}")
-            failed = F.when(holds, F.lit(0)).otherwise(F.greatest(F.col("total"), F.lit(1)))
+            failed = f"if(total {rule.operator} {int(rule.threshold)}, 0, greatest(total, 1))"
         else:
-            failed = F.col(f"failed_{position}")
-        sample = F.col(f"sample_{position}") if bad is not None and rule.columns else F.lit(None)
+            failed = f"failed_{position}"
+            marked.append(bad.alias(f"bad_{position}"))
+            measures.append(f"count_if(bad_{position}) AS {failed}")
+        sample = "NULL"
+        if bad is not None and rule.columns:
+            # the smallest failing value in its own type; turned into text only when reported
+            sample = f"sample_{position}"
+            marked.append(_sample(rule).alias(f"value_{position}"))
+            measures.append(f"min(if(bad_{position}, value_{position}, NULL)) AS {sample}")
         rows.append(
-            F.struct(
-                F.lit(position).alias("position"),
-                failed.cast("bigint").alias("failed"),
-                F.col("total").alias("total"),
-                sample.cast("string").alias("sample"),
-            )
+            f"struct({position} AS position, CAST({failed} AS BIGINT) AS failed, total, CAST({sample} AS STRING) AS sample)"
         )
-    return totals.select(F.inline(F.array(*rows)))
+    return df.select(*marked).selectExpr(*measures).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _uniqueness(df: DataFrame, rule: Rule, position: int) -> DataFrame:
@@ -153,7 +174,7 @@ def _uniqueness(df: DataFrame, rule: Rule, position: int) -> DataFrame:
         F.lit(position).alias("position"),
         F.coalesce(F.sum(F.when(repeated, F.col("n") - 1)), F.lit(0)).alias("failed"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.min(F.when(repeated, _shown(rule))).alias("sample"),
+        F.min(F.when(repeated, _sample(rule))).cast("string").alias("sample"),
     )
 
 
@@ -167,24 +188,37 @@ def _referential(df: DataFrame, ref: DataFrame, rule: Rule, position: int) -> Da
         F.lit(position).alias("position"),
         F.coalesce(F.sum(F.when(orphan, F.col("n"))), F.lit(0)).alias("failed"),
         F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.min(F.when(orphan, F.col("v").cast("string"))).alias("sample"),
+        F.min(F.when(orphan, F.col("v"))).cast("string").alias("sample"),
     )
 
 
-def _shown(rule: Rule) -> Column:
+def _sample(rule: Rule) -> Column:
+    """What to show of a failing row."""
     if len(rule.columns) == 1:
-        return F.col(rule.columns[0]).cast("string")
+        return F.col(rule.columns[0])
     return F.concat_ws("^", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in rule.columns])
 
 
 def _audit_rows(results: DataFrame, rules: list[Rule], run_id: str, as_of, suite: str) -> DataFrame:
-    described = results.sparkSession.createDataFrame(
-        [
-            (i, r.database, r.table, ",".join(r.columns), r.rule_name, r.rule_type.upper(), r.severity, r.constraint)
-            for i, r in enumerate(rules)
-        ],
-        "position int, database_name string, table_name string, column_name string, rule_name string, "
-        "rule_type string, severity string, expected_constraint string",
+    described = results.sparkSession.sql(
+        f"SELECT inline(from_json(:rules, 'ARRAY<STRUCT<{RULE_FIELDS}>>'))",
+        args={
+            "rules": json.dumps(
+                [
+                    dict(
+                        position=i,
+                        database_name=r.database,
+                        table_name=r.table,
+                        column_name=",".join(r.columns),
+                        rule_name=r.rule_name,
+                        rule_type=r.rule_type.upper(),
+                        severity=r.severity,
+                        expected_constraint=r.constraint,
+                    )
+                    for i, r in enumerate(rules)
+                ]
+            )
+        },
     )
     status = (
         F.when(F.col("error_message").isNotNull(), "ERROR").when(F.col("failed") == 0, "PASS").otherwise("FAIL")

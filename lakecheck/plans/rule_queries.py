@@ -24,21 +24,21 @@ RULES = [
 COUNTS = {
     "order_has_customer": f"SELECT {n_if('customer_id IS NULL')} AS failed, CAST(NULL AS VARCHAR) AS sample, count(*) AS total FROM orders_q",
     "balance_range": f"""SELECT {n_if("c_acctbal NOT BETWEEN 0 AND 9000")} AS failed,
-        min(CAST(c_acctbal AS VARCHAR)) FILTER (WHERE c_acctbal NOT BETWEEN 0 AND 9000) AS sample, count(*) AS total FROM customer""",
+        CAST(min(c_acctbal) FILTER (WHERE c_acctbal NOT BETWEEN 0 AND 9000) AS VARCHAR) AS sample, count(*) AS total FROM customer""",
     "status_code": f"""SELECT {n_if("NOT regexp_matches(status_code, '^[FOP]$')")} AS failed,
         min(status_code) FILTER (WHERE NOT regexp_matches(status_code, '^[FOP]$')) AS sample, count(*) AS total FROM orders_q""",
     "line_unique": """SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS failed, min(v) FILTER (WHERE n > 1) AS sample,
         CAST(sum(n) AS BIGINT) AS total
         FROM (SELECT CAST(l_orderkey AS VARCHAR) || '^' || CAST(l_linenumber AS VARCHAR) AS v, count(*) AS n FROM lineitem GROUP BY 1)""",
-    "order_unique": """SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS failed, min(CAST(v AS VARCHAR)) FILTER (WHERE n > 1) AS sample,
+    "order_unique": """SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS failed, CAST(min(v) FILTER (WHERE n > 1) AS VARCHAR) AS sample,
         CAST(sum(n) AS BIGINT) AS total FROM (SELECT order_id AS v, count(*) AS n FROM orders_q GROUP BY 1)""",
     "customer_known": f"""SELECT {n_if("fk_customer IS NOT NULL AND c_custkey IS NULL")} AS failed,
-        min(CAST(fk_customer AS VARCHAR)) FILTER (WHERE c_custkey IS NULL) AS sample, count(*) AS total
+        CAST(min(fk_customer) FILTER (WHERE c_custkey IS NULL) AS VARCHAR) AS sample, count(*) AS total
         FROM orders_q LEFT JOIN customer ON fk_customer = c_custkey""",
     "enough_orders": "SELECT CAST(0 AS BIGINT) AS failed, CAST(NULL AS VARCHAR) AS sample, count(*) AS total FROM orders_q",
     "too_few_orders": "SELECT count(*) AS failed, CAST(NULL AS VARCHAR) AS sample, count(*) AS total FROM orders_q",
     "deep_discount": f"""SELECT {n_if("l_quantity > 45 AND l_discount >= 0.09")} AS failed,
-        min(CAST(l_linenumber AS VARCHAR)) FILTER (WHERE l_quantity > 45 AND l_discount >= 0.09) AS sample, count(*) AS total FROM lineitem""",
+        CAST(min(l_linenumber) FILTER (WHERE l_quantity > 45 AND l_discount >= 0.09) AS VARCHAR) AS sample, count(*) AS total FROM lineitem""",
 }
 
 
