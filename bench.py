@@ -102,6 +102,8 @@ def main() -> None:
             "spark.python.sql.dataFrameDebugging.enabled": "false",
         },
     )
+    for _ in range(3):  # the session itself is cold at first
+        drain(QUERIES[HEADLINE[0]](spark, SF_DIR))
     seconds = {name: timed(lambda name=name: drain(QUERIES[name](spark, SF_DIR))) for name in HEADLINE}
     seconds["twenty_rules_one_pass"] = timed(lambda: twenty_rules(spark, True))
     seconds["twenty_rules_twenty_passes"] = timed(lambda: twenty_rules(spark, False))

@@ -32,6 +32,11 @@ def between_days(df: DataFrame, column: str, first: date, last: date) -> Column:
     return (F.col(column) >= instant(first)) & (F.col(column) < instant(last + timedelta(days=1)))
 
 
+def from_day(df: DataFrame, column: str, first: date) -> Column:
+    first = F.lit(first) if isinstance(df.schema[column].dataType, T.DateType) else instant(first)
+    return F.col(column) >= first
+
+
 def on_day(df: DataFrame, column: str, day: date) -> Column:
     return between_days(df, column, day, day)
 

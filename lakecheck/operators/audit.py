@@ -277,8 +277,9 @@ def dimension_of(check_type: str = "check_type", name: str = "validation_name")
 
 
 def check_id() -> Column:
-    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    return F.coalesce(blank("validation_name"), blank("source_label"), F.col("event_type"))
+    """The first of name, source and event type that is not blank."""
+    name, source = (F.nullif(F.trim(F.col(c)), F.lit("")) for c in ("validation_name", "source_label"))
+    return F.coalesce(name, source, F.col("event_type"))
 
 
 def scorecard(audit: DataFrame) -> DataFrame:

@@ -114,8 +114,13 @@ def data_diff_summary(
     """Row counts, differing keys by kind, repeated keys and status."""
     grouped = _by_key(a, b, list(keys), list(columns), case_sensitive, null_as_empty)
     kinds = {"only_in_a": "only_in_a", "only_in_b": "only_in_b", "value_mismatches": "mismatch"}
-    rows = lambda c: F.coalesce(F.sum(c), F.lit(0))
-    repeats = lambda c: rows(F.greatest(F.col(c) - 1, F.lit(0)))
+
+    def rows(c: str | Column) -> Column:
+        return F.coalesce(F.sum(c), F.lit(0))
+
+    def repeats(c: str) -> Column:
+        return rows(F.greatest(F.col(c) - 1, F.lit(0)))
+
     return grouped.agg(
         rows("rows_a").alias("rows_a"),
         rows("rows_b").alias("rows_b"),

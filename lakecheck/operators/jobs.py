@@ -81,10 +81,10 @@ def latest_status(runs: DataFrame, as_of: datetime, jobs: DataFrame | None = Non
     )
 
 
-def _spent(within: Column, digits: int = 2) -> Column:
+def _spent(within: Column, digits: int = 2, factor: float = 1.0) -> Column:
     """Cost from exact DPU seconds, rounded once."""
     seconds = F.sum(F.when(within, F.coalesce(F.col("dpu_seconds"), F.lit(0))))
-    return F.round(dpu_cost(F.coalesce(seconds, F.lit(0))), digits)
+    return F.round(dpu_cost(F.coalesce(seconds, F.lit(0))) * F.lit(factor), digits)
 
 
 def day_stats(runs: DataFrame, as_of: datetime) -> DataFrame:
@@ -183,13 +183,16 @@ def health_score(runs: DataFrame, as_of: datetime, zone: str = DEADLINE_ZONE) ->
 def scorecard(runs: DataFrame, as_of: datetime, zone: str = DEADLINE_ZONE) -> DataFrame:
     """Fleet totals. The mean score is cut to a whole number."""
     scored = health_score(runs, as_of, zone)
-    seconds = lambda within: F.coalesce(F.sum(F.when(within, F.col("dpu_seconds"))), F.lit(0))
-    week = until(runs, as_of).filter(younger_than(as_of, days=7))
-    spend = week.agg(
-        F.count_if(younger_than(as_of, days=1)).alias("runs_24h"),
-        F.round(dpu_cost(seconds(younger_than(as_of, days=1))), 2).alias("cost_today"),
-        F.round(dpu_cost(seconds(F.lit(True))), 2).alias("cost_7_days"),
-        F.round(dpu_cost(seconds(F.lit(True))) * 30.0 / 7.0, 2).alias("projected_monthly"),
+    recent, always = younger_than(as_of, days=1), F.lit(True)
+    spend = (
+        until(runs, as_of)
+        .filter(younger_than(as_of, days=7))
+        .agg(
+            F.count_if(recent).alias("runs_24h"),
+            _spent(recent).alias("cost_today"),
+            _spent(always).alias("cost_7_days"),
+            _spent(always, factor=30.0 / 7.0).alias("projected_monthly"),
+        )
     )
     state, sla = F.col("status"), F.col("sla_status")
     fleet = scored.agg(

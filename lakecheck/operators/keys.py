@@ -96,14 +96,24 @@ def missing_count(a: DataFrame, b: DataFrame, key_a: Column, key_b: Column) -> D
     return counted.join(known, "_key", "left_anti").agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("cnt"))
 
 
+def key_presence(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Distinct keys with the sides they occur on; NULL equals NULL.
+
+    One aggregation over both sides, combined before the shuffle, in place of a join.
+    """
+    sides = [df.select(*keys, F.lit(side).alias("_in_a")) for df, side in ((a, True), (b, False))]
+    in_a, in_b = F.bool_or("_in_a"), F.bool_or(~F.col("_in_a"))
+    return sides[0].unionByName(sides[1]).groupBy(*keys).agg(in_a.alias("_in_a"), in_b.alias("_in_b"))
+
+
 def keys_only_in(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct keys of ``a`` that ``b`` does not hold; NULL equals NULL."""
-    return a.select(*keys).subtract(b.select(*keys))
+    """Distinct keys of ``a`` that ``b`` does not hold."""
+    return key_presence(a, b, keys).filter(F.col("_in_a") & ~F.col("_in_b")).select(*keys)
 
 
 def keys_common(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Distinct keys present on both sides; NULL equals NULL."""
-    return a.select(*keys).intersect(b.select(*keys))
+    """Distinct keys present on both sides."""
+    return key_presence(a, b, keys).filter(F.col("_in_a") & F.col("_in_b")).select(*keys)
 
 
 def latest_rows(df: DataFrame, day: str, category: str | None = None) -> DataFrame:

@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakecheck.functions.exprs import between_days, money, on_day
+from lakecheck.functions.exprs import between_days, from_day, money, on_day
 
 
 def last_days(df: DataFrame, as_of: date, days: int = 30, column: str = "load_date") -> DataFrame:
     """Rows from ``as_of - days`` on, open at the end."""
-    return df.filter(between_days(df, column, as_of - timedelta(days=days), date(9999, 12, 30)))
+    return df.filter(from_day(df, column, as_of - timedelta(days=days)))
 
 
 def counts_by(

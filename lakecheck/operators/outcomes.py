@@ -38,13 +38,15 @@ def similar_outcomes(failures: DataFrame, outcomes: DataFrame, k: int = 10) -> D
         ranked = past.withColumn("_rn", F.row_number().over(Window.partitionBy(column).orderBy(*newest)))
         return ranked.filter(F.col("_rn") <= k).drop("_rn")
 
-    pairs = failures.select("rule_name", "table_name").distinct()
-    by_rule = pairs.join(newest_by("past_rule"), F.col("rule_name") == F.col("past_rule"))
-    by_table = pairs.join(newest_by("past_table"), F.col("table_name") == F.col("past_table"))
-    either = by_rule.unionByName(by_table).dropDuplicates(["rule_name", "table_name", "outcome_id"])
-    own = Window.partitionBy("rule_name", "table_name").orderBy(*newest)
-    chosen = either.withColumn("similar_rank", F.row_number().over(own)).filter(F.col("similar_rank") <= k)
-    return failures.select("record_id", "rule_name", "table_name").join(chosen, ["rule_name", "table_name"])
+    pairs = failures.select(F.col("rule_name").alias("_rule"), F.col("table_name").alias("_table")).distinct()
+    by_rule = pairs.join(newest_by("past_rule"), F.col("_rule") == F.col("past_rule"))
+    by_table = pairs.join(newest_by("past_table"), F.col("_table") == F.col("past_table"))
+    own = Window.partitionBy("_rule", "_table").orderBy(*newest)
+    ranked = by_rule.union(by_table).distinct().withColumn("similar_rank", F.row_number().over(own))
+    chosen = ranked.filter(F.col("similar_rank") <= k)
+    # a failure may lack the rule or the table and still match by the other
+    same = F.col("rule_name").eqNullSafe(F.col("_rule")) & F.col("table_name").eqNullSafe(F.col("_table"))
+    return failures.select("record_id", "rule_name", "table_name").join(chosen, same).drop("_rule", "_table")
 
 
 def batch_summary(failures: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import timedelta
 
 from pyspark.sql import functions as F
 
+from lakecheck.functions.exprs import from_day
 from lakecheck.operators import checks, keys, mart, policies
 from lakecheck.plans.inputs import EVENTS_DAY, EVENTS_NOW, ORDERS_DAY, Inputs
 from lakecheck.plans.registry import n_if, passes, pct, query
@@ -156,7 +157,7 @@ def share(limit: float) -> str:
         FROM orders_q WHERE CAST(load_ts AS DATE) >= {DAY} - 365) SELECT total, invalid_count, {share(0.20)} FROM c""",
 )
 def _(t: Inputs):
-    year = keys.within_days(t.orders_q, "load_ts", ORDERS_DAY - timedelta(days=365), date(9999, 12, 30))
+    year = t.orders_q.filter(from_day(t.orders_q, "load_ts", ORDERS_DAY - timedelta(days=365)))
     return checks.percent_threshold(year, checks.is_not_allowed("status_code", ["F", "O"]), 0.20)
 
 
@@ -299,7 +300,7 @@ def balances(t: Inputs):
         f"""SELECT '{c}' AS column_name, {n_if(f"{c} = 'N'")} AS failing_rows, {passes(n_if(f"{c} = 'N'") + " = 0")} AS status
             FROM ({BALANCES}) b{i}"""
         for i, c in enumerate(["add_balanced", "deduct_balanced"])
-    ).replace("FROM movements", "FROM movements"),
+    ),
 )
 def _(t: Inputs):
     return checks.failing_values(balances(t), "BALANCED", "N")
