@@ -93,13 +93,11 @@ def customer_order_summary(
     Order lines are first reduced to one row per (customer, category) with partial sums, so a customer
     who owns a large share of the lines is combined on the map side and never meets the customer join
     row by row. Metrics and top category then come from the same second aggregation, which saves a
-    second pass over the joined lines, the ranking window and the join back.
+    second pass over the joined lines, the ranking window and the join back. The margin depends on the
+    product alone and is worked out once per product.
     """
-    lines = with_products(
-        completed_since(orders, since).select("customer_id", "product_id", "order_id", "order_date", "quantity", "total_amount"),
-        active_only(products),
-    )
-    margin = profit_margin().cast(MARGIN_TYPE)
+    items = active_only(products).select("product_id", "category", profit_margin().cast(MARGIN_TYPE).alias("margin"))
+    lines = completed_since(orders, since).join(items, "product_id", "left")
     partial = lines.groupBy("customer_id", "category").agg(
         F.count(F.lit(1)).alias("lines"),
         F.count("order_id").alias("orders"),
@@ -107,8 +105,8 @@ def customer_order_summary(
         F.sum("total_amount").alias("amount"),
         F.count("total_amount").alias("amounts"),
         F.max("order_date").alias("last_order_date"),
-        F.sum(margin).alias("margin"),
-        F.count(margin).alias("margins"),
+        F.sum("margin").alias("margin"),
+        F.count("margin").alias("margins"),
     )
     rank = F.struct(-F.col("lines"), F.col("category").isNull(), F.col("category"))
     people = active_only(customers).select("customer_id", "customer_name", "region")
