@@ -98,7 +98,7 @@ def union_events(shapes: dict[str, DataFrame], layer: str | None = None) -> Data
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
-def is_latest_failure(
+def latest_failures(
     rule_rows: DataFrame, since_ts: Column, run_id: str | None = None, suite: str | None = None, limit: int = 500
 ) -> DataFrame:
     """Newest failed rule rows, as a top-k."""

@@ -11,8 +11,12 @@ SMALL_SIDE_ROWS = 100_000
 def broadcast_if_small(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     """Mark ``df`` for broadcast only after counting at most ``max_rows + 1`` of its rows.
 
-    Meant for narrow lookup sides made by an aggregate, whose size Spark cannot estimate. Above the
-    bound the frame is returned as it is, and the join shuffles with adaptive skew handling.
+    Meant for narrow lookup sides made by an aggregate, whose size Spark cannot estimate. The counted rows
+    are kept, so the aggregate runs once. Above the bound the frame is returned as it is, and the join
+    shuffles with adaptive skew handling.
     """
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    counted = df.persist()
+    if counted.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(counted)
+    counted.unpersist()
+    return df

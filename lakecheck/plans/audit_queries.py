@@ -24,6 +24,11 @@ def cost(digits: int) -> str:
     return f"CAST(round({COST}, {digits}) AS DOUBLE)"
 
 
+def case_like(column: str, patterns) -> str:
+    likes = [" OR ".join(f"{column} LIKE '{p}'" for p in group) for group, _ in patterns]
+    return "CASE " + " ".join(f"WHEN {like} THEN '{label}'" for like, (_, label) in zip(likes, patterns)) + " ELSE 'Other' END"
+
+
 def since(days: int) -> str:
     return f"run_date >= CAST(DATE '{EVENTS_DAY}' - {days} AS VARCHAR)"
 
@@ -74,7 +79,7 @@ query(
 def _(t: Inputs):
     status_ = F.when(F.col("classification") == "TRUE_FAILURE", "FAIL").otherwise("PASS")
     day_before = instant(EVENTS_NOW.replace(day=EVENTS_NOW.day - 1))
-    newest = audit.is_latest_failure(t.failures.withColumn("status", status_), day_before)
+    newest = audit.latest_failures(t.failures.withColumn("status", status_), day_before)
     return newest.select("record_id", "rule_name", "failure_timestamp")
 
 
@@ -154,10 +159,7 @@ query(
 RATE_BY = f"count(*) AS total_checks, {status('PASS')} AS passed, {pct(status('PASS'), 'count(*)')} AS pass_rate"
 query(
     "dash_pass_rate_by_layer",
-    f"""SELECT CASE WHEN source_label LIKE '%staging%' OR source_label LIKE '%stg%' THEN 'Staging'
-        WHEN source_label LIKE '%datalake%' OR source_label LIKE '%dl%' THEN 'DataLake' WHEN source_label LIKE '%base%' THEN 'Base'
-        WHEN source_label LIKE '%master%' THEN 'Master' ELSE 'Other' END AS layer, {RATE_BY}
-        FROM audit WHERE {CHECKS} AND {since(7)} GROUP BY 1""",
+    f"SELECT {case_like('source_label', audit.LAYER_PATTERNS)} AS layer, {RATE_BY} FROM audit WHERE {CHECKS} AND {since(7)} GROUP BY 1",
 )(lambda t: audit.pass_rate_by_layer(t.audit, EVENTS_DAY))
 query(
     "dash_quality_dimensions",

@@ -45,6 +45,6 @@ def compact(
     else:
         target = F.pmod(F.col("_position"), F.lit(total)).cast("int")
     spread = rows.withColumn("_target", target).repartitionById(int(total), "_target").select(*columns)
-    writer = spread.write.mode("overwrite")
+    writer = spread.write.mode("overwrite").option("partitionOverwriteMode", "static")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(out)
     return spark.read.parquet(out)

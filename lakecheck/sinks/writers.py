@@ -16,17 +16,18 @@ REPORT_ROWS = 100_000
 
 def overwrite(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
     """Replace the whole target."""
-    _partitioned(df.write.mode("overwrite").option("partitionOverwriteMode", "static"), partition_by).parquet(path)
+    writer = _sized(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "static")
+    _partitioned(writer, partition_by).parquet(path)
 
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """Replace only the partitions that ``df`` has rows for."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer = _sized(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     _partitioned(writer, partition_by).parquet(path)
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
-    _partitioned(df.write.mode("append"), partition_by).parquet(path)
+    _partitioned(_sized(df, partition_by).write.mode("append"), partition_by).parquet(path)
 
 
 def append_to_table(df: DataFrame, table: str) -> None:
@@ -38,7 +39,7 @@ def append_to_table(df: DataFrame, table: str) -> None:
 def create_table_as(
     df: DataFrame, table: str, partition_by: list[str] = (), format_: str = "parquet", path: str | None = None
 ) -> DataFrame:
-    writer = _partitioned(df.write.format(format_).mode("errorifexists"), partition_by)
+    writer = _partitioned(_sized(df, partition_by).write.format(format_).mode("errorifexists"), partition_by)
     if path:
         writer = writer.option("path", path)
     writer.saveAsTable(table)
@@ -79,11 +80,22 @@ def write_rule_rows(df: DataFrame, root: str) -> None:
 
 def write_csv_report(df: DataFrame, path: str, order: list[str], single_file_rows: int = REPORT_ROWS) -> None:
     """A sorted CSV export: one file if the result is small, else range-sorted part files. Nothing is cut."""
-    if df.limit(single_file_rows + 1).count() <= single_file_rows:
-        parts = df.coalesce(1).sortWithinPartitions(*order)
-    else:
-        parts = df.orderBy(*order)
-    parts.write.mode("overwrite").option("header", True).csv(path)
+    counted = df.persist()
+    try:
+        small = counted.limit(single_file_rows + 1).count() <= single_file_rows
+        parts = counted.coalesce(1).sortWithinPartitions(*order) if small else counted.orderBy(*order)
+        parts.write.mode("overwrite").option("header", True).csv(path)
+    finally:
+        counted.unpersist()
+
+
+def _sized(df: DataFrame, partition_by: list[str]) -> DataFrame:
+    """Bring the rows of a partition folder together before a partitioned write.
+
+    Without it every task would write a file into every folder. Adaptive execution splits a folder that
+    holds much of the data and merges small ones, so one frequent value does not end in one task.
+    """
+    return df.hint("rebalance", *partition_by) if partition_by else df
 
 
 def _partitioned(writer, partition_by):

@@ -145,6 +145,20 @@ def test_dynamic_overwrite_touches_only_its_partitions(spark, tmp_path):
     assert rows(spark.read.parquet(path), "v", "p") == [(4, "c")]
 
 
+def test_partitioned_write_makes_few_files_but_splits_a_hot_folder(spark, tmp_path):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes",)}
+    df = spark.range(0, 400_000, 1, 16).select("id", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 5).cast("string")).alias("p"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "256k")
+    try:
+        writers.overwrite(df, str(tmp_path / "t"), ["p"])
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    files_of = {d: len(list((tmp_path / "t" / d).glob("*.parquet"))) for d in os.listdir(tmp_path / "t") if d.startswith("p=")}
+    assert files_of["p=hot"] > 1 and sum(files_of.values()) < 16 * len(files_of)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 400_000
+
+
 def test_staging_table_goes_away_but_never_someone_elses(spark, tmp_path):
     df = spark.range(3)
     with writers.staging_table(df, "lakecheck_staging", path=str(tmp_path / "s")) as table:
