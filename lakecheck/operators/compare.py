@@ -97,7 +97,8 @@ def data_diff(
 
     Both sides are stacked and reduced to one row per key by a single aggregation, so there is one
     shuffle, no join, and a key repeated on either side is combined before it. Of a repeated key the
-    smallest row in column order is compared. NULL equals NULL, and equals '' on request. Nothing is cut.
+    smallest row in column order is compared. NULL equals NULL, and equals blank text on request. Columns
+    of one type on both sides keep it, others are compared as text. Nothing is cut.
     """
     grouped = _by_key(a, b, list(keys), list(columns), case_sensitive, null_as_empty)
     return grouped.filter(F.col("kind") != "same").select(*keys, "kind", "diff_columns")
@@ -139,14 +140,18 @@ def _by_key(
         if missing:
             raise ValueError(f"columns {missing} not found in side {side} (available: {df.columns})")
 
-    def text(c: str) -> Column:
-        value = F.col(c).cast("string")
-        value = value if case_sensitive else F.lower(value)
-        return F.coalesce(value, F.lit("")) if null_as_empty else value
+    def value(c: str) -> Column:
+        """The column as it is where both sides agree on the type, else as text."""
+        kind, other = a.schema[c].dataType, b.schema[c].dataType
+        if kind == other and not isinstance(kind, T.StringType):
+            return F.col(c)
+        text = F.col(c).cast("string")
+        text = text if case_sensitive else F.lower(text)
+        return F.coalesce(text, F.lit("")) if null_as_empty else text
 
     def side(df: DataFrame, in_a: bool) -> DataFrame:
-        picked = [text(c).alias(c) for c in keys]
-        row = F.struct(*[text(c).alias(f"_{i}") for i, c in enumerate(columns)]) if columns else F.struct(F.lit(0).alias("_0"))
+        picked = [value(c).alias(c) for c in keys]
+        row = F.struct(*[value(c).alias(f"_{i}") for i, c in enumerate(columns)]) if columns else F.lit(0)
         return df.select(*picked, F.lit(in_a).alias("_in_a"), row.alias("_row"))
 
     stacked = side(a, True).unionByName(side(b, False))

@@ -45,10 +45,10 @@ def test_first_numeric_column_is_compared(spark):
 def test_difference_of_rows(sides):
     a, b = sides
     got = rows(compare.data_diff(a, b, ["k", "s"], ["v"]))
-    assert got == [("1", "x", "mismatch", "v"), ("2", "x", "only_in_a", ""), ("2", "y", "only_in_b", "")]
+    assert got == [(1, "x", "mismatch", "v"), (2, "x", "only_in_a", ""), (2, "y", "only_in_b", "")]
     assert rows(compare.data_diff(a, b, ["k", "s"], ["v"], case_sensitive=False)) == [
-        ("2", "x", "only_in_a", ""),
-        ("2", "y", "only_in_b", ""),
+        (2, "x", "only_in_a", ""),
+        (2, "y", "only_in_b", ""),
     ]
     summary = compare.data_diff_summary(a, b, ["k", "s"], ["v"]).first()
     assert tuple(summary) == (5, 4, 1, 1, 1, 1, 0, "FAIL")
@@ -74,6 +74,17 @@ def test_null_and_blank(spark):
     assert compare.data_diff(a, b, ["k"], ["v"], null_as_empty=True).count() == 0
 
 
+def test_columns_of_different_types_are_compared_as_text(spark):
+    a = spark.createDataFrame([(1, 5), (2, 6)], "k int, v int")
+    b = spark.createDataFrame([("1", "5"), ("2", "7")], "k string, v string")
+    assert rows(compare.data_diff(a, b, ["k"], ["v"])) == [("2", "mismatch", "v")]
+
+
+def test_only_keys(sides):
+    a, b = sides
+    assert rows(compare.data_diff(a, b, ["k", "s"]), "k", "s", "kind") == [(2, "x", "only_in_a"), (2, "y", "only_in_b")]
+
+
 def test_unknown_key_column_is_named(sides):
     with pytest.raises(ValueError, match="gone"):
         compare.data_diff(*sides, ["gone"])
