@@ -13,6 +13,7 @@ from lakecheck.operators import (
     rolling,
     rules,
     sizing,
+    suite,
     topn,
 )
 
@@ -31,5 +32,6 @@ __all__ = [
     "rolling",
     "rules",
     "sizing",
+    "suite",
     "topn",
 ]

@@ -40,6 +40,18 @@ class Rule:
     constraint: str = ""
     database: str = ""
 
+    @classmethod
+    def from_config(cls, config: dict) -> Rule:
+        """From a configured rule; a column may be a name or a list, and ``*`` means none."""
+        known = {f: config[f] for f in cls.__dataclass_fields__ if config.get(f) is not None}
+        column = known.pop("column", None)
+        if isinstance(column, list):
+            known["column"] = tuple(column)
+        elif column and column != "*":
+            known["column"] = column
+        known.setdefault("constraint", config.get("constraint_description", ""))
+        return cls(**known)
+
     @property
     def columns(self) -> tuple[str, ...]:
         if self.column is None:

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakecheck.operators import checks, compare, keys
+from lakecheck.operators import checks, compare, keys, suite
 from lakecheck.plans.inputs import EVENTS_DAY, ORDERS_DAY, Inputs
 from lakecheck.plans.registry import n_if, passes, query
 
@@ -155,3 +155,60 @@ def _(t: Inputs):
 @query("keys_common", "SELECT k, status FROM orders_src INTERSECT SELECT k, status FROM orders_tgt")
 def _(t: Inputs):
     return keys.keys_common(t.orders_src, t.orders_tgt, ["k", "status"])
+
+
+# ---- a described suite -------------------------------------------------------------------------
+
+VALIDATIONS = [
+    {"name": "loaded", "check_type": "row_count", "condition": "cnt > 0", "query": "SELECT count(*) AS cnt FROM {orders}"},
+    {
+        "name": "unique",
+        "check_type": "no_rows",
+        "condition": "row_count == 0",
+        "query": "SELECT order_id FROM {orders} GROUP BY order_id HAVING count(*) > 1",
+    },
+    {
+        "name": "counts",
+        "check_type": "source_reconciliation",
+        "deviation_threshold": 5,
+        "query": "SELECT count_source, count_target FROM {counts}",
+    },
+    {"name": "broken", "check_type": "row_count", "condition": "cnt > 0", "query": "SELECT gone AS cnt FROM {orders}"},
+]
+COMPARISONS = [
+    {
+        "name": "sizes",
+        "rule": "percentage_within",
+        "tolerance": 5,
+        "compare_column": "cnt",
+        "query_a": {"query": "SELECT count(*) AS cnt FROM {source}"},
+        "query_b": {"query": "SELECT count(*) AS cnt FROM {target}"},
+    },
+    {
+        "name": "rows",
+        "rule": "data_diff",
+        "key_columns": ["k"],
+        "compare_columns": COLUMNS,
+        "query_a": {"query": "SELECT * FROM {source}"},
+        "query_b": {"query": "SELECT * FROM {target}"},
+    },
+]
+
+
+@query(
+    "suite_statuses",
+    f"""SELECT 'loaded' AS name, 'row_count' AS check_type, {passes("count(*) > 0")} AS status FROM orders_q
+        UNION ALL SELECT 'unique', 'no_rows', {passes("count(*) = count(DISTINCT order_id)")} FROM orders_q
+        UNION ALL SELECT 'counts', 'source_reconciliation', {passes(n_if("abs(count_source - count_target) >= 5") + " = 0")} FROM recon_counts
+        UNION ALL SELECT 'broken', 'row_count', 'NOT_EXECUTED'
+        UNION ALL SELECT 'sizes', 'comparison:percentage_within', {passes("abs(a - b) / greatest(a, b) * 100 <= 5")}
+            FROM (SELECT CAST({A} AS DOUBLE) AS a, CAST({B} AS DOUBLE) AS b) v
+        UNION ALL SELECT 'rows', 'comparison:data_diff', {passes("count(*) = 0")}
+            FROM ({DIFF.replace("WITH d AS", "WITH d1 AS").replace("FROM d WHERE", "FROM d1 WHERE")}) y""",
+)
+def _(t: Inputs):
+    views = {"orders": t.orders_q, "counts": t.recon_counts, "source": t.orders_src, "target": t.orders_tgt}
+    for name, df in views.items():
+        df.createOrReplaceTempView(f"lakecheck_suite_{name}")
+    names = {name: f"lakecheck_suite_{name}" for name in views}
+    return suite.run_suite(t.spark, VALIDATIONS, COMPARISONS, names).select("name", "check_type", "status")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakecheck.plans.inputs import EVENTS_DAY, ORDERS_DAY, Inputs
-from lakecheck.plans.registry import n_if, query
+from lakecheck.plans.inputs import ORDERS_DAY, Inputs
+from lakecheck.plans.registry import query
 from lakecheck.session import scratch_folder
 from lakecheck.sinks import writers
 from lakecheck.sources import audit_files, files, listing, sql
