@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakecheck.llm.chat import format_chats, read_back
 from lakecheck.llm.exact import exact_groups
 from lakecheck.llm.fingerprint import fingerprints_with_edit
+from lakecheck.llm.language import held_out, predict, train_on
 from lakecheck.llm.lines import drop_boilerplate
+from lakecheck.llm.mixing import mixed_sizes
 from lakecheck.llm.secrets import ALL_RULES, BASE_RULES, scan_secrets, spans_by_path
 from lakecheck.llm.text import sha256_hex
 
@@ -98,3 +101,39 @@ FROM t
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op2_chat_format",
+    r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+),
+marked AS (
+  SELECT *, regexp_replace(text, '(<|\[)(\\*)(\|im_start\|>|\|im_end\|>|/?s>|/?INST\])', '\1\\\2\3', 'g') AS escaped FROM rows
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(24 + length(role) + length(escaped)) AS BIGINT) AS formatted_chars
+FROM marked GROUP BY conv_id
+""",
+)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tricky = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    return read_back(format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)))
+
+
+@query("op3_mixing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sizes(table(spark, sf_dir, "documents"))
+
+
+@query("op6_language")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    told = predict(docs.select("doc_id", "text"), train_on(docs))
+    return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
