@@ -14,6 +14,7 @@ from lakecheck.llm.language import held_out, predict, train_on
 from lakecheck.llm.lines import drop_boilerplate
 from lakecheck.llm.mixing import mixed_sizes
 from lakecheck.llm.secrets import ALL_RULES, BASE_RULES, scan_secrets, spans_by_path
+from lakecheck.llm.setsketch import near_groups
 from lakecheck.llm.text import sha256_hex
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -137,3 +138,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     told = predict(docs.select("doc_id", "text"), train_on(docs))
     return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_near_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
