@@ -24,14 +24,14 @@ def slices(batch: pa.RecordBatch, column: str, step: int = STEP_BYTES) -> Iterat
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """``(bytes, offsets)`` of a string column, starting at 0; NULL is empty."""
+    if not len(column):
+        return np.empty(0, np.uint8), np.zeros(1, np.int64)
     column = column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column
     if column.null_count:
         column = column.fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
-    if not len(offsets):
-        offsets = np.zeros(1, np.int64)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 

@@ -13,6 +13,7 @@ from lakecheck.llm.fingerprint import fingerprints_with_edit
 from lakecheck.llm.language import held_out, predict, train_on
 from lakecheck.llm.lines import drop_boilerplate
 from lakecheck.llm.mixing import mixed_sizes
+from lakecheck.llm.repeats import cut_repeats
 from lakecheck.llm.secrets import ALL_RULES, BASE_RULES, scan_secrets, spans_by_path
 from lakecheck.llm.setsketch import near_groups
 from lakecheck.llm.text import sha256_hex
@@ -143,3 +144,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_near_dedup")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op4_repeats")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = cut_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
