@@ -17,6 +17,7 @@ from lakecheck.llm.repeats import cut_repeats
 from lakecheck.llm.secrets import ALL_RULES, BASE_RULES, scan_secrets, spans_by_path
 from lakecheck.llm.setsketch import near_groups
 from lakecheck.llm.text import sha256_hex
+from lakecheck.llm.viterbi import decode, encode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +151,16 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = cut_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op9_sentencepiece")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    back = decode(encode(docs))
+    return back.select(
+        "doc_id",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.xxhash64("tokens").alias("tokens_hash"),
+        sha256_hex(F.coalesce("decoded", F.lit(""))).alias("text_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("exact"),
+    )
