@@ -2,7 +2,7 @@
 
 Each page counts a line once. Counts are combined within the map tasks before they move, so a line of every page
 costs one row per task. Only the boilerplate lines of a site, at most its mean number of lines per page divided by
-the ratio, go back to the pages; the site's list is repeated ``salts`` times and pages carry a salt, so that a site
+the ratio, go back to the pages; the site's list is repeated ``salts`` times and pages carry a salt from id and text, so that a site
 with a third of all pages is spread over that many keys.
 """
 
@@ -38,7 +38,9 @@ def boilerplate(docs: DataFrame, host: str, text: str, ratio: float, min_pages:
     return often.groupBy(F.col("c.host").alias("host")).agg(F.sort_array(F.collect_list("key")).alias("keys"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text", ratio: float = 0.05, min_pages: int = 5, salts: int = 64) -> DataFrame:
+def drop_boilerplate(
+    docs: DataFrame, host: str = "source", text: str = "text", id_column: str = "doc_id", ratio: float = 0.05, min_pages: int = 5, salts: int = 64
+) -> DataFrame:
     """``docs`` with the same columns and rows, boilerplate lines taken out of ``text``, and ``removed_lines`` added.
 
     Lines end at line feeds and are compared without white space around them; blank lines stay. A NULL text stays
@@ -49,13 +51,14 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     listed = boilerplate(docs, host, text, ratio, min_pages).select(
         F.col("host").alias("_host"), F.col("keys").alias("_keys"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_at")
     )
-    salted = docs.drop("removed_lines").withColumn("_salt", F.pmod(F.xxhash64(text), F.lit(salts)).cast("int"))
-    joined = salted.join(listed, F.col(host).eqNullSafe(F.col("_host")) & (F.col("_salt") == F.col("_at")), "left")
-    lines = F.split(F.col(text), "\n")
-    kept = F.filter(lines, lambda line: ~F.coalesce(F.array_contains("_keys", line_key(line)), F.lit(False)))
-    out = joined.withColumn("_kept", F.when(F.col("_keys").isNotNull(), kept).otherwise(lines))
     names = [c for c in docs.columns if c != "removed_lines"]
+    packed = docs.select(
+        F.struct(*names).alias("_page"), F.col(host).alias("_site"), F.split(F.col(text), "\n").alias("_lines"), F.pmod(F.xxhash64(id_column, text), F.lit(salts)).cast("int").alias("_salt")
+    )
+    joined = packed.join(listed, F.col("_site").eqNullSafe(F.col("_host")) & (F.col("_salt") == F.col("_at")), "left")
+    kept = F.filter("_lines", lambda line: ~F.coalesce(F.array_contains("_keys", line_key(line)), F.lit(False)))
+    out = joined.withColumn("_kept", F.when(F.col("_keys").isNotNull(), kept).otherwise(F.col("_lines")))
     return out.select(
-        *(F.array_join("_kept", "\n").alias(c) if c == text else F.col(c) for c in names),
-        F.coalesce(F.size(lines) - F.size("_kept"), F.lit(0)).cast("long").alias("removed_lines"),
+        *(F.array_join("_kept", "\n").alias(c) if c == text else F.col(f"_page.{c}") for c in names),
+        F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).cast("long").alias("removed_lines"),
     )
