@@ -12,7 +12,6 @@ from lakecheck.operators import (
     policies,
     rolling,
     rules,
-    sizing,
     suite,
     topn,
 )
@@ -31,7 +30,6 @@ __all__ = [
     "policies",
     "rolling",
     "rules",
-    "sizing",
     "suite",
     "topn",
 ]

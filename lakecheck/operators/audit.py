@@ -66,6 +66,16 @@ def _any_failed() -> Column:
     return F.when(F.bool_or(F.col("overall_status") == "FAIL"), "FAIL").otherwise("PASS")
 
 
+def _last_date() -> Column:
+    """Latest run date as text. Dates are compared as dates: a maximum over text would need a sort aggregate."""
+    return F.max(F.col("run_date").try_cast("date")).cast("string")
+
+
+def of_kind(*kinds: str) -> Column:
+    """Events of these kinds, with or without a layer before the kind."""
+    return F.col("event_type").rlike(f"^(.+_)?({'|'.join(kinds)})$")
+
+
 def since(audit: DataFrame, as_of: date, days: int) -> DataFrame:
     return audit.filter(F.col("run_date") >= (as_of - timedelta(days=days)).isoformat())
 
@@ -75,7 +85,7 @@ def of_day(audit: DataFrame, day: date) -> DataFrame:
 
 
 def checks_only(audit: DataFrame) -> DataFrame:
-    return audit.filter(F.col("event_type").isin(*CHECK_EVENTS))
+    return audit.filter(of_kind(*CHECK_EVENTS))
 
 
 def latest_run(audit: DataFrame, day: date) -> DataFrame:
@@ -99,15 +109,16 @@ def union_events(shapes: dict[str, DataFrame], layer: str | None = None) -> Data
 
 
 def latest_failures(
-    rule_rows: DataFrame, since_ts: Column, run_id: str | None = None, suite: str | None = None, limit: int = 500
+    rule_rows: DataFrame, since_ts: Column, run_id: str | None = None, suite: str | None = None, limit: int | None = None
 ) -> DataFrame:
-    """Newest failed rule rows, as a top-k."""
+    """Failed rule rows, newest first; the newest ``limit`` of them where a limit is given."""
     kept = (F.col("status") == "FAIL") & (F.col("failure_timestamp") >= since_ts)
     if run_id:
         kept = kept & (F.col("run_id") == run_id)
     if suite:
         kept = kept & (F.col("pipeline_name") == suite)
-    return rule_rows.filter(kept).orderBy(F.desc("failure_timestamp"), "record_id").limit(limit)
+    newest = rule_rows.filter(kept).orderBy(F.desc("failure_timestamp"), "record_id")
+    return newest if limit is None else newest.limit(limit)
 
 
 # ---- day summary -------------------------------------------------------------------------------
@@ -250,7 +261,7 @@ def top_failing(audit: DataFrame, as_of: date, days: int = 7, k: int = 10) -> Da
     failed = checks_only(since(audit, as_of, days)).filter(F.col("status").isin("FAIL", "NOT_EXECUTED"))
     return (
         failed.groupBy("validation_name", "check_type")
-        .agg(_rows().alias("failure_count"), F.max("run_date").alias("last_failure"))
+        .agg(_rows().alias("failure_count"), _last_date().alias("last_failure"))
         .orderBy(F.desc("failure_count"), "validation_name", "check_type")
         .limit(k)
     )
@@ -350,7 +361,7 @@ def top_failing_checks(audit: DataFrame, k: int = 15) -> DataFrame:
     return (
         audit.filter(is_fail())
         .groupBy(check_id().alias("check_id"))
-        .agg(_rows().alias("failure_count"), F.max("run_date").alias("last_failure"))
+        .agg(_rows().alias("failure_count"), _last_date().alias("last_failure"))
         .orderBy(F.desc("failure_count"), "check_id")
         .limit(k)
     )
@@ -373,7 +384,7 @@ def run_history(audit: DataFrame) -> DataFrame:
 def job_duration_trend(audit: DataFrame) -> DataFrame:
     seconds = F.sum(number_or_zero("glue_duration_sec", "decimal(18,3)"))
     return (
-        audit.filter(F.col("event_type") == "GLUE_TRIGGER")
+        audit.filter(of_kind("GLUE_TRIGGER"))
         .groupBy("run_date")
         .agg(
             F.round(seconds.cast("double") / 60, 1).alias("total_duration_min"),
@@ -383,8 +394,8 @@ def job_duration_trend(audit: DataFrame) -> DataFrame:
 
 
 def day_kpis(audit: DataFrame, day: date) -> DataFrame:
-    """Checks of a day by status, pass rate, cost, and the sorted run ids as text."""
-    check = F.col("event_type").isin(*CHECK_EVENTS)
+    """Checks of a day by status, pass rate and cost."""
+    check = of_kind(*CHECK_EVENTS)
     total, passed = F.count_if(check), F.count_if(check & (F.col("status") == "PASS"))
     cost = F.sum(F.when(check, number_or_zero("cost_usd")))
     return of_day(audit, day).agg(

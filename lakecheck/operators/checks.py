@@ -56,7 +56,7 @@ def check_condition(
         F.lit(check_type).alias("check_type"),
         when_status(F.col("ok")).alias("status"),
         F.concat(
-            F.lit(f"Condition '{condition}' -> "), F.when(F.col("ok"), "met").otherwise("not met")
+            F.when(F.col("ok"), "holds: ").otherwise("does not hold: "), F.lit(condition)
         ).alias("detail"),
         F.col("actual").cast("string").alias("actual_value"),
     )
@@ -123,8 +123,8 @@ def is_not_allowed(column: str, codes: list[str]) -> Column:
     return F.col(column).isNull() | ~F.col(column).isin(codes)
 
 
-def is_not_year(columns: list[str], low: str = "1900", high: str = "2100") -> Column:
-    """Years are kept and compared as text."""
+def is_not_year(columns: list[str], low: str | Column = "1900", high: str | Column = "2100") -> Column:
+    """Years are kept and compared as text. The limits may be columns, such as fields of a parameter row."""
     found = F.lit(False)
     for c in columns:
         found = found | F.col(c).isNull() | (F.col(c) < low) | (F.col(c) > high)
@@ -209,14 +209,25 @@ TODAY_NAMES = ("today_cnt", "today_count")
 BASELINE_NAMES = ("baseline_cnt", "avg_cnt", "rolling_avg_60")
 
 
+def count_columns(counts: DataFrame) -> tuple[str | None, str | None]:
+    """Names of the tested count and of its baseline, None where there is none."""
+    today = next((c for c in counts.columns if c in TODAY_NAMES), None)
+    return today, next((c for c in counts.columns if c in BASELINE_NAMES or re.fullmatch(r"avg_.*_cnt", c)), None)
+
+
 def rolling_average_verdict(counts: DataFrame, tolerance: float = 25.0, warn_only: bool = False) -> DataFrame:
-    """Status of given counts; several usual column names are understood."""
-    today = next(c for c in counts.columns if c in TODAY_NAMES)
-    base = next(c for c in counts.columns if c in BASELINE_NAMES or re.fullmatch(r"avg_.*_cnt", c))
-    variance = F.round(variance_pct(F.col(today), F.col(base)), 2)
+    """Status of given counts, row by row; several usual column names are understood.
+
+    A ``variance_pct`` that the counts bring along is the one that is tested. Without it there must be a baseline.
+    """
+    today, base = count_columns(counts)
+    if base is None and "variance_pct" not in counts.columns:
+        raise ValueError("no baseline column and no variance_pct")
+    given = F.col("variance_pct").cast("double") if "variance_pct" in counts.columns else variance_pct(F.col(today), F.col(base))
+    variance = F.round(given, 2)
     return counts.select(
-        F.col(today).cast("bigint").alias("today_cnt"),
-        F.col(base).cast("double").alias("baseline_cnt"),
+        (F.col(today) if today else F.lit(None)).cast("bigint").alias("today_cnt"),
+        (F.col(base) if base else F.lit(None)).cast("double").alias("baseline_cnt"),
         variance.alias("variance_pct"),
         when_status(variance <= float(tolerance), "WARN" if warn_only else "FAIL").alias("status"),
     )

@@ -25,12 +25,12 @@ SCALAR_RULES = (
 
 
 def scalar(df: DataFrame, column: str | None = None) -> DataFrame:
-    """The named column of a one-row frame, or its first numeric column."""
+    """``n, v``: the rows of a frame and, where it has one, the value of the named or first numeric column."""
     if column is None:
         column = next((f.name for f in df.schema if isinstance(f.dataType, T.NumericType)), None)
         if column is None:
             raise ValueError("no numeric column to compare")
-    return df.select(column).limit(1)
+    return df.agg(F.count(F.lit(1)).alias("n"), F.any_value(F.col(column)).alias("v"))
 
 
 def compare(
@@ -42,21 +42,25 @@ def compare(
     expression: str | None = None,
     name: str = "",
 ) -> DataFrame:
-    """One row: both values, and whether the rule holds for them. A missing value fails every rule but match."""
+    """One row: both values, and whether the rule holds for them. A missing value fails every rule but match.
+
+    A side of several rows has no value to compare: the status is NOT_EXECUTED and its value NULL.
+    """
     if rule not in SCALAR_RULES:
         raise ValueError(f"unknown comparison rule {rule}")
     left, right = scalar(a, column), scalar(b, column)
-    numeric = all(isinstance(d.schema[0].dataType, T.NumericType) for d in (left, right))
+    numeric = all(isinstance(d.schema["v"].dataType, T.NumericType) for d in (left, right))
     to = "double" if numeric or rule != "match" else "string"
-    both = a.sparkSession.range(1).select(
-        left.scalar().cast(to).alias("a_val"), right.scalar().cast(to).alias("b_val")
+    sides = a.sparkSession.range(1).select(
+        *[d.select(F.struct("n", F.when(F.col("n") == 1, F.col("v")).cast(to).alias("v"))).scalar().alias(s) for s, d in (("a", left), ("b", right))]
     )
+    both = sides.select(F.col("a.v").alias("a_val"), F.col("b.v").alias("b_val"), ((F.col("a.n") > 1) | (F.col("b.n") > 1)).alias("several"))
     return both.select(
         F.lit(name).alias("name"),
         F.lit(rule).alias("rule"),
         F.col("a_val").alias("value_a"),
         F.col("b_val").alias("value_b"),
-        when_status(_holds(rule, tolerance, expression)).alias("status"),
+        F.when(F.col("several"), "NOT_EXECUTED").otherwise(when_status(_holds(rule, tolerance, expression))).alias("status"),
     )
 
 
@@ -82,6 +86,8 @@ def _holds(rule: str, tolerance: float, expression: str | None) -> Column:
     return side == 0 if rule.endswith("equals_zero") else side != 0
 
 
+KIND, NAMES = "_kind", "_names"
+
 # ---- row-level difference ----------------------------------------------------------------------
 
 
@@ -101,7 +107,28 @@ def data_diff(
     of one type on both sides keep it, others are compared as text. Nothing is cut.
     """
     grouped = _by_key(a, b, list(keys), list(columns), case_sensitive, null_as_empty)
-    return grouped.filter(F.col("kind") != "same").select(*keys, "kind", "diff_columns")
+    told = grouped.filter(F.col(KIND) != "same").select(*keys, F.col(KIND).alias("kind"), F.col(NAMES).alias("diff_columns"))
+    if len(set(told.columns)) < len(told.columns):
+        raise ValueError("a key column is named kind or diff_columns; rename it")
+    return told
+
+
+def data_diff_values(
+    a: DataFrame,
+    b: DataFrame,
+    keys: list[str],
+    columns: list[str],
+    case_sensitive: bool = True,
+    null_as_empty: bool = False,
+) -> DataFrame:
+    """``keys, column_name, value_a, value_b`` as text, one row per differing column of a key on both sides. Nothing is cut."""
+    grouped = _by_key(a, b, list(keys), list(columns), case_sensitive, null_as_empty)
+    entries = [
+        F.struct(F.lit(c).alias("column_name"), F.col(f"_a._{i}").cast("string").alias("value_a"), F.col(f"_b._{i}").cast("string").alias("value_b"), (~F.col(f"_a._{i}").eqNullSafe(F.col(f"_b._{i}"))).alias("differs"))
+        for i, c in enumerate(columns)
+    ]
+    mismatches = grouped.filter(F.col(KIND) == "mismatch").select(*keys, F.explode(F.filter(F.array(*entries), lambda e: e["differs"])).alias("_e"))
+    return mismatches.select(*keys, "_e.column_name", "_e.value_a", "_e.value_b")
 
 
 def data_diff_summary(
@@ -125,10 +152,10 @@ def data_diff_summary(
     return grouped.agg(
         rows("rows_a").alias("rows_a"),
         rows("rows_b").alias("rows_b"),
-        *[F.count_if(F.col("kind") == kind).alias(name) for name, kind in kinds.items()],
+        *[F.count_if(F.col(KIND) == kind).alias(name) for name, kind in kinds.items()],
         repeats("rows_a").alias("duplicates_a"),
         repeats("rows_b").alias("duplicates_b"),
-        when_status(F.count_if(F.col("kind") != "same") == 0).alias("status"),
+        when_status(F.count_if(F.col(KIND) != "same") == 0).alias("status"),
     )
 
 
@@ -141,8 +168,10 @@ def _by_key(
             raise ValueError(f"columns {missing} not found in side {side} (available: {df.columns})")
 
     def value(c: str) -> Column:
-        """The column as it is where both sides agree on the type, else as text."""
+        """As it is where both sides agree on the type, in the wider type of two numbers, else as text."""
         kind, other = a.schema[c].dataType, b.schema[c].dataType
+        if kind != other and isinstance(kind, T.NumericType) and isinstance(other, T.NumericType):
+            return F.col(c).cast(_wider(kind, other))
         if kind == other and not isinstance(kind, T.StringType):
             return F.col(c)
         text = F.col(c).cast("string")
@@ -169,11 +198,22 @@ def _by_key(
     kind = (
         F.when(F.col("rows_b") == 0, "only_in_a")
         .when(F.col("rows_a") == 0, "only_in_b")
-        .when(F.col("diff_columns") != "", "mismatch")
+        .when(F.col(NAMES) != "", "mismatch")
         .otherwise("same")
     )
     paired = (F.col("rows_a") > 0) & (F.col("rows_b") > 0)
-    return grouped.withColumn("diff_columns", F.when(paired, names).otherwise("")).withColumn("kind", kind)
+    return grouped.withColumn(NAMES, F.when(paired, names).otherwise("")).withColumn(KIND, kind)
+
+
+def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
+    """A number type that holds the values of both; double beside any other, decimals with room for both parts."""
+    whole = {T.ByteType(): 3, T.ShortType(): 5, T.IntegerType(): 10, T.LongType(): 19}
+    if a in whole and b in whole:
+        return max(a, b, key=whole.get)
+    if any(isinstance(x, T.FractionalType) and not isinstance(x, T.DecimalType) for x in (a, b)):
+        return T.DoubleType()
+    left, scale = zip(*((x.precision - x.scale, x.scale) if isinstance(x, T.DecimalType) else (whole[x], 0) for x in (a, b)))
+    return T.DecimalType(min(38, max(left) + max(scale)), min(max(scale), 38 - min(38, max(left))))
 
 
 def distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:

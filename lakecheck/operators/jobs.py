@@ -12,7 +12,7 @@ from datetime import date, datetime, timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakecheck.functions.exprs import DEADLINE_ZONE, PRICE_PER_DPU_HOUR, dpu_cost, instant, local_time, percent
+from lakecheck.functions.exprs import DEADLINE_ZONE, PRICE_PER_DPU_HOUR, between_days, dpu_cost, instant, local_time, percent
 from lakecheck.operators.keys import dedup_latest
 
 # Weights and marks of the health score.
@@ -38,15 +38,17 @@ def local_date(ts: str | Column, zone: str = DEADLINE_ZONE) -> Column:
 def with_sla(runs: DataFrame, as_of: datetime, zone: str = DEADLINE_ZONE) -> DataFrame:
     """ON TIME, BREACHED or N/A against the deadline on the local date of the start.
 
-    A running job is measured at ``as_of``; a finished one at its end, or start plus run time.
+    A running job is measured at ``as_of``; a finished one at its end, or start plus run time. A job whose
+    deadline is NULL or no time of day is N/A.
     """
     estimated = F.when(F.col("exec_sec") > 0, F.timestamp_add("SECOND", F.col("exec_sec"), F.col("started_on")))
     ended = F.coalesce(F.col("completed_on"), estimated) if "completed_on" in runs.columns else estimated
     finish = F.when(F.col("state") == "RUNNING", instant(as_of)).otherwise(ended)
-    deadline = F.concat_ws(" ", local_date("started_on", zone).cast("string"), F.col("sla")).cast("timestamp_ntz")
+    deadline = F.concat_ws(" ", local_date("started_on", zone).cast("string"), F.col("sla"))
+    deadline = F.when(F.col("sla").isNotNull(), F.try_to_timestamp(deadline).cast("timestamp_ntz"))
     late = local_time(finish, zone) > deadline
     return runs.withColumn(
-        "sla_status", F.when(finish.isNull(), "N/A").when(late, "BREACHED").otherwise("ON TIME")
+        "sla_status", F.when(finish.isNull() | deadline.isNull(), "N/A").when(late, "BREACHED").otherwise("ON TIME")
     )
 
 
@@ -102,6 +104,13 @@ def day_stats(runs: DataFrame, as_of: datetime) -> DataFrame:
     )
 
 
+def daily_rows(df: DataFrame, column: str, as_of: date, days: int) -> DataFrame:
+    """Rows per day for the last ``days`` days up to ``as_of``, zero where there are none. Only these days are read."""
+    recent = df.filter(between_days(df, column, as_of - timedelta(days=days - 1), as_of))
+    counts = recent.groupBy(F.to_date(F.col(column)).alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return zero_filled_days(counts, "day", as_of, days)
+
+
 def zero_filled_days(counts: DataFrame, day: str, as_of: date, days: int) -> DataFrame:
     """The last days up to ``as_of``, with zeros where ``counts`` has no row."""
     calendar = counts.sparkSession.range(1).select(
@@ -216,10 +225,10 @@ def attention(runs: DataFrame, as_of: datetime, zone: str = DEADLINE_ZONE) -> Da
     low = F.col("health_score") < WARNING_FROM
     issues = F.concat_ws(
         "; ",
-        F.when(breached, F.lit("SLA breached")),
-        F.when(bad, F.concat(F.lit("Status: "), F.col("status"))),
-        F.when(low, F.concat(F.lit("Low health score: "), F.col("health_score").cast("string"), F.lit("/100"))),
-        F.when(~F.col("is_recent"), F.lit("Not run in last 24h")),
+        F.when(breached, F.lit("deadline missed")),
+        F.when(bad, F.concat(F.lit("last state "), F.col("status"))),
+        F.when(low, F.concat(F.lit("health "), F.col("health_score").cast("string"), F.lit("/100"))),
+        F.when(~F.col("is_recent"), F.lit("no run for a day")),
     )
     return scored.filter(breached | bad | low).select(
         "job_name", "domain", issues.alias("issues"), "health_score", "health"

@@ -18,7 +18,6 @@ from lakecheck.functions.exprs import (
     local_time,
     on_day,
 )
-from lakecheck.operators.sizing import broadcast_if_small
 
 
 def with_ingest_columns(df: DataFrame, as_of: datetime, loaded_by: str, zone: str = DEADLINE_ZONE) -> DataFrame:
@@ -121,7 +120,7 @@ def latest_rows(df: DataFrame, day: str, category: str | None = None) -> DataFra
     if category is None:
         return df.filter(F.col(day) == df.agg(F.max(day)).scalar())
     latest = df.groupBy(category).agg(F.max(day).alias(day))
-    return df.join(broadcast_if_small(latest), [category, day], "left_semi")
+    return df.join(latest, [category, day], "left_semi")
 
 
 def within_days(df: DataFrame, column: str, first: date, last: date) -> DataFrame:

@@ -23,11 +23,21 @@ def counts_by(
     amount: dict[str, str] | None = None,
     distinct: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Row count, exact sums and exact distinct counts by group."""
-    measures: list[Column] = [F.count(F.lit(1)).alias(count)]
-    measures += [money(F.sum(column)).alias(name) for name, column in (amount or {}).items()]
-    measures += [F.count_distinct(column).alias(name) for name, column in (distinct or {}).items()]
-    return df.groupBy(*by).agg(*measures)
+    """Row count, exact sums and exact distinct counts by group.
+
+    With distinct counts, rows are first combined by group and counted values, so that what the distinct counts
+    multiply is one row per combination.
+    """
+    amount, distinct = amount or {}, distinct or {}
+    if not distinct:
+        return df.groupBy(*by).agg(F.count(F.lit(1)).alias(count), *(money(F.sum(c)).alias(name) for name, c in amount.items()))
+    values = [c for c in dict.fromkeys(distinct.values()) if c not in by]
+    sums = [F.sum(c).alias(f"_{name}") for name, c in amount.items()]
+    combined = df.groupBy(*by, *values).agg(F.count(F.lit(1)).alias("_rows"), *sums)
+    measures: list[Column] = [F.sum("_rows").alias(count)]
+    measures += [money(F.sum(f"_{name}")).alias(name) for name in amount]
+    measures += [F.count_distinct(column).alias(name) for name, column in distinct.items()]
+    return combined.groupBy(*by).agg(*measures)
 
 
 def statewise_members(df: DataFrame, as_of: date, days: int = 30) -> DataFrame:

@@ -10,6 +10,7 @@ from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakecheck.functions.exprs import between_days, when_status
 
@@ -118,12 +119,15 @@ def rolling_deviation(
 def delete_reappear(presence: DataFrame, key: str, snapshot: str) -> DataFrame:
     """Keys that vanish for at least one snapshot and come back.
 
-    Snapshots are numbered in a table of one row per date, which is bounded by the calendar and therefore
-    safe to broadcast; each key then compares its own consecutive snapshot numbers.
+    Snapshots are dates, numbered in a table of one row per date; each key then compares its own consecutive
+    snapshot numbers. The dates come from the distinct presence, which is worked out once.
     """
-    dates = presence.select(snapshot).distinct()
+    if not isinstance(presence.schema[snapshot].dataType, T.DateType):
+        raise ValueError(f"{snapshot} must be a date")
+    seen = presence.select(key, snapshot).distinct()
+    dates = seen.select(snapshot).distinct()
     numbered = dates.withColumn("_no", F.row_number().over(Window.orderBy(snapshot)))
-    seen = presence.select(key, snapshot).distinct().join(F.broadcast(numbered), snapshot)
+    seen = seen.join(numbered, snapshot)
     own = Window.partitionBy(key).orderBy("_no")
     gaps = seen.withColumns({"_before": F.lag("_no").over(own), "last_seen": F.lag(snapshot).over(own)})
     return gaps.filter(F.col("_no") - F.col("_before") > 1).select(

@@ -6,15 +6,17 @@ reference rules first reduce the table to one row per value, so no value group i
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections import defaultdict
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date, datetime
 from functools import reduce
 
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import AnalysisException, ParseException, PySparkException, SparkRuntimeException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakecheck.functions.exprs import instant
 
@@ -39,6 +41,7 @@ class Rule:
     severity: str = "MEDIUM"
     constraint: str = ""
     database: str = ""
+    ref_database: str = ""
 
     @classmethod
     def from_config(cls, config: dict) -> Rule:
@@ -70,25 +73,39 @@ Entry = tuple[int, Rule, Column | None]
 def evaluate_rules(
     frames: dict[str, DataFrame], rules: list[Rule], run_id: str, as_of: datetime | date, suite: str = ""
 ) -> DataFrame:
-    """One audit row per rule. A rule that does not resolve against its table becomes an ERROR row."""
+    """One audit row per rule. A rule that does not resolve against its table becomes an ERROR row.
+
+    ``frames`` are named by table, or by ``database.table``, which comes first for a rule with a database. A rule
+    that breaks only while it runs, such as a condition with a failing cast, ends the job: see
+    ``evaluate_rules_isolated``.
+    """
     counted, broken = [], []
     by_table: dict[str, list[Entry]] = defaultdict(list)
     for position, rule in enumerate(rules):
         try:
             kind = rule.rule_type.upper()
             if kind in ROW_TYPES:
-                frames[rule.table]
-                by_table[rule.table].append((position, rule, _bad_row(rule)))
+                name = _frame_name(frames, rule.database, rule.table)
+                by_table[name].append((position, rule, _bad_row(rule, frames[name])))
             elif kind == "UNIQUENESS":
-                counted.append(_uniqueness(frames[rule.table], rule, position))
+                if not rule.columns:
+                    raise ValueError("column is missing")
+                counted.append(_uniqueness(frames[_frame_name(frames, rule.database, rule.table)], rule, position))
             elif kind == "REFERENTIAL":
-                counted.append(_referential(frames[rule.table], frames[rule.ref_table], rule, position))
+                if not rule.columns:
+                    raise ValueError("column is missing")
+                if not rule.ref_table:
+                    raise ValueError("ref_table is missing")
+                sides = _frame_name(frames, rule.database, rule.table), _frame_name(frames, rule.ref_database, rule.ref_table)
+                counted.append(_referential(frames[sides[0]], frames[sides[1]], rule, position))
             else:
                 raise ValueError(f"unknown rule type {rule.rule_type}")
         except (AnalysisException, ParseException) as exc:
             broken.append((position, exc.getCondition() or "ANALYSIS_ERROR"))
-        except (KeyError, ValueError) as exc:
-            broken.append((position, str(exc.args[0])[:500]))
+        except SparkRuntimeException as exc:
+            broken.append((position, exc.getCondition() or "RUNTIME_ERROR"))
+        except (KeyError, ValueError, TypeError) as exc:
+            broken.append((position, str(exc.args[0])))
     for table, entries in by_table.items():
         passed, errors = _isolated(frames[table], entries)
         counted += passed
@@ -112,6 +129,52 @@ def evaluate_rules(
     return _audit_rows(results, rules, run_id, as_of, suite)
 
 
+def evaluate_rules_isolated(
+    frames: dict[str, DataFrame], rules: list[Rule], run_id: str, as_of: datetime | date, suite: str = ""
+) -> DataFrame:
+    """As ``evaluate_rules``, run at once: a rule that breaks while it runs becomes an ERROR row.
+
+    All rules run as one job. Only if that breaks are the BUSINESS rules tried one by one, the only ones whose
+    expressions can fail on data; those that break are reported, and the others share one pass again. What reaches
+    the driver is one row per rule.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    all_rows = evaluate_rules(frames, rules, run_id, as_of, suite)
+    try:
+        return spark.createDataFrame(all_rows.collect(), all_rows.schema)
+    except PySparkException:
+        pass
+    broken = {}
+    for position, rule in enumerate(rules):
+        if rule.rule_type.upper() == "BUSINESS":
+            try:
+                evaluate_rules(frames, [rule], run_id, as_of, suite).collect()
+            except PySparkException as exc:
+                broken[position] = exc.getCondition() or "RUNTIME_ERROR"
+    sound = [replace(r, rule_type="BROKEN", condition=None) if i in broken else r for i, r in enumerate(rules)]
+    rows = evaluate_rules(frames, sound, run_id, as_of, suite)
+    done = []
+    for row in rows.collect():
+        values = row.asDict()
+        position = next((i for i in broken if values["rule_type"] == "BROKEN" and values["record_id"] == _record_id(run_id, i, rules[i])), None)
+        done.append(values if position is None else {**values, "rule_type": "BUSINESS", "error_message": broken[position]})
+    return spark.createDataFrame(done, rows.schema)
+
+
+def _record_id(run_id: str, position: int, rule: Rule) -> str:
+    return hashlib.md5(f"{run_id}^{position}^{rule.rule_name}".encode()).hexdigest()
+
+
+def _frame_name(frames: dict[str, DataFrame], database: str, table: str) -> str:
+    """The key of a table in ``frames``: with its database if that is registered, else without."""
+    name = f"{database}.{table}" if database else table
+    if name in frames:
+        return name
+    if table in frames:
+        return table
+    raise ValueError(f"table {name} not found")
+
+
 def _isolated(df: DataFrame, entries: list[Entry]) -> tuple[list[DataFrame], list[tuple[int, str]]]:
     """The one pass over a table, and the errors of rules that do not resolve against it.
 
@@ -131,12 +194,13 @@ def _isolated(df: DataFrame, entries: list[Entry]) -> tuple[list[DataFrame], lis
     return ([_one_pass(df, sound)] if sound else []), errors
 
 
-def _bad_row(rule: Rule) -> Column | None:
+def _bad_row(rule: Rule, df: DataFrame) -> Column | None:
     """The condition a failing row meets; None for a count rule."""
     kind = rule.rule_type.upper()
     if kind == "ROW_COUNT":
         if rule.operator not in COMPARE_OPERATORS:
             raise ValueError(f"unknown operator {rule.operator}")
+        int(rule.threshold)  # raises where it is no number
         return None
     if kind == "BUSINESS":
         if not rule.condition:
@@ -150,12 +214,22 @@ def _bad_row(rule: Rule) -> Column | None:
     if kind == "RANGE":
         if rule.min_value is None or rule.max_value is None:
             raise ValueError("min_value or max_value is missing")
+        if _is_text(df, rule.columns[0]) and not isinstance(rule.min_value, str):
+            # text that is no number lies outside the range
+            number = value.try_cast("double")
+            return value.isNotNull() & ~F.coalesce(number.between(F.lit(rule.min_value), F.lit(rule.max_value)), F.lit(False))
         return ~value.between(F.lit(rule.min_value), F.lit(rule.max_value))
     if rule.pattern is None:
         raise ValueError("pattern is missing")
+    # the engine that will run the pattern reads it once, on one constant
+    df.sparkSession.sql("SELECT '' RLIKE :p", args={"p": rule.pattern}).collect()
     return ~value.cast("string").rlike(rule.pattern)
 
 
+def _is_text(df: DataFrame, column: str) -> bool:
+    return column in df.columns and isinstance(df.schema[column].dataType, T.StringType)
+
+
 def _one_pass(df: DataFrame, entries: list[Entry]) -> DataFrame:
     """All row rules of one table: a single aggregate, then one output row per rule."""
     marked, measures, rows = [], ["count(1) AS total"], []

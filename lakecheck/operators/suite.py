@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException, ParseException
+from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +20,13 @@ from lakecheck.sources.sql import bind
 STATUS_TYPES = ("percentage_threshold", "date_window_validation")
 
 
+# statuses of a row that is in order, and those that a result keeps if all its other rows agree on them
+GOOD_STATUSES = ("PASS", "OK")
+KEPT_STATUSES = ("WARN", "NO_DATA", "NOT_EXECUTED")
+# what a described check may do wrong before anything runs
+FAULTS = (AnalysisException, ParseException, KeyError, ValueError, TypeError)
+
+
 def run_suite(
     spark: SparkSession,
     validations: list[dict] = (),
@@ -27,21 +34,56 @@ def run_suite(
     variables: dict[str, str] | None = None,
 ) -> DataFrame:
     """All described checks as one frame; ``variables`` fill ``{name}`` places in their SQL."""
+    return reduce(DataFrame.unionByName, _rows(spark, validations, comparisons, variables))
+
+
+def run_suite_isolated(
+    spark: SparkSession,
+    validations: list[dict] = (),
+    comparisons: list[dict] = (),
+    variables: dict[str, str] | None = None,
+) -> DataFrame:
+    """As ``run_suite``, run at once, so that a check that breaks while it runs is NOT_EXECUTED and harms no other.
+
+    All checks run as one job. Only if that breaks is each one run alone. What reaches the driver is one row per check.
+    """
+    rows = _rows(spark, validations, comparisons, variables)
+    try:
+        done = reduce(DataFrame.unionByName, rows).collect()
+    except PySparkException:
+        done = []
+        for row, config in zip(rows, [*validations, *comparisons]):
+            try:
+                done += row.collect()
+            except PySparkException as exc:
+                done += _not_executed(spark, config.get("name", ""), _kind(config), exc).collect()
+    return spark.createDataFrame(done, rows[0].schema)
+
+
+def _rows(spark: SparkSession, validations, comparisons, variables) -> list[DataFrame]:
     rows = [run_check(spark, c, variables) for c in validations]
-    rows += [run_comparison(spark, c, variables) for c in comparisons]
-    return reduce(DataFrame.unionByName, rows)
+    return rows + [run_comparison(spark, c, variables) for c in comparisons]
+
+
+def _kind(config: dict) -> str:
+    return f"comparison:{config.get('rule', 'match')}" if "query_a" in config else config.get("check_type", "")
 
 
 def run_check(spark: SparkSession, config: dict, variables: dict[str, str] | None = None) -> DataFrame:
-    """One check: ``{"name", "query", "check_type", "condition", ...}``."""
-    name, kind = config["name"], config.get("check_type", "")
+    """One check: ``{"name", "query", "check_type", "condition", ...}``. Every row of its result counts.
+
+    A result that works out its own status passes if all rows do. Rows that agree on WARN or NO_DATA give that
+    status; any other row, one with a NULL status too, fails the check. Without rows it is WARN.
+    """
+    name, kind = config.get("name", ""), _kind(config)
     try:
         df = spark.sql(bind(config["query"], variables or {}))
+        order = config.get("order")
         if kind == "rolling_average" and _has_counts(df):
             verdict = checks.rolling_average_verdict(
                 df, float(config.get("tolerance", 25)), config.get("warn_only", False)
             )
-            return _row(verdict, name, kind, F.first("status"), F.first("variance_pct"), empty="WARN")
+            return _judged(verdict, name, kind, F.max("variance_pct"))
         if kind == "source_reconciliation":
             verdict = checks.recon_verdict(
                 df,
@@ -49,24 +91,30 @@ def run_check(spark: SparkSession, config: dict, variables: dict[str, str] | Non
                 config.get("target_column", "count_target"),
                 config.get("deviation_threshold", 0),
             )
-            return _row(verdict, name, kind, F.first("status"), F.first("deviating_rows"))
+            deviating = F.any_value("deviating_rows")
+            detail = F.concat(deviating.cast("string"), F.lit(" of "), F.any_value("total_rows").cast("string"), F.lit(" rows deviate"))
+            return _row(verdict, name, kind, F.any_value("status"), deviating, detail)
         if kind in STATUS_TYPES or (kind == "rolling_average" and "condition" not in config):
-            return _row(df, name, kind, F.first("status"), F.first("status"), empty="WARN")
-        order = config.get("order")
+            if "status" not in df.columns:
+                raise ValueError("the query has no column status")
+            rows = df.orderBy(*order).limit(1) if order else df
+            return _judged(rows, name, kind, None)
         return checks.check_condition(df, name, config["condition"], kind, "first" if order else "all", order)
-    except (AnalysisException, ParseException) as exc:
+    except FAULTS as exc:
         return _not_executed(spark, name, kind, exc)
 
 
 def run_comparison(spark: SparkSession, config: dict, variables: dict[str, str] | None = None) -> DataFrame:
     """One comparison: ``{"name", "query_a": {"query"}, "query_b": {"query"}, "rule", ...}``."""
-    name, rule = config["name"], config.get("rule", "match")
+    name, rule = config.get("name", ""), config.get("rule", "match")
     kind = f"comparison:{rule}"
     try:
         a, b = (spark.sql(bind(config[side]["query"], variables or {})) for side in ("query_a", "query_b"))
         column = config.get("compare_column") or None
         if rule == "data_diff":
-            keys = config.get("key_columns", column)
+            keys = config.get("key_columns") or column
+            if not keys:
+                raise ValueError("key_columns is missing")
             diff = compare.data_diff_summary(
                 a,
                 b,
@@ -74,40 +122,59 @@ def run_comparison(spark: SparkSession, config: dict, variables: dict[str, str]
                 config.get("compare_columns", []),
                 config.get("case_sensitive", True),
             )
-            found = [F.concat(F.lit(f"{c}="), F.first(c)) for c in ("only_in_a", "only_in_b", "value_mismatches")]
-            return _row(diff, name, kind, F.first("status"), F.concat_ws(",", *found))
+            found = [F.concat(F.lit(f"{c}="), F.any_value(c).cast("string")) for c in ("only_in_a", "only_in_b", "value_mismatches")]
+            rows = [F.concat(F.lit(f"{c}="), F.any_value(c).cast("string")) for c in ("rows_a", "rows_b", "duplicates_a", "duplicates_b")]
+            return _row(diff, name, kind, F.any_value("status"), F.concat_ws(",", *found), F.concat_ws(",", *rows))
         held = compare.compare(
             a, b, rule, column, float(config.get("tolerance", 0)), config.get("custom_expression"), name
         )
-        return _row(held, name, kind, F.first("status"), F.concat_ws(" ", _value("a"), _value("b")))
-    except (AnalysisException, ParseException) as exc:
+        several = F.when(F.any_value("status") == "NOT_EXECUTED", F.lit("a side has several rows")).otherwise("")
+        return _row(held, name, kind, F.any_value("status"), F.concat_ws(" ", _value("a"), _value("b")), several)
+    except FAULTS as exc:
         return _not_executed(spark, name, kind, exc)
 
 
 def _value(side: str) -> Column:
-    return F.concat(F.lit(f"{side}="), F.coalesce(F.first(f"value_{side}").cast("string"), F.lit("NULL")))
+    return F.concat(F.lit(f"{side}="), F.coalesce(F.any_value(f"value_{side}").cast("string"), F.lit("NULL")))
 
 
 def _has_counts(df: DataFrame) -> bool:
-    return any(c in checks.TODAY_NAMES for c in df.columns)
+    today, base = checks.count_columns(df)
+    return "variance_pct" in df.columns or (today is not None and base is not None)
+
+
+def _judged(df: DataFrame, name: str, kind: str, actual: Column | None) -> DataFrame:
+    """The status of all rows of ``df`` together; by default the smallest status that is not in order is shown."""
+    status = F.coalesce(F.upper(F.col("status").cast("string")), F.lit("NULL"))
+    bad = F.when(~status.isin(*GOOD_STATUSES), status)
+    n, n_bad, least, most = F.count(F.lit(1)), F.count(bad), F.min(bad), F.max(bad)
+    verdict = (
+        F.when(n == 0, "WARN").when(n_bad == 0, "PASS").when((least == most) & least.isin(*KEPT_STATUSES), least).otherwise("FAIL")
+    )
+    detail = F.when(n == 0, "no rows").otherwise(F.concat(n_bad.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" rows not in order")))
+    shown = F.coalesce(least, F.min(status)) if actual is None else actual
+    return _row(df, name, kind, verdict, shown, detail)
 
 
-def _row(df: DataFrame, name: str, kind: str, status: Column, actual: Column, empty: str = "PASS") -> DataFrame:
-    """One result row from a one-row frame, also where that frame turns out empty."""
+def _row(df: DataFrame, name: str, kind: str, status: Column, actual: Column, detail: Column) -> DataFrame:
     return df.agg(
         F.lit(name).alias("name"),
         F.lit(kind).alias("check_type"),
-        F.coalesce(status, F.lit(empty)).alias("status"),
-        F.lit("").alias("detail"),
+        status.alias("status"),
+        detail.alias("detail"),
         actual.cast("string").alias("actual_value"),
     )
 
 
 def _not_executed(spark: SparkSession, name: str, kind: str, exc) -> DataFrame:
+    if isinstance(exc, PySparkException):
+        reason = exc.getCondition() or "ANALYSIS_ERROR"
+    else:
+        reason = f"{exc.args[0]} is missing" if isinstance(exc, KeyError) else str(exc)
     return spark.range(1).select(
         F.lit(name).alias("name"),
         F.lit(kind).alias("check_type"),
         F.lit("NOT_EXECUTED").alias("status"),
-        F.lit(exc.getCondition() or "ANALYSIS_ERROR").alias("detail"),
+        F.lit(reason).alias("detail"),
         F.lit(None).cast("string").alias("actual_value"),
     )

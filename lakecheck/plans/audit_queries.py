@@ -10,7 +10,7 @@ from lakecheck.plans.inputs import EVENTS_DAY, EVENTS_NOW, Inputs
 from lakecheck.plans.registry import n_if, passes, pct, query
 
 DAY = f"run_date = '{EVENTS_DAY}'"
-CHECKS = "event_type IN ('VALIDATION', 'COMPARISON')"
+CHECKS = "regexp_matches(event_type, '^(.+_)?(VALIDATION|COMPARISON)$')"
 COST = "sum(coalesce(TRY_CAST(cost_usd AS DECIMAL(18,6)), 0))"
 PASS = "status IN ('PASS', 'OK')"
 FAIL = "status IN ('FAIL', 'Stale', 'Check with Source', 'ABORTED')"
@@ -70,19 +70,21 @@ query(
 )(lambda t: audit.top_failing_checks(t.audit))
 
 
-@query(
-    "latest_failures",
-    f"""SELECT record_id, rule_name, failure_timestamp FROM failures WHERE classification = 'TRUE_FAILURE'
-        AND failure_timestamp >= TIMESTAMP '{EVENTS_NOW}' - INTERVAL 24 HOUR
-        ORDER BY failure_timestamp DESC, record_id LIMIT 500""",
-)
-def _(t: Inputs):
+LATEST = f"""SELECT record_id, rule_name, failure_timestamp FROM failures WHERE classification = 'TRUE_FAILURE'
+        AND failure_timestamp >= TIMESTAMP '{EVENTS_NOW}' - INTERVAL 24 HOUR"""
+
+
+def latest_failures(t: Inputs, limit: int | None = None):
     status_ = F.when(F.col("classification") == "TRUE_FAILURE", "FAIL").otherwise("PASS")
     day_before = instant(EVENTS_NOW.replace(day=EVENTS_NOW.day - 1))
-    newest = audit.latest_failures(t.failures.withColumn("status", status_), day_before)
+    newest = audit.latest_failures(t.failures.withColumn("status", status_), day_before, limit=limit)
     return newest.select("record_id", "rule_name", "failure_timestamp")
 
 
+query("latest_failures", LATEST)(latest_failures)
+query("latest_failures_top_10", f"{LATEST} ORDER BY failure_timestamp DESC, record_id LIMIT 10")(lambda t: latest_failures(t, 10))
+
+
 # ---- union of event shapes ---------------------------------------------------------------------
 
 
@@ -216,7 +218,7 @@ query(
 query(
     "dq_job_duration_trend",
     """SELECT run_date, round(CAST(sum(coalesce(TRY_CAST(glue_duration_sec AS DECIMAL(18,3)), 0)) AS DOUBLE) / 60, 1) AS total_duration_min,
-        count(*) AS job_count FROM audit WHERE event_type = 'GLUE_TRIGGER' GROUP BY 1""",
+        count(*) AS job_count FROM audit WHERE regexp_matches(event_type, '^(.+_)?GLUE_TRIGGER$') GROUP BY 1""",
 )(lambda t: audit.job_duration_trend(t.audit))
 
 

@@ -17,7 +17,7 @@ DAY = f"DATE '{ORDERS_DAY}'"
 def verdict(name: str, check_type: str, condition: str, ok: str, actual: str, source: str) -> str:
     text = condition.replace("'", "''")
     return f"""SELECT '{name}' AS name, '{check_type}' AS check_type, {passes(ok)} AS status,
-        'Condition ''{text}'' -> ' || CASE WHEN {ok} THEN 'met' ELSE 'not met' END AS detail,
+        CASE WHEN {ok} THEN 'holds: ' ELSE 'does not hold: ' END || '{text}' AS detail,
         CAST({actual} AS VARCHAR) AS actual_value FROM ({source}) v"""
 
 

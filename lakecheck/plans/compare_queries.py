@@ -110,6 +110,18 @@ def _(t: Inputs):
     return compare.data_diff(t.orders_src, t.orders_tgt, ["k"], COLUMNS)
 
 
+@query(
+    "cmp_data_diff_values",
+    " UNION ALL ".join(
+        f"""SELECT a.k, '{c}' AS column_name, CAST(a.{c} AS VARCHAR) AS value_a, CAST(b.{c} AS VARCHAR) AS value_b
+            FROM orders_src a JOIN orders_tgt b ON a.k = b.k WHERE a.{c} IS DISTINCT FROM b.{c}"""
+        for c in COLUMNS
+    ),
+)
+def _(t: Inputs):
+    return compare.data_diff_values(t.orders_src, t.orders_tgt, ["k"], COLUMNS)
+
+
 @query("cmp_data_diff_ignore_case", DIFF.replace("a.status IS DISTINCT FROM b.status", "lower(a.status) IS DISTINCT FROM lower(b.status)"))
 def _(t: Inputs):
     return compare.data_diff(t.orders_src, t.orders_tgt, ["k"], COLUMNS, case_sensitive=False)
@@ -174,6 +186,20 @@ VALIDATIONS = [
         "query": "SELECT count_source, count_target FROM {counts}",
     },
     {"name": "broken", "check_type": "row_count", "condition": "cnt > 0", "query": "SELECT gone AS cnt FROM {orders}"},
+    {"name": "untested", "check_type": "row_count", "query": "SELECT 1 AS cnt"},
+    {
+        "name": "each_status",
+        "check_type": "percentage_threshold",
+        "query": "SELECT status_code, CASE WHEN status_code = 'O' THEN 'PASS' ELSE 'FAIL' END AS status FROM {orders} WHERE status_code IN ('O', 'F', 'P') GROUP BY status_code",
+    },
+    {"name": "no_status", "check_type": "date_window_validation", "query": "SELECT CAST(NULL AS STRING) AS status"},
+    {
+        "name": "own_variance",
+        "check_type": "rolling_average",
+        "query": "SELECT 10 AS today_cnt, 100 AS baseline_cnt, 5 AS variance_pct",
+    },
+    {"name": "two_days", "check_type": "rolling_average", "query": "SELECT * FROM VALUES (100, 100), (5, 100) AS t(today_cnt, baseline_cnt)"},
+    {"name": "no_baseline", "check_type": "rolling_average", "condition": "today_cnt > 0", "query": "SELECT 10 AS today_cnt"},
 ]
 COMPARISONS = [
     {
@@ -184,6 +210,9 @@ COMPARISONS = [
         "query_a": {"query": "SELECT count(*) AS cnt FROM {source}"},
         "query_b": {"query": "SELECT count(*) AS cnt FROM {target}"},
     },
+    {"name": "several", "rule": "match", "query_a": {"query": "SELECT k FROM {source}"}, "query_b": {"query": "SELECT 1 AS k"}},
+    {"name": "text", "rule": "a_less_than_b", "query_a": {"query": "SELECT 'x' AS k"}, "query_b": {"query": "SELECT 1 AS k"}},
+    {"name": "unknown", "rule": "guess", "query_a": {"query": "SELECT 1 AS k"}, "query_b": {"query": "SELECT 1 AS k"}},
     {
         "name": "rows",
         "rule": "data_diff",
@@ -195,20 +224,38 @@ COMPARISONS = [
 ]
 
 
-@query(
-    "suite_statuses",
-    f"""SELECT 'loaded' AS name, 'row_count' AS check_type, {passes("count(*) > 0")} AS status FROM orders_q
-        UNION ALL SELECT 'unique', 'no_rows', {passes("count(*) = count(DISTINCT order_id)")} FROM orders_q
-        UNION ALL SELECT 'counts', 'source_reconciliation', {passes(n_if("abs(count_source - count_target) >= 5") + " = 0")} FROM recon_counts
-        UNION ALL SELECT 'broken', 'row_count', 'NOT_EXECUTED'
-        UNION ALL SELECT 'sizes', 'comparison:percentage_within', {passes("abs(a - b) / greatest(a, b) * 100 <= 5")}
-            FROM (SELECT CAST({A} AS DOUBLE) AS a, CAST({B} AS DOUBLE) AS b) v
-        UNION ALL SELECT 'rows', 'comparison:data_diff', {passes("count(*) = 0")}
-            FROM ({DIFF.replace("WITH d AS", "WITH d1 AS").replace("FROM d WHERE", "FROM d1 WHERE")}) y""",
-)
-def _(t: Inputs):
+# what a suite row says, from the plain results
+SUITE = f"""SELECT 'loaded' AS name, 'row_count' AS check_type, {passes("n > 0")} AS status,
+        CASE WHEN n > 0 THEN 'holds: ' ELSE 'does not hold: ' END || 'cnt > 0' AS detail, CAST(n AS VARCHAR) AS actual_value
+        FROM (SELECT count(*) AS n FROM orders_q) v
+    UNION ALL SELECT 'unique', 'no_rows', {passes("n = 0")}, CASE WHEN n = 0 THEN 'holds: ' ELSE 'does not hold: ' END || 'row_count == 0', CAST(n AS VARCHAR)
+        FROM (SELECT count(*) AS n FROM (SELECT order_id FROM orders_q GROUP BY order_id HAVING count(*) > 1) g) v
+    UNION ALL SELECT 'counts', 'source_reconciliation', {passes("bad = 0")}, bad || ' of ' || n || ' rows deviate', CAST(bad AS VARCHAR)
+        FROM (SELECT {n_if("abs(count_source - count_target) >= 5")} AS bad, count(*) AS n FROM recon_counts) v
+    UNION ALL SELECT 'broken', 'row_count', 'NOT_EXECUTED', 'UNRESOLVED_COLUMN.WITH_SUGGESTION', NULL
+    UNION ALL SELECT 'untested', 'row_count', 'NOT_EXECUTED', 'condition is missing', NULL
+    UNION ALL SELECT 'each_status', 'percentage_threshold', {passes("bad = 0")}, bad || ' of ' || n || ' rows not in order', CASE WHEN bad > 0 THEN 'FAIL' ELSE 'PASS' END
+        FROM (SELECT {n_if("status_code <> 'O'")} AS bad, count(*) AS n
+              FROM (SELECT DISTINCT status_code FROM orders_q WHERE status_code IN ('O', 'F', 'P')) d) v
+    UNION ALL SELECT 'no_status', 'date_window_validation', 'FAIL', '1 of 1 rows not in order', 'NULL'
+    UNION ALL SELECT 'own_variance', 'rolling_average', 'PASS', '0 of 1 rows not in order', '5.0'
+    UNION ALL SELECT 'two_days', 'rolling_average', 'FAIL', '1 of 2 rows not in order', '95.0'
+    UNION ALL SELECT 'no_baseline', 'rolling_average', 'PASS', 'holds: today_cnt > 0', '10'
+    UNION ALL SELECT 'sizes', 'comparison:percentage_within', {passes("abs(a - b) / greatest(a, b) * 100 <= 5")}, '', 'a=' || a || ' b=' || b
+        FROM (SELECT CAST({A} AS DOUBLE) AS a, CAST({B} AS DOUBLE) AS b) v
+    UNION ALL SELECT 'several', 'comparison:match', 'NOT_EXECUTED', 'a side has several rows', 'a=NULL b=1.0'
+    UNION ALL SELECT 'text', 'comparison:a_less_than_b', 'NOT_EXECUTED', 'no numeric column to compare', NULL
+    UNION ALL SELECT 'unknown', 'comparison:guess', 'NOT_EXECUTED', 'unknown comparison rule guess', NULL
+    UNION ALL SELECT 'rows', 'comparison:data_diff', {passes("count(*) = 0")},
+        'rows_a=' || {A} || ',rows_b=' || {B} || ',duplicates_a=0,duplicates_b=0',
+        'only_in_a=' || {n_if("kind = 'only_in_a'")} || ',only_in_b=' || {n_if("kind = 'only_in_b'")} || ',value_mismatches=' || {n_if("kind = 'mismatch'")}
+        FROM ({DIFF.replace("WITH d AS", "WITH d1 AS").replace("FROM d WHERE", "FROM d1 WHERE")}) y"""
+
+
+@query("suite_statuses", SUITE)
+def suite_rows(t: Inputs):
     views = {"orders": t.orders_q, "counts": t.recon_counts, "source": t.orders_src, "target": t.orders_tgt}
     for name, df in views.items():
         df.createOrReplaceTempView(f"lakecheck_suite_{name}")
     names = {name: f"lakecheck_suite_{name}" for name in views}
-    return suite.run_suite(t.spark, VALIDATIONS, COMPARISONS, names).select("name", "check_type", "status")
+    return suite.run_suite(t.spark, VALIDATIONS, COMPARISONS, names)

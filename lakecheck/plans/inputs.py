@@ -114,7 +114,7 @@ VIEWS = {
                event_id AS run_id, ts AS started_on, CAST(floor(CAST(value AS DECIMAL(18,2)) * 60) AS BIGINT) AS exec_sec, CAST(floor(CAST(value AS DECIMAL(18,2)) * 300) AS BIGINT) AS dpu_seconds,
                CASE WHEN event_id % 9 = 0 THEN 'FAILED' WHEN event_id % 401 = 0 THEN 'RUNNING' ELSE 'SUCCEEDED' END AS state,
                CASE WHEN event_id % 2 = 0 THEN 'G.1X' ELSE 'G.2X' END AS worker_type, 10 AS num_workers,
-               lpad(CAST(9 + user_id % 8 AS STRING), 2, '0') || ':00' AS sla,
+               CASE WHEN event_id % 23 = 0 THEN NULL WHEN event_id % 29 = 0 THEN 'bad' ELSE lpad(CAST(9 + user_id % 8 AS STRING), 2, '0') || ':00' END AS sla,
                CASE WHEN event_id % 9 = 0 THEN 'boom' ELSE '' END AS error_message
         FROM events
     """,

@@ -18,8 +18,8 @@ def local(ts: str) -> str:
 # runs up to now with their deadline status
 RUNS = f"""fin AS (SELECT *, CASE WHEN state = 'RUNNING' THEN {NOW} WHEN exec_sec > 0 THEN started_on + to_seconds(exec_sec) END AS finish
         FROM job_runs WHERE started_on <= {NOW}),
-    runs AS (SELECT *, CASE WHEN finish IS NULL THEN 'N/A'
-        WHEN {local("finish")} > strptime(CAST(CAST({local("started_on")} AS DATE) AS VARCHAR) || ' ' || sla, '%Y-%m-%d %H:%M')
+    runs AS (SELECT *, CASE WHEN finish IS NULL OR sla IS NULL OR sla = 'bad' THEN 'N/A'
+        WHEN {local("finish")} > try_strptime(CAST(CAST({local("started_on")} AS DATE) AS VARCHAR) || ' ' || sla, '%Y-%m-%d %H:%M')
         THEN 'BREACHED' ELSE 'ON TIME' END AS sla_status FROM fin),
     latest AS (SELECT job_name, domain, run_id, state AS status, started_on, exec_sec, worker_type, num_workers, error_message, sla_status,
         started_on > {NOW} - INTERVAL 1 DAY AS is_recent, CAST({local("started_on")} AS DATE) = CAST({local(NOW)} AS DATE) AS is_today
@@ -105,10 +105,10 @@ query(
 )(lambda t: jobs.scorecard(t.job_runs, EVENTS_NOW))
 query(
     "jobs_attention",
-    f"""WITH {HEALTH} SELECT job_name, domain, concat_ws('; ', CASE WHEN sla_status = 'BREACHED' THEN 'SLA breached' END,
-        CASE WHEN status IN ('FAILED', 'ERROR', 'TIMEOUT') THEN 'Status: ' || status END,
-        CASE WHEN health_score < 60 THEN 'Low health score: ' || health_score || '/100' END,
-        CASE WHEN NOT is_recent THEN 'Not run in last 24h' END) AS issues, health_score, health FROM scored
+    f"""WITH {HEALTH} SELECT job_name, domain, concat_ws('; ', CASE WHEN sla_status = 'BREACHED' THEN 'deadline missed' END,
+        CASE WHEN status IN ('FAILED', 'ERROR', 'TIMEOUT') THEN 'last state ' || status END,
+        CASE WHEN health_score < 60 THEN 'health ' || health_score || '/100' END,
+        CASE WHEN NOT is_recent THEN 'no run for a day' END) AS issues, health_score, health FROM scored
         WHERE sla_status = 'BREACHED' OR status IN ('FAILED', 'ERROR', 'TIMEOUT') OR health_score < 60""",
 )(lambda t: jobs.attention(t.job_runs, EVENTS_NOW))
 

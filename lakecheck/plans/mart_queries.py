@@ -223,8 +223,11 @@ def _(t: Inputs):
         SELECT {n_if("join_year IS NULL OR join_year < lo OR join_year > hi")} AS cnt FROM orders_q CROSS JOIN params""",
 )
 def _(t: Inputs):
-    # the one-row parameter table is a pair of literals
-    return t.orders_q.agg(F.count_if(checks.is_not_year(["join_year"])).alias("cnt"))
+    # a one-row parameter table, read as a scalar subquery
+    params = t.spark.createDataFrame([("1900", "2100")], "lo string, hi string")
+    limits = params.select(F.struct("lo", "hi")).scalar()
+    rows = t.orders_q.withColumn("_limits", limits)
+    return rows.agg(F.count_if(checks.is_not_year(["join_year"], F.col("_limits.lo"), F.col("_limits.hi"))).alias("cnt"))
 
 
 @query(
@@ -355,8 +358,7 @@ def _(t: Inputs):
 )
 def _(t: Inputs):
     # the last of the seven days have no events yet
-    counts = t.events.groupBy(F.to_date("ts").alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    return jobs.zero_filled_days(counts, "day", EVENTS_DAY + timedelta(days=3), 7)
+    return jobs.daily_rows(t.events, "ts", EVENTS_DAY + timedelta(days=3), 7)
 
 
 # ---- top-k -------------------------------------------------------------------------------------

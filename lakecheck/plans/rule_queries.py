@@ -106,3 +106,47 @@ query(
         "rule_name", "failed_value"
     )
 )
+
+BREAKING = [
+    Rule("text_range", "RANGE", "orders_q", "status_code", min_value=0, max_value=5),
+    Rule("bad_pattern", "REGEX", "orders_q", "status_code", pattern="[F"),
+    Rule("bad_cast", "BUSINESS", "orders_q", condition="CAST(status_code AS INT) > 0"),
+    Rule("no_column", "NOT_NULL", "orders_q", "gone"),
+    Rule("no_key", "UNIQUENESS", "orders_q"),
+    Rule("no_reference", "REFERENTIAL", "orders_q", "fk_customer", ref_table="gone", ref_column="x"),
+    Rule("sound", "NOT_NULL", "orders_q", "customer_id"),
+    Rule("other_database", "NOT_NULL", "orders_q", "c_custkey", database="archive"),
+    Rule("across_databases", "REFERENTIAL", "orders_q", "fk_customer", ref_table="orders_q", ref_column="c_custkey", ref_database="archive"),
+]
+
+
+def _broken(name: str, message: str) -> str:
+    return f"SELECT '{name}' AS rule_name, 'ERROR' AS status, CAST(0 AS BIGINT) AS failed, CAST(0 AS BIGINT) AS total, '{message}' AS error_message"
+
+
+def _counted(name: str, bad: str, source: str) -> str:
+    return f"""SELECT '{name}' AS rule_name, CASE WHEN failed = 0 THEN 'PASS' ELSE 'FAIL' END AS status, failed, total, CAST(NULL AS VARCHAR) AS error_message
+        FROM (SELECT {n_if(bad)} AS failed, count(*) AS total FROM {source}) v"""
+
+
+@query(
+    "rule_runtime_errors",
+    " UNION ALL ".join(
+        [
+            _counted("text_range", "status_code IS NOT NULL AND coalesce(TRY_CAST(status_code AS DOUBLE) NOT BETWEEN 0 AND 5, true)", "orders_q"),
+            _broken("bad_pattern", "INVALID_PARAMETER_VALUE.PATTERN"),
+            _broken("bad_cast", "CAST_INVALID_INPUT"),
+            _broken("no_column", "UNRESOLVED_COLUMN.WITH_SUGGESTION"),
+            _broken("no_key", "column is missing"),
+            _broken("no_reference", "table gone not found"),
+            _counted("sound", "customer_id IS NULL", "orders_q"),
+            _counted("other_database", "c_custkey IS NULL", "customer"),
+            _counted("across_databases", "fk_customer IS NOT NULL AND c_custkey IS NULL", "orders_q LEFT JOIN customer ON fk_customer = c_custkey"),
+        ]
+    ),
+)
+def _(t: Inputs):
+    # two databases with one table name
+    known = {"orders_q": t.orders_q, "archive.orders_q": t.customer}
+    rows = rules.evaluate_rules_isolated(known, BREAKING, "run1", EVENTS_NOW)
+    return rows.selectExpr("rule_name", "status", "row_count_failed AS failed", "total_row_count AS total", "error_message")

@@ -27,11 +27,11 @@ def orders(t: Inputs) -> DataFrame:
     )
 
 
-@query("sink_parquet_overwrite", f"SELECT {ORDER} FROM orders WHERE o_orderstatus = 'O'")
+@query("sink_parquet_overwrite", f"SELECT k, status, CAST(amount * 2 AS DECIMAL(18,2)) AS amount FROM (SELECT {ORDER} FROM orders) o")
 def _(t: Inputs):
     path = scratch_folder(t.spark, "overwrite")
     writers.overwrite(orders(t), path)
-    writers.overwrite(orders(t).filter("status = 'O'"), path)
+    writers.overwrite(orders(t).withColumn("amount", (F.col("amount") * 2).cast("decimal(18,2)")), path)
     return t.spark.read.parquet(path)
 
 
@@ -47,11 +47,12 @@ def _(t: Inputs):
     return t.spark.read.parquet(path)
 
 
-@query("sink_append", f"SELECT {ORDER} FROM orders WHERE o_orderstatus IN ('F', 'O')")
+@query("sink_append", f"SELECT {ORDER} FROM orders")
 def _(t: Inputs):
     path = scratch_folder(t.spark, "append")
-    for status in ("F", "O"):
-        writers.append(orders(t).filter(F.col("status") == status), path)
+    open_ = F.coalesce(F.col("status") == "O", F.lit(False))
+    for part in (open_, ~open_):
+        writers.append(orders(t).filter(part), path)
     return t.spark.read.parquet(path)
 
 
@@ -94,12 +95,18 @@ def _(t: Inputs):
     return merged
 
 
-@query("sink_optimize", "SELECT event_id, user_id, event_type, value FROM events")
+@query(
+    "sink_optimize",
+    """SELECT event_id, user_id, value, CASE WHEN event_id % 4 < 3 THEN '00' || CAST(event_id % 4 AS VARCHAR) END AS code FROM events""",
+)
 def _(t: Inputs):
     root = scratch_folder(t.spark, "small")
-    small = t.events.select("event_id", "user_id", "event_type", "value").repartition(20, "event_id")
-    small.write.partitionBy("event_type").parquet(f"{root}/many")
-    return compact.compact(t.spark, f"{root}/many", f"{root}/few", ["event_type"], target_bytes=64 * 1024 * 1024)
+    kind = F.col("event_id") % 4
+    # partition values with leading zeros, and NULL
+    code = F.when(kind < 3, F.concat(F.lit("00"), kind.cast("string")))
+    small = t.events.select("event_id", "user_id", "value", code.alias("code")).repartition(20, "event_id")
+    small.write.partitionBy("code").parquet(f"{root}/many")
+    return compact.compact(t.spark, f"{root}/many", f"{root}/few", ["code"], target_bytes=64 * 1024 * 1024)
 
 
 @query(
@@ -119,8 +126,7 @@ def _(t: Inputs):
     root = scratch_folder(t.spark, "rules")
     rows = evaluated(t)
     writers.write_rule_rows(rows, root)
-    read = audit_files.read_rule_rows(t.spark, root, rows.drop("run_id").schema)
-    return read.withColumn("dt", F.col("dt").cast("string"))
+    return audit_files.read_rule_rows(t.spark, root, rows.schema)
 
 
 @query("sink_csv_report", REAPPEAR)

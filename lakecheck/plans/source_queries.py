@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,15 @@ query("src_table_scan", "SELECT c_custkey, c_name, c_acctbal FROM customer")(
 )
 
 
+@query("src_table_scan_catalog", "SELECT c_custkey, c_name, c_acctbal FROM customer")
+def _(t: Inputs):
+    path, name = scratch_folder(t.spark, "scan"), f"lakecheck_{uuid.uuid4().hex}"
+    wanted = t.customer.select("c_custkey", "c_name", "c_acctbal")
+    # the catalog entry goes at the end of the block, the files of an external table stay
+    with writers.staging_table(wanted, name, path=path):
+        return files.read_table(t.spark, f"{t.spark.catalog.currentDatabase()}.{name}")
+
+
 @query("src_csv_landing", f"{ORDER} FROM orders")
 def _(t: Inputs):
     root = scratch_folder(t.spark, "landing")
@@ -93,8 +105,8 @@ def _(t: Inputs):
     "SELECT status, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity FROM lines WHERE quantity >= 20 GROUP BY status",
 )
 def _(t: Inputs):
-    text = "SELECT status, count(*) AS n, sum(quantity) AS quantity FROM lakecheck_lines WHERE quantity >= :least GROUP BY status"
-    return sql.run_sql(t.spark, text, {"lakecheck_lines": t.lines}, args={"least": 20})
+    text = "SELECT status, count(*) AS n, sum(quantity) AS quantity FROM {lines} WHERE quantity >= :least GROUP BY status"
+    return sql.run_sql(t.spark, text, {"lines": t.lines}, args={"least": 20})
 
 
 @query(
@@ -105,8 +117,7 @@ def _(t: Inputs):
 def _(t: Inputs):
     text = """SELECT order_id, load_ts, '{run_date}' AS run_date, '{run_id}' AS run_id FROM {source}
         WHERE load_ts >= timestamp_ntz'{CURRENT_DATE-7}' AND load_ts < timestamp_ntz'{CURRENT_DATE+1}'"""
-    variables = sql.run_variables(ORDERS_DAY, "run7", {"source": "lakecheck_orders"})
-    return sql.run_sql(t.spark, text, {"lakecheck_orders": t.orders_q}, variables)
+    return sql.run_sql(t.spark, text, {"source": t.orders_q}, sql.run_variables(ORDERS_DAY, "run7"))
 
 
 AUDIT = ["run_id", "run_date", "event_type", "source_label", "status", "validation_name", "check_type", "cost_usd"]
@@ -136,26 +147,33 @@ def _(t: Inputs):
 @query(
     "src_audit_jsonl",
     """SELECT record_id, rule_name, row_count_failed, total_row_count, CAST(CAST(failure_timestamp AS DATE) AS VARCHAR) AS dt,
-       'run' || CAST(record_id % 5 AS VARCHAR) AS run_id FROM failures""",
+       CASE WHEN record_id % 5 = 0 THEN '007' WHEN record_id % 5 = 1 THEN '2024-03-10' ELSE 'run' || CAST(record_id % 5 AS VARCHAR) END AS run_id FROM failures""",
 )
 def _(t: Inputs):
     root = scratch_folder(t.spark, "rules")
-    run = F.concat(F.lit("run"), F.col("record_id") % 5)
+    # run ids that look like a number or a date stay text
+    kind = F.col("record_id") % 5
+    run = F.when(kind == 0, "007").when(kind == 1, "2024-03-10").otherwise(F.concat(F.lit("run"), kind.cast("string")))
     rows = t.failures.select("record_id", "rule_name", "row_count_failed", "total_row_count", "failure_timestamp", run.alias("run_id"))
     writers.write_rule_rows(rows, root)
-    read = audit_files.read_rule_rows(t.spark, root, rows.drop("run_id").schema)
-    return read.drop("failure_timestamp").withColumn("dt", F.col("dt").cast("string"))
+    return audit_files.read_rule_rows(t.spark, root, rows.schema).drop("failure_timestamp")
 
 
 @query(
     "src_file_listing",
-    f"SELECT 'events' AS source, 'kind=' || event_type AS subfolder, true AS has_files, true AS has_time FROM events GROUP BY event_type",
+    """SELECT 'events' AS source, 'kind=' || event_type AS subfolder, CAST(1 AS BIGINT) AS files,
+       CAST(sum(length(CAST(event_id AS VARCHAR)) + 1) AS BIGINT) AS bytes, event_type = max(event_type) OVER () AS newest
+       FROM events GROUP BY event_type""",
 )
 def _(t: Inputs):
     root = scratch_folder(t.spark, "listing")
-    t.events.withColumn("kind", F.col("event_type")).write.partitionBy("kind").parquet(root)
-    latest = listing.latest_per_subfolder(listing.file_listing(t.spark, root, "events"))
-    found = latest.filter(F.col("subfolder").isNotNull())
-    return found.select(
-        "source", "subfolder", (F.col("files") > 0).alias("has_files"), F.col("latest_modified").isNotNull().alias("has_time")
-    )
+    # one file of known size per folder; the last kind is written last
+    lines = t.events.select(F.col("event_id").cast("string").alias("value"), F.col("event_type").alias("kind")).repartition("kind")
+    last = lines.agg(F.max("kind")).scalar()
+    for part in (F.col("kind") < last, F.col("kind") == last):
+        lines.filter(part).write.mode("append").partitionBy("kind").text(root)
+        time.sleep(0.05)
+    listed = listing.file_listing(t.spark, root, "events").filter(F.col("path").endswith(".txt"))
+    latest = listing.latest_per_subfolder(listed)
+    newest = latest.agg(F.max("latest_modified")).scalar()
+    return latest.select("source", "subfolder", "files", "bytes", (F.col("latest_modified") == newest).alias("newest"))

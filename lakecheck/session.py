@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,10 +34,13 @@ def build_session(app: str = "lakecheck", master: str | None = None, **conf: str
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables.
 
-    On a cluster it lies under ``spark.checkpoint.dir``, which every executor can reach. Only where that
-    is unset, as in tests on one machine, a local temporary folder is made.
+    It lies under ``spark.checkpoint.dir``, which every executor can reach. Only where that is unset and the
+    session runs in one process, as in tests, a local temporary folder is made; on a cluster it is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share (master: {master})")
     return tempfile.mkdtemp(prefix=f"lakecheck-{name}-")

@@ -39,8 +39,7 @@ def merge_upsert(
 
     kept = target.join(incoming, keys, "left").select(*[after(c) for c in target.columns])
 
-    matched = target.select(*keys).join(fresh.select(*keys), keys, "left_semi").distinct()
-    inserted = fresh.join(matched, keys, "left_anti")
+    inserted = fresh.join(target.select(*keys).distinct(), keys, "left_anti")
     types = {f.name: f.dataType for f in target.schema}
     values = {c: set_values.get(c, F.col(c) if c in (*keys, *update) else F.lit(None)) for c in target.columns}
     new_rows = inserted.select(*[v.cast(types[c]).alias(c) for c, v in values.items()])

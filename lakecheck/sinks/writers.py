@@ -11,8 +11,6 @@ from pyspark.sql import types as T
 
 from lakecheck.sources.audit_files import PIPE_OPTIONS
 
-REPORT_ROWS = 100_000
-
 
 def overwrite(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
     """Replace the whole target."""
@@ -69,24 +67,19 @@ def write_audit(df: DataFrame, root: str) -> None:
     """Audit rows, pipe-delimited with header under ``run_date=``; line breaks become blanks."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name != "run_date"]
     flat = df.withColumns({c: F.regexp_replace(c, r"[\r\n]+", " ") for c in texts})
-    flat.write.mode("append").options(**PIPE_OPTIONS).partitionBy("run_date").csv(root)
+    _sized(flat, ["run_date"]).write.mode("append").options(**PIPE_OPTIONS).partitionBy("run_date").csv(root)
 
 
 def write_rule_rows(df: DataFrame, root: str) -> None:
     """Rule results as JSON lines under ``dt=/run_id=``."""
     dated = df.withColumn("dt", F.to_date("failure_timestamp").cast("string"))
-    dated.write.mode("append").partitionBy("dt", "run_id").json(root)
+    _sized(dated, ["dt", "run_id"]).write.mode("append").partitionBy("dt", "run_id").json(root)
 
 
-def write_csv_report(df: DataFrame, path: str, order: list[str], single_file_rows: int = REPORT_ROWS) -> None:
-    """A sorted CSV export: one file if the result is small, else range-sorted part files. Nothing is cut."""
-    counted = df.persist()
-    try:
-        small = counted.limit(single_file_rows + 1).count() <= single_file_rows
-        parts = counted.coalesce(1).sortWithinPartitions(*order) if small else counted.orderBy(*order)
-        parts.write.mode("overwrite").option("header", True).csv(path)
-    finally:
-        counted.unpersist()
+def write_csv_report(df: DataFrame, path: str, order: list[str], single_file: bool = False) -> None:
+    """A sorted CSV export in range-sorted part files, or in one file for a caller who knows that it is small."""
+    parts = df.repartition(1).sortWithinPartitions(*order) if single_file else df.orderBy(*order)
+    parts.write.mode("overwrite").option("header", True).csv(path)
 
 
 def _sized(df: DataFrame, partition_by: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # how audit files are written and read
 PIPE_OPTIONS = {"sep": "|", "escape": "\\", "header": True, "nullValue": "\\N"}
@@ -33,5 +34,7 @@ def read_escaped_audit(spark: SparkSession, root: str, columns: list[str]) -> Da
 
 
 def read_rule_rows(spark: SparkSession, root: str, schema) -> DataFrame:
-    """Rule results as JSON lines under ``dt=/run_id=`` folders."""
-    return spark.read.schema(schema).json(root)
+    """Rule results as JSON lines under ``dt=/run_id=`` folders; both are text, as they were written."""
+    folders = [T.StructField(c, T.StringType()) for c in ("dt", "run_id")]
+    fields = [f for f in schema if f.name not in ("dt", "run_id")]
+    return spark.read.schema(T.StructType(fields + folders)).json(root)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+import uuid
 from datetime import date, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 
 _PLACEHOLDER = re.compile(r"\{([A-Za-z_]\w*)([+-]\d+)?\}")
-_PLAIN_VALUE = re.compile(r"[\w .:/@+-]*")
+# an identifier path, a number, a date or a time, or a run id of such parts; no blanks, quotes or comments
+_PLAIN_VALUE = re.compile(r"(?!.*--)[\w.:/@+-]*")
 
 
 def run_variables(as_of: date, run_id: str, config: dict[str, str] | None = None) -> dict[str, str]:
@@ -22,8 +24,8 @@ def run_variables(as_of: date, run_id: str, config: dict[str, str] | None = None
 def bind(text: str, variables: dict[str, str]) -> str:
     """Fill ``{name}`` and, for dates, ``{name-5}``; unknown names stay.
 
-    Meant for the names of databases and tables and for plain run values, so a value with quotes or other
-    SQL syntax is refused. Data values belong into ``args`` of :func:`run_sql`.
+    Meant for the names of databases and tables and for plain run values, so a value with blanks, quotes, comments or
+    other SQL syntax is refused. Data values belong into ``args`` of :func:`run_sql`.
     """
 
     def fill(match: re.Match) -> str:
@@ -49,7 +51,15 @@ def run_sql(
     variables: dict[str, str] | None = None,
     args: dict[str, object] | None = None,
 ) -> DataFrame:
-    """Register the frames as temporary views, fill the variables, and run the text lazily."""
-    for name, df in (views or {}).items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(bind(text, variables or {}), args=args or {})
+    """Fill the variables and run the text lazily on the frames, which it names as ``{name}``.
+
+    Frames are registered under names of their own and dropped again, so views of the session stay as they are.
+    """
+    own = {name: f"{name}_{uuid.uuid4().hex}" for name in views or {}}
+    try:
+        for name, alias in own.items():
+            views[name].createOrReplaceTempView(alias)
+        return spark.sql(bind(text, {**(variables or {}), **own}), args=args or {})
+    finally:
+        for alias in own.values():
+            spark.catalog.dropTempView(alias)

@@ -3,6 +3,7 @@ from datetime import date, datetime
 from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lakecheck.operators import keys
@@ -39,13 +40,14 @@ def test_landing_tree_reads_every_job_and_skips_other_files(spark, tmp_path):
 def test_variables():
     values = sql.run_variables(date(2024, 3, 1), "r1", {"db": "base_{run_id}", "run_date": "2024-02-28"})
     assert sql.bind("{db}.t {run_date} {CURRENT_DATE-1} {run_date+2} {unknown}", values) == "base_r1.t 2024-02-28 2024-02-29 2024-03-01 {unknown}"
-    with pytest.raises(ValueError):
-        sql.bind("{db}", {"db": "t; DROP TABLE x --'"})
+    for bad in ("t; DROP TABLE x --'", "t UNION ALL select 99", "t--x", "a b"):
+        with pytest.raises(ValueError):
+            sql.bind("{db}", {"db": bad})
 
 
 def test_values_go_through_arguments(spark):
     df = spark.createDataFrame([("o'neil",), ("x",)], "name string")
-    assert sql.run_sql(spark, "SELECT * FROM people_t WHERE name = :n", {"people_t": df}, args={"n": "o'neil"}).count() == 1
+    assert sql.run_sql(spark, "SELECT * FROM {people} WHERE name = :n", {"people": df}, args={"n": "o'neil"}).count() == 1
 
 
 def test_file_listing(spark, tmp_path):
@@ -117,17 +119,36 @@ def part_files(root):
     return [f for _, _, names in os.walk(root) for f in names if f.endswith(".parquet")]
 
 
-def test_compaction_keeps_rows_and_cuts_files(spark, tmp_path):
-    df = spark.range(2000).select("id", F.when(F.col("id") < 1900, "hot").when(F.col("id") < 1950, "cold").alias("p"))
-    many, few, finer = (str(tmp_path / n) for n in ("many", "few", "finer"))
+def test_compaction_keeps_rows_values_and_order(spark, tmp_path):
+    p = F.when(F.col("id") < 1900, "001").when(F.col("id") < 1950, "01")  # and NULL
+    df = spark.range(2000).select("id", p.alias("p"))
+    many, few, mixed = (str(tmp_path / n) for n in ("many", "few", "mixed"))
     df.repartition(25).write.partitionBy("p").parquet(many)
     out = compact.compact(spark, many, few, ["p"])
-    assert rows(out, "id", "p") == rows(df, "id", "p")
+    assert rows(out, "id", "p") == rows(df, "id", "p") and dict(out.dtypes)["p"] == "string"
     assert len(part_files(few)) == 3 < len(part_files(many))
-    sizes = {r.p: r.bytes for r in compact.file_sizes(spark, many, ["p"]).collect()}
-    compact.compact(spark, many, finer, ["p"], target_bytes=sizes["hot"] // 4 + 1)
-    hot = [f for f in os.listdir(f"{finer}/p=hot") if f.endswith(".parquet")]
-    assert len(hot) == 4  # the big folder is spread, the small ones are not
+    assert {f for f in os.listdir(few) if "=" in f} == {"p=001", "p=01", "p=__HIVE_DEFAULT_PARTITION__"}
+    # rows of one input file stay together and in order
+    first = spark.read.parquet(few).select("id", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i"))
+    before = spark.read.parquet(many).select("id", F.col("_metadata.file_path").alias("g"), F.col("_metadata.row_index").alias("j"))
+    w = Window.partitionBy("f").orderBy("i")
+    jumps = first.join(before, "id").withColumn("before", F.lag(F.struct("g", "j")).over(w))
+    assert jumps.where((F.col("before.g") == F.col("g")) & (F.col("before.j") >= F.col("j"))).count() == 0
+    # a file that is large enough passes through as it is
+    large = max(part_files_with_sizes(many), key=lambda x: x[1])
+    compact.compact(spark, many, mixed, ["p"], target_bytes=2 * large[1])
+    assert rows(spark.read.schema(out.schema).parquet(mixed), "id", "p") == rows(df, "id", "p")
+
+
+def part_files_with_sizes(root):
+    return [(f, os.path.getsize(os.path.join(d, f))) for d, _, names in os.walk(root) for f in names if f.endswith(".parquet")]
+
+
+def test_whole_files_are_not_shuffled(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(1000).write.parquet(path)
+    whole = spark.read.parquet(path).where(~compact.is_small("_metadata.file_size", 10))
+    assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
 
 
 def test_compaction_without_partitions(spark, tmp_path):
@@ -176,19 +197,23 @@ def test_append_to_table_goes_by_name(spark, tmp_path):
         assert rows(spark.table(table.sparkSession.catalog.currentDatabase() + ".lakecheck_append")) == [(1, "a"), (1, "a")]
 
 
-def test_report_is_one_file_only_while_small(spark, tmp_path):
+def test_report_is_one_file_where_asked_for(spark, tmp_path):
     df = spark.range(100).repartition(4)
-    writers.write_csv_report(df, str(tmp_path / "small"), ["id"])
-    writers.write_csv_report(df, str(tmp_path / "large"), ["id"], single_file_rows=10)
+    writers.write_csv_report(df, str(tmp_path / "small"), ["id"], single_file=True)
+    writers.write_csv_report(df, str(tmp_path / "large"), ["id"])
     assert len(list((tmp_path / "small").glob("*.csv"))) == 1
     for name in ("small", "large"):
         assert spark.read.option("header", True).csv(str(tmp_path / name)).count() == 100
 
 
 def test_scratch_folder_lies_in_the_shared_folder():
-    def session(shared):
-        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: shared or default))
+    def session(shared, master="local[4]"):
+        conf = {"spark.checkpoint.dir": shared, "spark.master": master}
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: conf[key] or default))
 
     first, second = (scratch_folder(session("hdfs://shared/checkpoints/"), "x") for _ in range(2))
     assert first.startswith("hdfs://shared/checkpoints/x-") and first != second
     assert os.path.isdir(scratch_folder(session(None), "x"))
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://host:7077"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_folder(session(None, master), "x")

@@ -6,9 +6,9 @@ from datetime import date, datetime
 import pytest
 from pyspark.sql import functions as F
 
-from lakecheck.operators import checks, compare, keys, mart, movement, outcomes, policies, rules
+from lakecheck.operators import audit, checks, compare, jobs, keys, mart, members, movement, outcomes, policies, rolling, rules
 from lakecheck.operators.rules import Rule
-from lakecheck.plans.inputs import Inputs
+from lakecheck.plans.inputs import EVENTS_DAY, Inputs
 from lakecheck.sinks import merge
 
 
@@ -111,3 +111,27 @@ def test_no_cross_join_in_movement_checks(t):
         movement.net_gain_balance(t.movements),
     ):
         assert "Cartesian" not in plan(df) and "NestedLoop" not in plan(df)
+
+
+def test_top_failing_checks_need_no_sort_aggregate(t):
+    for got in (audit.top_failing(t.audit, EVENTS_DAY), audit.top_failing_checks(t.audit)):
+        assert "SortAggregate" not in plan(got)
+
+
+def test_zero_filled_days_read_only_their_range(t):
+    got = plan(jobs.daily_rows(t.events, "ts", EVENTS_DAY, 7))
+    assert "GreaterThanOrEqual(ts" in got and "LessThan(ts" in got
+
+
+def test_reappearance_is_not_forced_into_a_broadcast(t, no_broadcast):
+    assert "Broadcast" not in plan(rolling.delete_reappear(t.presence, "k", "snapshot_date"))
+
+
+def test_distinct_counts_multiply_combined_rows_only(t):
+    got = plan(members.statewise_members(t.members, EVENTS_DAY)) if hasattr(t, "members") else ""
+    assert not got or got.index("Expand") < got.rindex("HashAggregate")
+
+
+def test_no_query_leaves_a_cached_frame(spark, t):
+    keys.latest_rows(t.movements, "load_date", "movement_category").count()
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == 0

@@ -1,5 +1,5 @@
 from lakecheck.operators.rules import Rule
-from lakecheck.operators.suite import run_check, run_comparison, run_suite
+from lakecheck.operators.suite import run_check, run_comparison, run_suite, run_suite_isolated
 from tests.conftest import rows
 
 
@@ -58,3 +58,41 @@ def test_rule_from_config():
     )
     assert rule == Rule("r", "UNIQUENESS", "t", ("a", "b"), severity="HIGH", constraint="unique")
     assert Rule.from_config({"rule_name": "r", "rule_type": "ROW_COUNT", "table": "t", "column": "*"}).columns == ()
+
+
+def test_every_row_of_a_result_counts(spark):
+    one_fails = "SELECT * FROM VALUES ('PASS'), ('FAIL'), ('FAIL'), ('FAIL') AS t(status)"
+    got = check(spark, one_fails, "percentage_threshold")
+    assert (got.status, got.actual_value, got.detail) == ("FAIL", "FAIL", "3 of 4 rows not in order")
+    assert check(spark, "SELECT * FROM VALUES ('PASS'), ('NO_DATA'), ('NO_DATA') AS t(status)", "percentage_threshold").status == "NO_DATA"
+    assert check(spark, "SELECT CAST(NULL AS STRING) AS status", "percentage_threshold").status == "FAIL"
+    assert check(spark, "SELECT 'PASS' AS status WHERE false", "date_window_validation").status == "WARN"
+    days = "SELECT * FROM VALUES (100, 100), (5, 100) AS t(today_cnt, baseline_cnt)"
+    assert (check(spark, days, "rolling_average").status, check(spark, days, "rolling_average").actual_value) == ("FAIL", "95.0")
+
+
+def test_a_given_variance_is_the_one_tested(spark):
+    given = "SELECT 10 AS today_cnt, 100 AS baseline_cnt, 5 AS variance_pct"
+    assert check(spark, given, "rolling_average").status == "PASS"
+    assert check(spark, "SELECT 10 AS today_cnt", "rolling_average", condition="today_cnt > 0").status == "PASS"
+    assert check(spark, "SELECT 10 AS today_cnt, 'FAIL' AS status", "rolling_average").status == "FAIL"
+    assert check(spark, "SELECT 10 AS today_cnt", "rolling_average").status == "NOT_EXECUTED"
+
+
+def test_faults_of_a_description_are_not_executed(spark):
+    assert check(spark, "SELECT 1 AS cnt", "row_count").detail == "condition is missing"
+    assert check(spark, "SELECT 1 AS cnt", "rolling_average", tolerance="much").status == "NOT_EXECUTED"
+    sides = {"name": "p", "query_a": {"query": "SELECT * FROM VALUES (1), (2) AS t(n)"}, "query_b": {"query": "SELECT 1 AS n"}}
+    got = run_comparison(spark, {**sides, "rule": "match"}).first()
+    assert (got.status, got.actual_value) == ("NOT_EXECUTED", "a=NULL b=1.0")
+    for rule in ({"rule": "guess"}, {"rule": "data_diff"}, {"rule": "data_diff", "key_columns": "gone"}, {"rule": "custom"}):
+        assert run_comparison(spark, {**sides, **rule}).first().status == "NOT_EXECUTED"
+
+
+def test_a_check_that_breaks_while_it_runs_harms_no_other(spark):
+    checks = [
+        {"name": "good", "query": "SELECT 1 AS cnt", "check_type": "row_count", "condition": "cnt > 0"},
+        {"name": "breaks", "query": "SELECT id / 0 AS cnt FROM range(3)", "check_type": "row_count", "condition": "cnt > 0"},
+    ]
+    assert rows(run_suite_isolated(spark, checks), "name", "status") == [("breaks", "NOT_EXECUTED"), ("good", "PASS")]
+    assert rows(run_suite_isolated(spark, checks[:1]), "name", "status") == [("good", "PASS")]
