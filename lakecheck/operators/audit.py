@@ -6,7 +6,7 @@ column and prunes partitions. Each roll-up is one aggregation.
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -108,6 +108,29 @@ def union_events(shapes: dict[str, DataFrame], layer: str | None = None) -> Data
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+# The columns of an audit row, in the order of the audit table.
+AUDIT_COLUMNS = (
+    "run_id", "event_timestamp", "event_type", "source_label", "source_bucket", "source_prefix", "subfolder_count", "status",
+    "detail", "glue_job_name", "glue_job_run_id", "glue_duration_sec", "validation_name", "check_type", "actual_value", "query",
+    "cost_usd", "failure_reason", "today_count", "baseline_count", "variance_pct", "tolerance", "window_start", "window_end",
+    "overall_status", "run_date",
+)
+
+
+def audit_rows(shapes: dict[str, DataFrame], run_id: str, as_of: datetime, layer: str | None = None) -> DataFrame:
+    """Events of a run as full audit rows, all text; what an event lacks is NULL. One failed event fails the run."""
+    named = {k: df.withColumnRenamed("name", "validation_name") if "name" in df.columns else df for k, df in shapes.items()}
+    events = union_events(named, layer)
+    own = {
+        "run_id": F.lit(run_id),
+        "event_timestamp": F.lit(as_of.isoformat()),
+        "run_date": F.lit(as_of.date().isoformat()),
+        "overall_status": events.agg(F.when(F.bool_or(F.col("status") == "FAIL"), "FAIL").otherwise("PASS")).scalar(),
+    }
+    picked = [own.get(c, F.col(c) if c in events.columns else F.lit(None)).cast("string").alias(c) for c in AUDIT_COLUMNS]
+    return events.select(*picked)
+
+
 def latest_failures(
     rule_rows: DataFrame, since_ts: Column, run_id: str | None = None, suite: str | None = None, limit: int | None = None
 ) -> DataFrame:

@@ -23,6 +23,9 @@ STATUS_TYPES = ("percentage_threshold", "date_window_validation")
 # statuses of a row that is in order, and those that a result keeps if all its other rows agree on them
 GOOD_STATUSES = ("PASS", "OK")
 KEPT_STATUSES = ("WARN", "NO_DATA", "NOT_EXECUTED")
+COLUMNS = ("name", "check_type", "status", "detail", "actual_value")
+# what an audit row says besides, as text
+MEASURES = ("query", "failure_reason", "today_count", "baseline_count", "variance_pct", "tolerance", "window_start", "window_end")
 # what a described check may do wrong before anything runs
 FAULTS = (AnalysisException, ParseException, KeyError, ValueError, TypeError)
 
@@ -37,6 +40,36 @@ def run_suite(
     return reduce(DataFrame.unionByName, _rows(spark, validations, comparisons, variables))
 
 
+def suite_events(
+    spark: SparkSession,
+    validations: list[dict] = (),
+    comparisons: list[dict] = (),
+    variables: dict[str, str] | None = None,
+) -> dict[str, DataFrame]:
+    """All described checks and comparisons by kind of event, each row with the ``MEASURES`` of an audit row.
+
+    A measure that a check does not have is NULL.
+    """
+    shapes = {}
+    for kind, configs, run in (("VALIDATION", validations, _check), ("COMPARISON", comparisons, _comparison)):
+        rows = [_measured(run(spark, c, variables), c, variables) for c in configs]
+        if rows:
+            shapes[kind] = reduce(DataFrame.unionByName, rows)
+    return shapes
+
+
+def _measured(row: DataFrame, config: dict, variables: dict[str, str] | None) -> DataFrame:
+    queries = [config[k] if k == "query" else config[k].get("query", "") for k in ("query", "query_a", "query_b") if k in config]
+    tolerance = config.get("tolerance")
+    own = {
+        "query": F.lit("; ".join(queries)),
+        "failure_reason": F.when(F.col("status").isin("FAIL", "NOT_EXECUTED"), F.col("detail")),
+        "tolerance": F.lit(None if tolerance is None else str(tolerance)),
+    }
+    more = [(own.get(c, F.col(c) if c in row.columns else F.lit(None))).cast("string").alias(c) for c in MEASURES]
+    return row.select(*COLUMNS, *more)
+
+
 def run_suite_isolated(
     spark: SparkSession,
     validations: list[dict] = (),
@@ -70,6 +103,16 @@ def _kind(config: dict) -> str:
 
 
 def run_check(spark: SparkSession, config: dict, variables: dict[str, str] | None = None) -> DataFrame:
+    """One row of ``COLUMNS`` for one check, see ``_check``."""
+    return _check(spark, config, variables).select(*COLUMNS)
+
+
+def run_comparison(spark: SparkSession, config: dict, variables: dict[str, str] | None = None) -> DataFrame:
+    """One row of ``COLUMNS`` for one comparison, see ``_comparison``."""
+    return _comparison(spark, config, variables).select(*COLUMNS)
+
+
+def _check(spark: SparkSession, config: dict, variables: dict[str, str] | None) -> DataFrame:
     """One check: ``{"name", "query", "check_type", "condition", ...}``. Every row of its result counts.
 
     A result that works out its own status passes if all rows do. Rows that agree on WARN or NO_DATA give that
@@ -83,7 +126,8 @@ def run_check(spark: SparkSession, config: dict, variables: dict[str, str] | Non
             verdict = checks.rolling_average_verdict(
                 df, float(config.get("tolerance", 25)), config.get("warn_only", False)
             )
-            return _judged(verdict, name, kind, F.max("variance_pct"))
+            largest = {"today_count": F.max("today_cnt"), "baseline_count": F.max("baseline_cnt"), "variance_pct": F.max("variance_pct")}
+            return _judged(verdict, name, kind, F.max("variance_pct"), largest)
         if kind == "source_reconciliation":
             verdict = checks.recon_verdict(
                 df,
@@ -104,7 +148,7 @@ def run_check(spark: SparkSession, config: dict, variables: dict[str, str] | Non
         return _not_executed(spark, name, kind, exc)
 
 
-def run_comparison(spark: SparkSession, config: dict, variables: dict[str, str] | None = None) -> DataFrame:
+def _comparison(spark: SparkSession, config: dict, variables: dict[str, str] | None) -> DataFrame:
     """One comparison: ``{"name", "query_a": {"query"}, "query_b": {"query"}, "rule", ...}``."""
     name, rule = config.get("name", ""), config.get("rule", "match")
     kind = f"comparison:{rule}"
@@ -143,7 +187,7 @@ def _has_counts(df: DataFrame) -> bool:
     return "variance_pct" in df.columns or (today is not None and base is not None)
 
 
-def _judged(df: DataFrame, name: str, kind: str, actual: Column | None) -> DataFrame:
+def _judged(df: DataFrame, name: str, kind: str, actual: Column | None, more: dict[str, Column] | None = None) -> DataFrame:
     """The status of all rows of ``df`` together; by default the smallest status that is not in order is shown."""
     status = F.coalesce(F.upper(F.col("status").cast("string")), F.lit("NULL"))
     bad = F.when(~status.isin(*GOOD_STATUSES), status)
@@ -153,16 +197,19 @@ def _judged(df: DataFrame, name: str, kind: str, actual: Column | None) -> DataF
     )
     detail = F.when(n == 0, "no rows").otherwise(F.concat(n_bad.cast("string"), F.lit(" of "), n.cast("string"), F.lit(" rows not in order")))
     shown = F.coalesce(least, F.min(status)) if actual is None else actual
-    return _row(df, name, kind, verdict, shown, detail)
+    return _row(df, name, kind, verdict, shown, detail, more)
 
 
-def _row(df: DataFrame, name: str, kind: str, status: Column, actual: Column, detail: Column) -> DataFrame:
+def _row(
+    df: DataFrame, name: str, kind: str, status: Column, actual: Column, detail: Column, more: dict[str, Column] | None = None
+) -> DataFrame:
     return df.agg(
         F.lit(name).alias("name"),
         F.lit(kind).alias("check_type"),
         status.alias("status"),
         detail.alias("detail"),
         actual.cast("string").alias("actual_value"),
+        *(c.alias(n) for n, c in (more or {}).items()),
     )
 
 

@@ -7,9 +7,12 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakecheck.operators import checks, compare, keys, suite
-from lakecheck.plans.inputs import EVENTS_DAY, ORDERS_DAY, Inputs
+from lakecheck.operators import audit, checks, compare, keys, suite
+from lakecheck.plans.inputs import EVENTS_DAY, EVENTS_NOW, ORDERS_DAY, Inputs
 from lakecheck.plans.registry import n_if, passes, query
+from lakecheck.session import scratch_folder
+from lakecheck.sinks import writers
+from lakecheck.sources import audit_files
 
 A = "(SELECT count(*) FROM orders_src)"
 B = "(SELECT count(*) FROM orders_tgt)"
@@ -252,10 +255,43 @@ SUITE = f"""SELECT 'loaded' AS name, 'row_count' AS check_type, {passes("n > 0")
         FROM ({DIFF.replace("WITH d AS", "WITH d1 AS").replace("FROM d WHERE", "FROM d1 WHERE")}) y"""
 
 
-@query("suite_statuses", SUITE)
-def suite_rows(t: Inputs):
+def suite_names(t: Inputs) -> dict[str, str]:
     views = {"orders": t.orders_q, "counts": t.recon_counts, "source": t.orders_src, "target": t.orders_tgt}
     for name, df in views.items():
         df.createOrReplaceTempView(f"lakecheck_suite_{name}")
-    names = {name: f"lakecheck_suite_{name}" for name in views}
-    return suite.run_suite(t.spark, VALIDATIONS, COMPARISONS, names)
+    return {name: f"lakecheck_suite_{name}" for name in views}
+
+
+@query("suite_statuses", SUITE)
+def _(t: Inputs):
+    return suite.run_suite(t.spark, VALIDATIONS, COMPARISONS, suite_names(t))
+
+
+ROLLED = {"own_variance": ("10", "100.0", "5.0"), "two_days": ("100", "100.0", "95.0")}
+
+
+def rolled(i: int) -> str:
+    return "CASE name " + " ".join(f"WHEN '{n}' THEN '{v[i]}'" for n, v in ROLLED.items()) + " END"
+
+
+AUDIT_ROWS = f"""WITH rows AS ({SUITE})
+    SELECT 'run1' AS run_id, '{EVENTS_NOW.isoformat()}' AS event_timestamp,
+        'BASE_' || CASE WHEN check_type LIKE 'comparison:%' THEN 'COMPARISON' ELSE 'VALIDATION' END AS event_type,
+        {", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in ("source_label", "source_bucket", "source_prefix", "subfolder_count", "glue_job_name", "glue_job_run_id", "glue_duration_sec", "cost_usd", "window_start", "window_end"))},
+        status, NULLIF(detail, '') AS detail, name AS validation_name, check_type, actual_value,
+        CASE WHEN status IN ('FAIL', 'NOT_EXECUTED') THEN NULLIF(detail, '') END AS failure_reason,
+        {rolled(0)} AS today_count, {rolled(1)} AS baseline_count, {rolled(2)} AS variance_pct,
+        CASE WHEN name = 'sizes' THEN '5' END AS tolerance,
+        CASE WHEN bool_or(status = 'FAIL') OVER () THEN 'FAIL' ELSE 'PASS' END AS overall_status, '{EVENTS_NOW.date()}' AS run_date
+    FROM rows"""
+
+
+@query("audit_suite_events", AUDIT_ROWS)
+def _(t: Inputs):
+    shapes = suite.suite_events(t.spark, VALIDATIONS, COMPARISONS, suite_names(t))
+    rows = audit.audit_rows(shapes, "run1", EVENTS_NOW, "BASE")
+    # through the audit files and back; the text of the queries is left out of the comparison
+    root = scratch_folder(t.spark, "events")
+    writers.write_audit(rows, root)
+    read = audit_files.read_audit(t.spark, root).select(*audit.AUDIT_COLUMNS)
+    return read.withColumn("detail", F.nullif("detail", F.lit(""))).withColumn("failure_reason", F.nullif("failure_reason", F.lit(""))).drop("query")

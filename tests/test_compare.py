@@ -98,3 +98,23 @@ def test_key_sets(sides):
 
 def test_distinct_composite_key_skips_missing_parts(sides):
     assert compare.distinct_keys(sides[0], ["k", "s"]).first()[0] == 2
+
+
+def test_values_of_each_difference(spark):
+    a = spark.createDataFrame([(1, "x", 1.0), (2, "y", 2.0), (3, None, 3.0)], "k int, s string, n double")
+    b = spark.createDataFrame([(1, "x", 1), (2, "z", 5), (3, "w", 3)], "k bigint, s string, n int")
+    got = compare.data_diff_values(a, b, ["k"], ["s", "n"])
+    assert rows(got) == [(2, "n", "2.0", "5.0"), (2, "s", "y", "z"), (3, "s", None, "w")]
+    assert dict(got.dtypes)["k"] == "bigint"
+
+
+def test_decimals_of_unlike_scale_are_equal(spark):
+    a, b = (spark.sql(f"SELECT 1 AS k, CAST(1.5 AS DECIMAL({t})) AS n") for t in ("10,1", "20,4"))
+    assert compare.data_diff(a, b, ["k"], ["n"]).count() == 0
+
+
+def test_key_columns_that_clash_with_the_result(spark):
+    df = spark.createDataFrame([("a", 1)], "kind string, n int")
+    with pytest.raises(ValueError):
+        compare.data_diff(df, df, ["kind"], ["n"])
+    assert compare.data_diff_summary(df, df, ["kind"], ["n"]).first()["status"] == "PASS"
