@@ -120,6 +120,23 @@ def _(t: Inputs):
     return rolling.rolling_deviation(counts, ["movement_category"], "load_date")
 
 
+@query(
+    "rolling_10m_deviation_decay",
+    """WITH c AS (SELECT movement_category, movement_subcategory, CAST(date_trunc('month', load_date) AS DATE) AS month, count(*) AS cnt FROM movements
+                  WHERE movement_subcategory IN ('ARREARS', 'CANCEL') AND product_type = 'CLASSIC' GROUP BY ALL),
+        r AS (SELECT *, round(avg(cnt) OVER (PARTITION BY movement_category, movement_subcategory ORDER BY month
+              ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), 4) AS m FROM c),
+        d AS (SELECT *, round(abs(cnt - m) * 100 / NULLIF(m, 0), 2) AS deviation_pct FROM r)
+        SELECT movement_category, movement_subcategory, month, cnt, round(m, 2) AS rolling_avg, deviation_pct,
+               CASE WHEN deviation_pct > 10 THEN 'Y' ELSE 'N' END AS deviates FROM d""",
+)
+def _(t: Inputs):
+    # losses by month
+    by = ["movement_category", "movement_subcategory"]
+    kept = t.movements.filter(F.col("movement_subcategory").isin("ARREARS", "CANCEL") & (F.col("product_type") == "CLASSIC"))
+    return rolling.rolling_deviation(rolling.period_counts(kept, by, F.trunc("load_date", "MM"), "month"), by, "month")
+
+
 REAPPEAR = """WITH n AS (SELECT snapshot_date, row_number() OVER (ORDER BY snapshot_date) AS no
                    FROM (SELECT DISTINCT snapshot_date FROM presence) d),
         p AS (SELECT k, p.snapshot_date, no, lag(no) OVER w AS before, lag(p.snapshot_date) OVER w AS last_seen
