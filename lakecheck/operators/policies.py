@@ -35,8 +35,10 @@ def date_conflict(max_years: int) -> Column:
     )
 
 
-def daily_metrics(policies: DataFrame, max_amount: float = 400000, max_years: int = 100) -> DataFrame:
-    """(metric, source_file_date, cnt) for all six metrics.
+def daily_metrics(
+    policies: DataFrame, max_amount: float = 400000, max_years: int = 100, metrics: tuple[str, ...] = METRICS
+) -> DataFrame:
+    """(metric, source_file_date, cnt) for the wanted metrics; what no metric needs is not worked out.
 
     The table is read and shuffled once: by date and application, where repeats show, then by date.
     """
@@ -56,8 +58,8 @@ def daily_metrics(policies: DataFrame, max_amount: float = 400000, max_years: in
         "DUPLICATES_COMBINED": F.sum(repeats),
         "DATE_VALIDATIONS_COMBINED": F.sum("dates"),
     }
-    per_date = per_application.groupBy("source_file_date").agg(*[m.alias(name) for name, m in measures.items()])
-    return per_date.unpivot(["source_file_date"], list(METRICS), "metric", "cnt").select(
+    per_date = per_application.groupBy("source_file_date").agg(*[measures[name].alias(name) for name in metrics])
+    return per_date.unpivot(["source_file_date"], list(metrics), "metric", "cnt").select(
         "metric", "source_file_date", "cnt"
     )
 

@@ -425,7 +425,7 @@ def metric_sql(metric: str) -> str:
 
 
 def _policy(name: str, metric: str):
-    query(name, metric_sql(metric))(lambda t: policies.metric_status(t.policies).filter(F.col("metric") == metric))
+    query(name, metric_sql(metric))(lambda t: policies.metric_status(t.policies, metrics=(metric,)))
 
 
 _policy("life_record_volume", "RECORD_VOLUME")
