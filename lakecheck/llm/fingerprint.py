@@ -26,6 +26,8 @@ PARAGRAPH_WORDS = 16
 BASE_WIDTH = 5
 SUBTABLES = 3
 SUB_ROUNDS = 12
+#: Characters of text per task; the cells of one task are held in memory.
+PART_CHARS = 4_000_000
 #: Pseudo subtable in which peeling counts what it has found.
 FOUND = SUBTABLES
 KEY = ["k1", "k2"]
@@ -125,11 +127,14 @@ def likeness(left: Column, right: Column, only_left: Column, only_right: Column)
 # ---- next documents -----------------------------------------------------------------------------
 
 
-def keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``k1, k2, doc_id, text, copies``: equal rows as one with their number; the keys stand for id and text, NULL ids included."""
+def keyed(docs: DataFrame, id_column: str, text_column: str, parts: int) -> DataFrame:
+    """``k1, k2, doc_id, text, copies``: equal rows as one with their number; the keys stand for id and text, NULL ids included.
+
+    Texts are dealt out once, in ``parts`` parts, and stay there for all that follows.
+    """
     base = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text"))
     base = base.select(F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("k1"), F.hash("text", "doc_id", F.col("doc_id").isNull()).alias("k2"), "doc_id", "text")
-    return base.groupBy("k1", "k2").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    return base.repartition(parts, *KEY).groupBy(*KEY).agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
 
 def chain(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -178,10 +183,12 @@ def fingerprints_with_edit(docs: DataFrame, id_column: str = "doc_id", text_colu
     without words has no paragraphs; two such are alike by 1. An empty table gives no rows.
     """
     links = written(chain(docs, id_column, text_column), "chain")
-    texts = keyed(docs, id_column, text_column).join(links, KEY)
+    parts = int(max(1, -(-(links.agg(F.sum("n_chars")).first()[0] or 0) // PART_CHARS)))
+    # the condition always holds; with it all branches ask for the same columns and share one exchange of the texts
+    texts = keyed(docs, id_column, text_column, parts).where((F.col("copies") > 0) | F.col("doc_id").isNotNull()).join(links, KEY)
     heads = texts.select(
         F.col("p1").alias("k1"), F.col("p2").alias("k2"), F.expr("substring(text, 1, half)").alias("head"), paragraph_digests(F.col("text")).alias("next_set")
-    )
+    ).repartition(parts, *KEY)
     both = texts.join(heads, KEY).select(
         *KEY, "doc_id", "copies", "n_chars", paragraph_digests(F.col("text")).alias("own_set"), "next_set",
         F.expr("concat(substring(text, 1, n_chars - floor(n_chars / 2)), head)").alias("edited"),
