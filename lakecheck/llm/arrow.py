@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once in numpy; a longer text is handled alone.
-STEP_BYTES = 2 << 20
+STEP_BYTES = 1 << 19
 
 
 def slices(batch: pa.RecordBatch, column: str, step: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
