@@ -40,3 +40,13 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         edges = written(_small_star(_large_star(edges)), "edges")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).union(edges.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+
+
+def with_facts(members: DataFrame, facts: DataFrame, key: str = "label", by: str = "node", salts: int = 32) -> DataFrame:
+    """``members`` joined with the one row that ``facts`` has per ``key``.
+
+    A key may hold a third of all members: they are spread over ``salts`` parts by ``by``, and facts repeated for each.
+    """
+    spread = members.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    repeated = facts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(repeated, [key, "_salt"]).drop("_salt")

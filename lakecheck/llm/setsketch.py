@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakecheck.llm.arrow import ragged, slices, text_buffer
-from lakecheck.llm.components import components
+from lakecheck.llm.components import components, with_facts
 from lakecheck.llm.storage import written
 from lakecheck.llm.words import LOWER, mix, powers, word_hashes, word_spans
 
@@ -263,9 +263,9 @@ def verified_links(likely: DataFrame, texts: DataFrame) -> DataFrame:
     """
     degree = F.count(F.lit(1))
     met = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).groupBy("node").agg(degree.alias("degree"))
-    clusters = components(likely).join(met, "node")
+    clusters = written(components(likely).join(met, "node"), "met")
     hubs = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("degree", "node"))["node"].alias("hub"))
-    placed = written(clusters.join(hubs, "label").select("node", "label", "hub", "n"), "clusters")
+    placed = written(with_facts(clusters, hubs).select("node", "label", "hub", "n"), "clusters")
     large = placed.where(F.col("n") > BLOCK)
     with_text = large.where("node <> hub").join(texts, "node")
     hub_texts = large.where("node = hub").select("hub").join(texts.select(F.col("node").alias("hub"), F.col("text").alias("hub_text")), "hub")
@@ -273,7 +273,7 @@ def verified_links(likely: DataFrame, texts: DataFrame) -> DataFrame:
     tied = placed.join(star.select(F.col("b").alias("node"), F.lit(True).alias("tied")), "node", "left")
     tied = tied.withColumn("tied", (F.col("tied").isNotNull() | (F.col("node") == F.col("hub"))) & (F.col("n") > BLOCK))
     counts = tied.groupBy("label").agg(F.count_if("tied").alias("n_tied"), F.count_if(~F.col("tied")).alias("n_free"))
-    rows = tied.select("node", "label", "tied").join(counts, "label").join(texts, "node")
+    rows = with_facts(tied.select("node", "label", "tied"), counts).join(texts, "node")
     blocks = _grouped(rows).repartition("task").sortWithinPartitions("task", "node").mapInArrow(_verify, "a binary, b binary")
     return star.union(blocks)
 
@@ -310,9 +310,10 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     texts = written(wanted.alias("w").join(source.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))).select("node", "text"), "texts")
     labels = components(written(verified_links(likely, texts), "links"))
-    named = classes.select("node", "doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    answer = named.join(least, "label").select("node", "component_id")
+    linked = classes.select("node", "doc_id").join(labels, "node")
+    least = linked.groupBy("label").agg(F.min("doc_id").alias("least"))
+    told = with_facts(linked.select("node", "label"), least).select("node", "least")
+    answer = classes.select("node", "doc_id").join(told, "node", "left").select("node", F.coalesce("least", "doc_id").alias("component_id"))
     full = rows.where("size > 0").select("doc_id", "size", "node").join(answer, "node").select("doc_id", "size", "component_id")
     empty = rows.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"))
     return full.union(empty).select("doc_id", F.col("size").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
