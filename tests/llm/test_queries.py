@@ -95,3 +95,14 @@ def test_pipeline_stages_on_odd_rows(spark):
             if name != "pieces":
                 assert out.columns == df.columns
                 df = out
+
+
+def test_pipeline_keeps_a_text_with_many_copies(spark):
+    copied = "\n".join(f"content line {k} of the text with copies" for k in range(6))
+    data = [(i, f"{copied} \n\n" if i % 2 else copied) for i in range(30)]
+    data += [(i, f"Shared header\nown line {i} with words\nanother one {i} of the page") for i in range(30, 90)]
+    docs = spark.createDataFrame([(i, t, "xx", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    after = written(corpus_pipeline.lines(spark, docs, SF), "stage")
+    assert {r["doc_id"]: r["text"] for r in after.collect()} == {i: t.replace("Shared header\n", "") for i, t in data}
+    left = corpus_pipeline.near_duplicates(spark, after, SF)
+    assert [r["text"] for r in left.collect() if "content" in r["text"]] == [copied]
