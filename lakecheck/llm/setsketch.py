@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakecheck.llm.arrow import ragged, slices, text_buffer
@@ -106,15 +106,15 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in slices(batch, "text"):
-            sets = shingle_sets(rows.column("text"))
+            sets, others = shingle_sets(rows.column("text")), [c for c in rows.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
                 [
-                    rows.column("doc_id"),
+                    *(rows.column(c) for c in others),
                     pa.array([_digest(s) for s in sets], pa.binary()),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([registers(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 ],
-                names=["doc_id", "node", "size", "registers"],
+                names=[*others, "node", "size", "registers"],
             )
 
 
@@ -122,10 +122,14 @@ def _digest(members: np.ndarray) -> bytes | None:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None
 
 
-def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, node, size, registers``: per row the digest of its set (NULL if empty), the set size and the registers."""
-    base = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    return base.mapInArrow(_sketch, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, node binary, size long, registers binary")
+def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", key: Column | None = None) -> DataFrame:
+    """``doc_id, node, size, registers``: per row the digest of its set (NULL if empty), the set size and the registers.
+
+    With ``key``, a binary column, also ``key`` after the id.
+    """
+    base = docs.select(F.col(id_column).alias("doc_id"), *([] if key is None else [key.alias("key")]), F.col(text_column).cast("string").alias("text"))
+    keyed = "" if key is None else "key binary, "
+    return base.mapInArrow(_sketch, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, {keyed}node binary, size long, registers binary")
 
 
 def candidate_pairs(classes: DataFrame) -> DataFrame:
@@ -295,6 +299,17 @@ def _grouped(rows: DataFrame) -> DataFrame:
     )
 
 
+def _labelled(docs: DataFrame, id_column: str, text_column: str, key: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of all rows, one row per class, and ``node, label`` of the classes that are linked with others."""
+    rows = written(sketches(docs, id_column, text_column, key), "sketches")
+    classes = written(rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("registers").alias("registers")), "classes")
+    likely = written(likely_pairs(candidate_pairs(classes), classes), "likely")
+    wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "doc_id"), "node")
+    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
+    texts = written(wanted.alias("w").join(source.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))).select("node", "text"), "texts")
+    return rows, classes, components(written(verified_links(likely, texts), "links"))
+
+
 def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, kept``, one row per input row.
 
@@ -303,13 +318,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     and texts without words have size 0 and are linked with nothing. Rows repeated under one id share its fate; a
     NULL id is never the smallest unless all ids of its component are NULL. An empty table gives no rows.
     """
-    rows = written(sketches(docs, id_column, text_column), "sketches")
-    classes = written(rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("registers").alias("registers")), "classes")
-    likely = written(likely_pairs(candidate_pairs(classes), classes), "likely")
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "doc_id"), "node")
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    texts = written(wanted.alias("w").join(source.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))).select("node", "text"), "texts")
-    labels = components(written(verified_links(likely, texts), "links"))
+    rows, classes, labels = _labelled(docs, id_column, text_column)
     linked = classes.select("node", "doc_id").join(labels, "node")
     least = linked.groupBy("label").agg(F.min("doc_id").alias("least"))
     told = with_facts(linked.select("node", "label"), least).select("node", "least")
@@ -317,3 +326,33 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     full = rows.where("size > 0").select("doc_id", "size", "node").join(answer, "node").select("doc_id", "size", "component_id")
     empty = rows.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"))
     return full.union(empty).select("doc_id", F.col("size").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def near_unique(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row of each group of near duplicates: the one with the smallest id, NULL being the last; columns as in ``docs``.
+
+    Groups are made of rows, as in ``near_groups``, but each row has its own fate: of rows repeated under one id and
+    of a component of NULL ids one stays, and an id with two texts is judged by each. Among different rows of one id
+    in a group a digest of the row decides. Rows of size 0 are linked with nothing and all stay.
+    """
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_column]
+    text = F.coalesce(F.md5(F.col(text_column).cast("string").cast("binary")), F.lit(""))
+    key = F.unhex(F.md5(F.concat_ws("-", text, F.xxhash64(*others)).cast("binary")))
+    rows, _, labels = _labelled(docs, id_column, text_column, key)
+    same = rows.where("size > 0").groupBy("node", "doc_id", "key").agg(F.count(F.lit(1)).alias("n"))
+    first = same.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("first"))
+    one = first.join(labels, "node", "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
+    empty = rows.where("size = 0").select("doc_id", "key", F.lit(1).cast("long").alias("n")).distinct()
+    stays = written(one.select("first.doc_id", "first.key", "first.n").union(empty), "stays")
+    keyed = docs.withColumn("_key", key)
+
+    def held(by: DataFrame) -> DataFrame:
+        s = by.select(F.col("doc_id").alias("_id"), F.col("key").alias("_stays"))
+        return keyed.join(s, F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_stays")), "left_semi")
+
+    repeated = stays.where("n > 1")
+    if repeated.isEmpty():
+        return held(stays).drop("_key")
+    w = Window.partitionBy(id_column, "_key").orderBy("_key")
+    single = held(repeated).withColumn("_at", F.row_number().over(w)).where("_at = 1").drop("_at")
+    return held(stays.where("n = 1")).union(single).drop("_key")

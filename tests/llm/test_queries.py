@@ -106,3 +106,15 @@ def test_pipeline_keeps_a_text_with_many_copies(spark):
     assert {r["doc_id"]: r["text"] for r in after.collect()} == {i: t.replace("Shared header\n", "") for i, t in data}
     left = corpus_pipeline.near_duplicates(spark, after, SF)
     assert [r["text"] for r in left.collect() if "content" in r["text"]] == [copied]
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark):
+    a, b, c = ("one two three four five six seven", "quite another text with words of its own", "and a third one that is held by nobody else")
+    data = [(1, a, "s"), (1, a, "s"), (1, a, "t"), (2, a, "s"), (2, b, "s"), (3, b, "s"), (None, c, "s"), (None, c, "s"), (None, c.upper(), "s"), (None, a, "s")]
+    data += [(4, "", "s"), (4, "", "s"), (None, None, "s")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(3)
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert ordered((r[0], (r[1] or "").lower()) for r in got.collect()) == ordered([(1, a), (2, b), (None, c), (4, ""), (4, ""), (None, "")])
+    unique = spark.createDataFrame([r for r in data if r[0] == 3], docs.schema)
+    assert corpus_pipeline.near_duplicates(spark, unique, SF).count() == 1
