@@ -17,7 +17,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakecheck.llm.arrow import ragged, slices, text_buffer
@@ -37,6 +37,8 @@ UNIT = 32
 #: Longest piece that takes part.
 LONGEST = 12
 KNOWN_WORDS = 400_000
+#: Characters from which on the mean score of a text is taken as it is.
+FIT_CHARS = 100
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -249,29 +251,44 @@ class _Known:
         return out
 
 
-def text_scores(known: _Known, texts: pa.Array) -> np.ndarray:
-    """Log probability of each text in each language, up to what all languages share."""
+def text_scores(known: _Known, texts: pa.Array, fits: bool = False) -> np.ndarray | tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probability of each text in each language, up to what all languages share.
+
+    With ``fits`` also the scores and characters, marks included, of its words with letters and without digits (of
+    all its words if there are none): keys, numbers and the like tell nothing of a language.
+    """
     data, offsets = text_buffer(pc.utf8_lower(texts))
     starts, ends, text = word_spans(data, offsets)
     out = np.zeros((len(texts), len(known.model.languages)))
+    part, chars = np.zeros_like(out), np.zeros(len(texts))
     if len(starts):
         keys, first, back = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        scores = known.of(keys, _decoded(data, starts[first], ends[first]))
+        words = _decoded(data, starts[first], ends[first])
+        scores = known.of(keys, words)
         for k in range(out.shape[1]):
             out[:, k] = np.bincount(text, weights=scores[back, k], minlength=len(texts))
-    return out
+        if fits:
+            count = np.asarray(pc.match_substring_regex(words, r"^\PN*\pL\PN*$"))[back]
+            count |= np.bincount(text, weights=count, minlength=len(texts))[text] == 0
+            text, back = text[count], back[count]
+            chars = np.bincount(text, weights=np.asarray(pc.utf8_length(words))[back] + 1.0, minlength=len(texts))
+            for k in range(out.shape[1]):
+                part[:, k] = np.bincount(text, weights=scores[back, k], minlength=len(texts))
+    return (out, part, chars) if fits else out
 
 
-def predict(docs: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, text: str = "text", pred: str = "lang_pred", score: str = "score", fit: str | None = None) -> DataFrame:
     """``docs`` with the predicted language and its posterior probability (equal priors) added.
 
     A NULL text, one without any letter, and every text if no language was learned are ``und`` with score 0. Ties go
     to the language that comes first. Columns of the input named like the new ones are replaced, others pass
     through; rows stay as they are, repeated ones too. A text is scored in one task, whatever its length, by its
-    distinct words; a run without white space is scored in units of ``UNIT`` characters.
+    distinct words; a run without white space is scored in units of ``UNIT`` characters. ``fit`` names a third column:
+    ``mean``, the log score per character under the predicted language, and ``weight``, ``sqrt(chars / FIT_CHARS)`` and 1
+    at most, since the mean of a short text is less certain; NULL where the language is ``und``.
     """
-    base = docs.drop(pred, score)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + f", `{pred}` string, `{score}` double"
+    base = docs.drop(pred, score, *([fit] if fit else []))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields) + f", `{pred}` string, `{score}` double" + (f", `{fit}` struct<mean: double, weight: double>" if fit else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Known(model) if model else None
@@ -280,19 +297,48 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", pred: str
                 texts = rows.column(text).fill_null("")
                 letters = np.asarray(pc.match_substring_regex(texts, r"\p{L}"))
                 best, prob = np.zeros(len(texts), int), np.zeros(len(texts))
+                mean, weight = np.zeros(len(texts)), np.zeros(len(texts))
                 if model:
-                    logs = text_scores(known, texts)
+                    logs = text_scores(known, texts, bool(fit))
+                    if fit:
+                        logs, part, chars = logs
+                        mean = part[np.arange(len(texts)), logs.argmax(axis=1)] / np.maximum(chars, 1)
+                        weight = np.sqrt(np.minimum(chars / FIT_CHARS, 1))
                     best = logs.argmax(axis=1)
                     prob = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
                 names = np.array(model.languages if model else ["und"], object)[best]
                 sure = letters & bool(model)
+                fitted = [pa.StructArray.from_arrays([pa.array(mean), pa.array(weight)], names=["mean", "weight"], mask=pa.array(~sure))] if fit else []
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns, pa.array(np.where(sure, names, "und"), pa.string()), pa.array(np.where(sure, prob, 0.0))], names=[*rows.schema.names, pred, score]
+                    [*rows.columns, pa.array(np.where(sure, names, "und"), pa.string()), pa.array(np.where(sure, prob, 0.0)), *fitted],
+                    names=[*rows.schema.names, pred, score, *([fit] if fit else [])],
                 )
 
     return base.mapInArrow(run, schema)
 
 
+def fit_floors(docs: DataFrame, model: Model | None, id_column: str = "doc_id", lang: str = "lang", text: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, tuple[float, float]]:
+    """``language: (usual, floor)``: its median log score per character and how far a text of it may be below, times ``weight``.
+
+    Learned from labelled rows, about ``per_language`` of each language, held-out ones included. The floor is twice
+    the distance that one row in a thousand exceeds, one nat per character at least; a text below it is in no language
+    that was learned. What reaches the driver is two numbers per language.
+    """
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    told = written(predict(_sample(rows, per_language), model, fit="fit").where("fit is not null").select("lang_pred", "fit.mean", "fit.weight"), "fits")
+    usual = told.groupBy("lang_pred").agg(F.percentile("mean", F.lit(0.5)).alias("usual"))
+    below = told.join(F.broadcast(usual), "lang_pred").groupBy("lang_pred", "usual").agg(F.percentile((F.col("usual") - F.col("mean")) * F.col("weight"), F.lit(0.999)).alias("far"))
+    return {r["lang_pred"]: (r["usual"], -max(2 * r["far"], 1.0)) for r in below.collect()}
+
+
+def fits(fit: Column, pred: Column, floors: dict[str, tuple[float, float]]) -> Column:
+    """Whether a text is as likely as texts of its predicted language are; true where nothing was learned of that."""
+    bounds = F.create_map(*(x for k, (usual, floor) in floors.items() for x in (F.lit(k), F.array(F.lit(usual), F.lit(floor))))) if floors else None
+    if bounds is None:
+        return F.lit(True)
+    return F.coalesce((fit["mean"] - bounds[pred][0]) * fit["weight"] >= bounds[pred][1], F.lit(True))
+
+
 def held_out(id_column: str = "doc_id"):
     """Rows that training never sees: a quarter, by checksum of the id."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 == 2, F.lit(False))

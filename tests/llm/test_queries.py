@@ -118,3 +118,19 @@ def test_pipeline_keeps_one_row_of_each_group(spark):
     assert ordered((r[0], (r[1] or "").lower()) for r in got.collect()) == ordered([(1, a), (2, b), (None, c), (4, ""), (4, ""), (None, "")])
     unique = spark.createDataFrame([r for r in data if r[0] == 3], docs.schema)
     assert corpus_pipeline.near_duplicates(spark, unique, SF).count() == 1
+
+
+def test_pipeline_drops_languages_that_were_not_learned(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    strange = [
+        "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli jota puhuvat pääosin suomalaiset",
+        "xqzjk wvqxz zzkqj pqwxv kjzqx vwqpz xkqjz qqzvx jxwkq zvxqp kwjqz wvqxz zzkqj pqwxv kjzqx vwqpz xkqjz qqzvx",
+        "Ez egy magyar nyelvű szöveg amelyet nem tanult meg a modell soha és amely ezért nem maradhat a gyűjteményben",
+    ]
+    more = spark.createDataFrame([(-1 - i, t, None, "s", len(t)) for i, t in enumerate(strange)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = docs.unionByName(more)
+    after = corpus_pipeline.language(spark, before, SF)
+    assert after.columns == docs.columns
+    ids = {r["doc_id"] for r in after.collect()}
+    assert not ids & {-1, -2, -3}
+    assert ids == {r["doc_id"] for r in docs.where(F.col("text").rlike(r"\p{L}")).collect()}
