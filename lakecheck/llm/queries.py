@@ -16,6 +16,7 @@ from lakecheck.llm.mixing import mixed_sizes
 from lakecheck.llm.repeats import cut_repeats
 from lakecheck.llm.secrets import ALL_RULES, BASE_RULES, scan_secrets, spans_by_path
 from lakecheck.llm.setsketch import near_groups
+from lakecheck.llm.spelling import spelling_variants
 from lakecheck.llm.text import sha256_hex
 from lakecheck.llm.viterbi import decode, encode
 
@@ -164,3 +165,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         sha256_hex(F.coalesce("decoded", F.lit(""))).alias("text_sha256"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("exact"),
     )
+
+
+@query("op13_spelling")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
