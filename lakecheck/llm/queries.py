@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakecheck.llm.chat import format_chats, read_back
+from lakecheck.llm.collocations import collocations
 from lakecheck.llm.exact import exact_groups
 from lakecheck.llm.fingerprint import fingerprints_with_edit
 from lakecheck.llm.language import held_out, predict, train_on
+from lakecheck.llm.lattice import lattice_scores
 from lakecheck.llm.lines import drop_boilerplate
 from lakecheck.llm.mixing import mixed_sizes
 from lakecheck.llm.repeats import cut_repeats
@@ -167,6 +169,56 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op11_collocations",
+    r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+starts AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM words),
+sizes AS (SELECT unnest(range(1, 6)) AS size),
+counts AS (
+  SELECT lang, array_to_string(w[i:i + size - 1], ' ') AS phrase, size, count(*) AS f
+  FROM starts JOIN sizes ON i + size - 1 <= len(w) GROUP BY ALL HAVING count(*) >= 100
+),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+cuts AS (SELECT lang, phrase, c.size, f AS a, string_split(phrase, ' ') AS w, s.size AS k FROM counts c JOIN sizes s ON s.size < c.size),
+scored AS (
+  SELECT x.lang, x.phrase, x.a, l.f AS l, r.f AS r, t.n, x.k, (1000::HUGEINT * x.a * t.n) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts x JOIN totals t ON t.lang = x.lang
+  JOIN counts l ON l.lang = x.lang AND l.phrase = array_to_string(x.w[1:x.k], ' ')
+  JOIN counts r ON r.lang = x.lang AND r.phrase = array_to_string(x.w[x.k + 1:], ' ')
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[i:i + s.size - 1], ' ') AS phrase, max(f) AS around
+  FROM (SELECT *, unnest(range(1, size)) AS i FROM counts) c JOIN sizes s ON s.size < c.size AND i + s.size - 1 <= c.size GROUP BY 1, 2
+),
+inside_last AS (
+  SELECT lang, array_to_string(string_split(phrase, ' ')[size - s + 1:], ' ') AS phrase, max(f) AS around
+  FROM (SELECT *, unnest(range(1, size)) AS s FROM counts) GROUP BY 1, 2
+),
+kept AS (
+  SELECT x.* FROM lowest x
+  LEFT JOIN (SELECT lang, phrase, max(around) AS around FROM (FROM inside UNION ALL FROM inside_last) GROUP BY ALL) o ON o.lang = x.lang AND o.phrase = x.phrase
+  WHERE o.around IS NULL OR 100 * o.around < 100 * x.a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept QUALIFY rank <= 2000
+""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+@query("op12_lm_scores")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op13_spelling")
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -84,15 +84,14 @@ class _Room:
         while True:
             self._grow(at + self.WINDOW + int(ahead[-1]) + 1)
             free = np.flatnonzero(~self.used[at : at + self.WINDOW]) + at
-            for k, off in enumerate(ahead[1:]):
-                if len(free) <= 4 and k:
+            for off in ahead[1:]:
+                if not len(free):
                     break
                 free = free[~self.used[free + off]]
-            fits = [f for f in free if not self.used[f + ahead].any()]
-            if fits:
-                self.used[fits[0] + ahead] = True
-                self.seen[kind] = int(fits[0])
-                return int(fits[0]) - int(symbols[0])
+            if len(free):
+                self.used[free[0] + ahead] = True
+                self.seen[kind] = int(free[0])
+                return int(free[0] - symbols[0])
             at += self.WINDOW
 
     def single(self, n: int) -> np.ndarray:
