@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakecheck.functions.exprs import when_status
+from lakecheck.functions.exprs import when_status, wider_number
 
 SCALAR_RULES = (
     "match",
@@ -98,6 +98,7 @@ def data_diff(
     columns: list[str] = (),
     case_sensitive: bool = True,
     null_as_empty: bool = False,
+    segments: int | None = None,
 ) -> DataFrame:
     """One row per differing key: its kind, and for a mismatch the columns that differ.
 
@@ -105,8 +106,14 @@ def data_diff(
     shuffle, no join, and a key repeated on either side is combined before it. Of a repeated key the
     smallest row in column order is compared. NULL equals NULL, and equals blank text on request. Columns
     of one type on both sides keep it, others are compared as text. Nothing is cut.
+
+    With ``segments``, for tables that are expected to be nearly equal, keys are first dealt into so many segments by
+    their hash, and only rows of segments whose digests differ are compared (see ``_unequal_only``). Equal tables then
+    cost one hash aggregate that shuffles a row per segment and task, and no row of theirs is shuffled or sorted.
     """
-    grouped = _by_key(a, b, list(keys), list(columns), case_sensitive, null_as_empty)
+    keys, columns = list(keys), list(columns)
+    stacked = _stacked(a, b, keys, columns, case_sensitive, null_as_empty)
+    grouped = _by_key(_unequal_only(stacked, keys, segments) if segments else stacked, keys, columns)
     told = grouped.filter(F.col(KIND) != "same").select(*keys, F.col(KIND).alias("kind"), F.col(NAMES).alias("diff_columns"))
     if len(set(told.columns)) < len(told.columns):
         raise ValueError("a key column is named kind or diff_columns; rename it")
@@ -120,9 +127,12 @@ def data_diff_values(
     columns: list[str],
     case_sensitive: bool = True,
     null_as_empty: bool = False,
+    segments: int | None = None,
 ) -> DataFrame:
     """``keys, column_name, value_a, value_b`` as text, one row per differing column of a key on both sides. Nothing is cut."""
-    grouped = _by_key(a, b, list(keys), list(columns), case_sensitive, null_as_empty)
+    keys, columns = list(keys), list(columns)
+    stacked = _stacked(a, b, keys, columns, case_sensitive, null_as_empty)
+    grouped = _by_key(_unequal_only(stacked, keys, segments) if segments else stacked, keys, columns)
     entries = [
         F.struct(F.lit(c).alias("column_name"), F.col(f"_a._{i}").cast("string").alias("value_a"), F.col(f"_b._{i}").cast("string").alias("value_b"), (~F.col(f"_a._{i}").eqNullSafe(F.col(f"_b._{i}"))).alias("differs"))
         for i, c in enumerate(columns)
@@ -138,10 +148,16 @@ def data_diff_summary(
     columns: list[str] = (),
     case_sensitive: bool = True,
     null_as_empty: bool = False,
+    segments: int | None = None,
 ) -> DataFrame:
-    """Row counts, differing keys by kind, repeated keys and status."""
-    grouped = _by_key(a, b, list(keys), list(columns), case_sensitive, null_as_empty)
-    kinds = {"only_in_a": "only_in_a", "only_in_b": "only_in_b", "value_mismatches": "mismatch"}
+    """Row counts, differing keys by kind, repeated keys and status.
+
+    With ``segments`` the counts come from an aggregate that carries keys and counts only, and the mismatches from the
+    rows of unequal segments, as in ``data_diff``.
+    """
+    keys, columns = list(keys), list(columns)
+    stacked = _stacked(a, b, keys, columns, case_sensitive, null_as_empty)
+    in_a = F.col("_in_a")
 
     def rows(c: str | Column) -> Column:
         return F.coalesce(F.sum(c), F.lit(0))
@@ -149,19 +165,33 @@ def data_diff_summary(
     def repeats(c: str) -> Column:
         return rows(F.greatest(F.col(c) - 1, F.lit(0)))
 
-    return grouped.agg(
+    if segments:
+        grouped = stacked.groupBy(*keys).agg(F.count_if(in_a).alias("rows_a"), F.count_if(~in_a).alias("rows_b"))
+        unequal = _by_key(_unequal_only(stacked, keys, segments), keys, columns)
+        mismatches = unequal.agg(F.count_if(F.col(KIND) == "mismatch")).scalar()
+    else:
+        grouped = _by_key(stacked, keys, columns)
+        mismatches = F.count_if(F.col(KIND) == "mismatch")
+    counted = grouped.agg(
         rows("rows_a").alias("rows_a"),
         rows("rows_b").alias("rows_b"),
-        *[F.count_if(F.col(KIND) == kind).alias(name) for name, kind in kinds.items()],
+        F.count_if(F.col("rows_b") == 0).alias("only_in_a"),
+        F.count_if(F.col("rows_a") == 0).alias("only_in_b"),
+        *([] if segments else [mismatches.alias("value_mismatches")]),
         repeats("rows_a").alias("duplicates_a"),
         repeats("rows_b").alias("duplicates_b"),
-        when_status(F.count_if(F.col(KIND) != "same") == 0).alias("status"),
     )
+    if segments:
+        counted = counted.withColumn("value_mismatches", mismatches)
+    same = (F.col("only_in_a") == 0) & (F.col("only_in_b") == 0) & (F.col("value_mismatches") == 0)
+    order = ["rows_a", "rows_b", "only_in_a", "only_in_b", "value_mismatches", "duplicates_a", "duplicates_b"]
+    return counted.select(*order, when_status(same).alias("status"))
 
 
-def _by_key(
+def _stacked(
     a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], case_sensitive: bool, null_as_empty: bool
 ) -> DataFrame:
+    """The rows of both sides as ``keys, _in_a, _row``, in the form in which they are compared."""
     for side, df in (("a", a), ("b", b)):
         missing = [c for c in keys + columns if c not in df.columns]
         if missing:
@@ -171,7 +201,7 @@ def _by_key(
         """As it is where both sides agree on the type, in the wider type of two numbers, else as text."""
         kind, other = a.schema[c].dataType, b.schema[c].dataType
         if kind != other and isinstance(kind, T.NumericType) and isinstance(other, T.NumericType):
-            return F.col(c).cast(_wider(kind, other))
+            return F.col(c).cast(wider_number(kind, other))
         if kind == other and not isinstance(kind, T.StringType):
             return F.col(c)
         text = F.col(c).cast("string")
@@ -183,7 +213,29 @@ def _by_key(
         row = F.struct(*[value(c).alias(f"_{i}") for i, c in enumerate(columns)]) if columns else F.lit(0)
         return df.select(*picked, F.lit(in_a).alias("_in_a"), row.alias("_row"))
 
-    stacked = side(a, True).unionByName(side(b, False))
+    return side(a, True).unionByName(side(b, False))
+
+
+def _unequal_only(stacked: DataFrame, keys: list[str], segments: int) -> DataFrame:
+    """The rows of segments in which the two sides hold different rows.
+
+    The digest of a segment and side is the number of its rows, the sums of both halves of a 64-bit row hash, and the
+    exclusive or of a second one. Equal sets of rows, repeats included, have equal digests; unequal ones pass for equal
+    with a probability of some 2 ** -128. What is broadcast is at most one number per segment; where no segment
+    differs, adaptive execution drops the second read of the tables.
+    """
+    segment = F.pmod(F.xxhash64(*keys), F.lit(segments).cast("bigint"))
+    row, second = F.xxhash64(*keys, "_row"), F.xxhash64(F.lit(7), *keys, "_row")
+    sign = F.when(F.col("_in_a"), 1).otherwise(-1).cast("bigint")
+    halves = row.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(row, 32)
+    digests = stacked.groupBy(segment.alias("_segment")).agg(
+        F.sum(sign).alias("n"), *[F.sum(sign * half).alias(f"h{i}") for i, half in enumerate(halves)], F.bit_xor(second).alias("x")
+    )
+    unequal = digests.where("n <> 0 OR h0 <> 0 OR h1 <> 0 OR x <> 0").select("_segment")
+    return stacked.withColumn("_segment", segment).join(F.broadcast(unequal), "_segment", "left_semi").drop("_segment")
+
+
+def _by_key(stacked: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     in_a = F.col("_in_a")
     grouped = stacked.groupBy(*keys).agg(
         F.count_if(in_a).alias("rows_a"),
@@ -205,17 +257,6 @@ def _by_key(
     return grouped.withColumn(NAMES, F.when(paired, names).otherwise("")).withColumn(KIND, kind)
 
 
-def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
-    """A number type that holds the values of both; double beside any other, decimals with room for both parts."""
-    whole = {T.ByteType(): 3, T.ShortType(): 5, T.IntegerType(): 10, T.LongType(): 19}
-    if a in whole and b in whole:
-        return max(a, b, key=whole.get)
-    if any(isinstance(x, T.FractionalType) and not isinstance(x, T.DecimalType) for x in (a, b)):
-        return T.DoubleType()
-    left, scale = zip(*((x.precision - x.scale, x.scale) if isinstance(x, T.DecimalType) else (whole[x], 0) for x in (a, b)))
-    return T.DecimalType(min(38, max(left) + max(scale)), min(max(scale), 38 - min(38, max(left))))
-
-
 def distinct_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct composite keys; a key with a missing part is not counted."""
     return df.agg(F.count_distinct(*keys).alias("cnt"))

@@ -96,6 +96,7 @@ scalar_rule(
 # ---- row-level difference ----------------------------------------------------------------------
 
 COLUMNS = ["status", "priority", "amount"]
+SEGMENTS = 1 << 16
 DIFF = """WITH d AS (
     SELECT coalesce(a.k, b.k) AS k,
            CASE WHEN b.k IS NULL THEN 'only_in_a' WHEN a.k IS NULL THEN 'only_in_b' ELSE 'both' END AS side,
@@ -113,6 +114,11 @@ def _(t: Inputs):
     return compare.data_diff(t.orders_src, t.orders_tgt, ["k"], COLUMNS)
 
 
+@query("cmp_data_diff_segments", DIFF)
+def _(t: Inputs):
+    return compare.data_diff(t.orders_src, t.orders_tgt, ["k"], COLUMNS, segments=SEGMENTS)
+
+
 @query(
     "cmp_data_diff_values",
     " UNION ALL ".join(
@@ -130,33 +136,44 @@ def _(t: Inputs):
     return compare.data_diff(t.orders_src, t.orders_tgt, ["k"], COLUMNS, case_sensitive=False)
 
 
-@query(
-    "cmp_data_diff_summary",
-    f"""WITH x AS (SELECT * FROM ({DIFF.replace("WITH d AS", "WITH d0 AS").replace("FROM d WHERE", "FROM d0 WHERE")}) y)
+SUMMARY = f"""WITH x AS (SELECT * FROM ({DIFF.replace("WITH d AS", "WITH d0 AS").replace("FROM d WHERE", "FROM d0 WHERE")}) y)
         SELECT (SELECT count(*) FROM orders_src) AS rows_a, (SELECT count(*) FROM orders_tgt) AS rows_b,
         {n_if("kind = 'only_in_a'")} AS only_in_a, {n_if("kind = 'only_in_b'")} AS only_in_b,
         {n_if("kind = 'mismatch'")} AS value_mismatches, CAST(0 AS BIGINT) AS duplicates_a, CAST(0 AS BIGINT) AS duplicates_b,
-        {passes("count(*) = 0")} AS status FROM x""",
-)
+        {passes("count(*) = 0")} AS status FROM x"""
+
+
+@query("cmp_data_diff_summary", SUMMARY)
 def _(t: Inputs):
     return compare.data_diff_summary(t.orders_src, t.orders_tgt, ["k"], COLUMNS)
 
 
-@query(
-    "cmp_data_diff_duplicates",
-    f"""WITH a AS (SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_quantity) AS q FROM lineitem GROUP BY ALL),
+@query("cmp_data_diff_summary_segments", SUMMARY)
+def _(t: Inputs):
+    return compare.data_diff_summary(t.orders_src, t.orders_tgt, ["k"], COLUMNS, segments=SEGMENTS)
+
+
+DUPLICATES = f"""WITH a AS (SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_quantity) AS q FROM lineitem GROUP BY ALL),
         b AS (SELECT l_orderkey, l_linenumber, count(*) AS n, min(l_quantity) AS q FROM lineitem WHERE l_tax < 0.08 GROUP BY ALL),
         j AS (SELECT a.n AS na, b.n AS nb, a.q AS qa, b.q AS qb FROM a FULL JOIN b USING (l_orderkey, l_linenumber))
         SELECT CAST(sum(na) AS BIGINT) AS rows_a, CAST(sum(nb) AS BIGINT) AS rows_b, {n_if("nb IS NULL")} AS only_in_a,
         {n_if("na IS NULL")} AS only_in_b, {n_if("qa <> qb")} AS value_mismatches,
         CAST(sum(na - 1) AS BIGINT) AS duplicates_a, CAST(sum(nb - 1) AS BIGINT) AS duplicates_b,
-        {passes(n_if("nb IS NULL OR na IS NULL OR qa <> qb") + " = 0")} AS status FROM j""",
-)
+        {passes(n_if("nb IS NULL OR na IS NULL OR qa <> qb") + " = 0")} AS status FROM j"""
+
+
+@query("cmp_data_diff_duplicates", DUPLICATES)
 def _(t: Inputs):
     kept = t.lineitem.filter(F.col("l_tax") < 0.08)
     return compare.data_diff_summary(t.lineitem, kept, ["l_orderkey", "l_linenumber"], ["l_quantity"])
 
 
+@query("cmp_data_diff_duplicates_segments", DUPLICATES)
+def _(t: Inputs):
+    kept = t.lineitem.filter(F.col("l_tax") < 0.08)
+    return compare.data_diff_summary(t.lineitem, kept, ["l_orderkey", "l_linenumber"], ["l_quantity"], segments=SEGMENTS)
+
+
 @query("keys_only_in_a", "SELECT k, status FROM orders_src EXCEPT SELECT k, status FROM orders_tgt")
 def _(t: Inputs):
     return keys.keys_only_in(t.orders_src, t.orders_tgt, ["k", "status"])
