@@ -1,12 +1,14 @@
 """Table rules compiled to aggregates.
 
-All rules that look at single rows of a table share one aggregate over that table. Uniqueness and
-reference rules first reduce the table to one row per value, so no value group is ever gathered.
+A table whose rules look at single rows only is read by one global aggregate. Tables with uniqueness or reference
+rules are read once as well, and together: each row is dealt out as one entry per key rule, with the key in columns
+of its own type, and one per row rule that it fails. One aggregate by rule and key counts the entries of all tables,
+combined before its only shuffle, and a second one over the counts has a result for each rule. No key group is ever
+gathered, and all comparisons are of the values themselves.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 from collections import defaultdict
 from dataclasses import dataclass, replace
@@ -18,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakecheck.functions.exprs import instant
+from lakecheck.functions.exprs import instant, wider_number
 
 ROW_TYPES = ("NOT_NULL", "RANGE", "REGEX", "ROW_COUNT", "BUSINESS")
 COMPARE_OPERATORS = (">=", ">", "<=", "<", "=", "==", "!=", "<>")
@@ -68,6 +70,7 @@ RULE_FIELDS = (
 )
 # position in the rule list, the rule, and the condition of a failing row
 Entry = tuple[int, Rule, Column | None]
+ERROR_FIELDS = "position int, error_message string"
 
 
 def evaluate_rules(
@@ -75,96 +78,101 @@ def evaluate_rules(
 ) -> DataFrame:
     """One audit row per rule. A rule that does not resolve against its table becomes an ERROR row.
 
-    ``frames`` are named by table, or by ``database.table``, which comes first for a rule with a database. A rule
-    that breaks only while it runs, such as a condition with a failing cast, ends the job: see
-    ``evaluate_rules_isolated``.
+    ``frames`` are named by table, or by ``database.table``, which comes first for a rule with a database. Patterns
+    and limits are read once, on constants, while the plan is built. A rule that breaks only while it runs, such as a
+    condition with a failing cast, ends the job: see ``evaluate_rules_isolated``.
     """
-    counted, broken = [], []
+    return _evaluated(frames, rules, run_id, as_of, suite).drop("position")
+
+
+def evaluate_rules_isolated(
+    frames: dict[str, DataFrame], rules: list[Rule], run_id: str, as_of: datetime | date, suite: str = ""
+) -> DataFrame:
+    """As ``evaluate_rules``, run at once: a rule of any type that breaks while it runs becomes an ERROR row.
+
+    All rules run as one job. Only if that breaks are the rules of each table tried together, and only those of a
+    table that breaks again one by one; the sound ones then share one job. What reaches the driver is one row per rule.
+    """
+    spark = next(iter(frames.values())).sparkSession
+
+    def broken_by(positions: list[int]) -> str | None:
+        try:
+            _evaluated(frames, rules, run_id, as_of, suite, leave={i: "" for i in range(len(rules)) if i not in positions}).collect()
+        except PySparkException as exc:
+            return exc.getCondition() or "RUNTIME_ERROR"
+        return None
+
+    every = _evaluated(frames, rules, run_id, as_of, suite)
+    try:
+        return spark.createDataFrame(every.collect(), every.schema).drop("position")
+    except PySparkException:
+        pass
+    by_table: dict[tuple[str, str], list[int]] = defaultdict(list)
+    for position, rule in enumerate(rules):
+        by_table[rule.database, rule.table].append(position)
+    broken = {}
+    for positions in by_table.values():
+        whole = broken_by(positions)
+        if whole:
+            alone = {positions[0]: whole} if len(positions) == 1 else {i: broken_by([i]) for i in positions}
+            broken |= {i: error for i, error in alone.items() if error}
+    sound = _evaluated(frames, rules, run_id, as_of, suite, leave=broken)
+    return spark.createDataFrame(sound.collect(), sound.schema).drop("position")
+
+
+def _evaluated(frames: dict[str, DataFrame], rules: list[Rule], run_id: str, as_of, suite: str, leave: dict[int, str] | None = None) -> DataFrame:
+    """The audit rows with their position; rules in ``leave`` are not run, and are errors with the given message."""
+    spark = next(iter(frames.values())).sparkSession
+    leave = leave or {}
+    errors: dict[int, str] = dict(leave)
     by_table: dict[str, list[Entry]] = defaultdict(list)
+    keyed: list[_KeyRule] = []
+    counted: list[DataFrame] = []
+    unread = _unreadable_constants(frames, {i: r for i, r in enumerate(rules) if i not in leave})
     for position, rule in enumerate(rules):
+        if position in leave:
+            continue
         try:
+            if position in unread:
+                raise ValueError(unread[position])
             kind = rule.rule_type.upper()
             if kind in ROW_TYPES:
                 name = _frame_name(frames, rule.database, rule.table)
                 by_table[name].append((position, rule, _bad_row(rule, frames[name])))
             elif kind == "UNIQUENESS":
-                if not rule.columns:
-                    raise ValueError("column is missing")
-                counted.append(_uniqueness(frames[_frame_name(frames, rule.database, rule.table)], rule, position))
+                keyed.append(_uniqueness(frames, rule, position))
             elif kind == "REFERENTIAL":
-                if not rule.columns:
-                    raise ValueError("column is missing")
-                if not rule.ref_table:
-                    raise ValueError("ref_table is missing")
-                sides = _frame_name(frames, rule.database, rule.table), _frame_name(frames, rule.ref_database, rule.ref_table)
-                counted.append(_referential(frames[sides[0]], frames[sides[1]], rule, position))
+                found = _referential(frames, rule, position)
+                (keyed if isinstance(found, _KeyRule) else counted).append(found)
             else:
                 raise ValueError(f"unknown rule type {rule.rule_type}")
         except (AnalysisException, ParseException) as exc:
-            broken.append((position, exc.getCondition() or "ANALYSIS_ERROR"))
+            errors[position] = exc.getCondition() or "ANALYSIS_ERROR"
         except SparkRuntimeException as exc:
-            broken.append((position, exc.getCondition() or "RUNTIME_ERROR"))
+            errors[position] = exc.getCondition() or "RUNTIME_ERROR"
         except (KeyError, ValueError, TypeError) as exc:
-            broken.append((position, str(exc.args[0])))
+            errors[position] = str(exc.args[0])
+    sound = {}
     for table, entries in by_table.items():
-        passed, errors = _isolated(frames[table], entries)
-        counted += passed
-        broken += errors
-
-    spark = next(iter(frames.values())).sparkSession
-    if broken:
-        errors = spark.createDataFrame(broken, "position int, error_message string")
-        counted.append(
-            errors.select(
-                "position",
-                F.lit(0).cast("bigint").alias("failed"),
-                F.lit(0).cast("bigint").alias("total"),
-                F.lit(None).cast("string").alias("sample"),
-                "error_message",
-            )
-        )
+        sound[table], unresolved = _resolving(frames[table], entries)
+        errors |= unresolved
+    with_keys = {name for k in keyed for name in k.tables}
+    counted += [_one_pass(frames[table], entries) for table, entries in sound.items() if entries and table not in with_keys]
+    if keyed:
+        counted.append(_keyed_pass(frames, keyed, {t: e for t, e in sound.items() if t in with_keys}))
+
+    if errors:
+        told = spark.createDataFrame(list(errors.items()), ERROR_FIELDS)
+        none = F.lit(0).cast("bigint")
+        counted.append(told.select("position", none.alias("failed"), none.alias("total"), F.lit(None).cast("string").alias("sample"), "error_message"))
+    if not counted:
+        counted.append(spark.createDataFrame([], "position int, failed bigint, total bigint, sample string"))
     results = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), counted)
     if "error_message" not in results.columns:
         results = results.withColumn("error_message", F.lit(None).cast("string"))
     return _audit_rows(results, rules, run_id, as_of, suite)
 
 
-def evaluate_rules_isolated(
-    frames: dict[str, DataFrame], rules: list[Rule], run_id: str, as_of: datetime | date, suite: str = ""
-) -> DataFrame:
-    """As ``evaluate_rules``, run at once: a rule that breaks while it runs becomes an ERROR row.
-
-    All rules run as one job. Only if that breaks are the BUSINESS rules tried one by one, the only ones whose
-    expressions can fail on data; those that break are reported, and the others share one pass again. What reaches
-    the driver is one row per rule.
-    """
-    spark = next(iter(frames.values())).sparkSession
-    all_rows = evaluate_rules(frames, rules, run_id, as_of, suite)
-    try:
-        return spark.createDataFrame(all_rows.collect(), all_rows.schema)
-    except PySparkException:
-        pass
-    broken = {}
-    for position, rule in enumerate(rules):
-        if rule.rule_type.upper() == "BUSINESS":
-            try:
-                evaluate_rules(frames, [rule], run_id, as_of, suite).collect()
-            except PySparkException as exc:
-                broken[position] = exc.getCondition() or "RUNTIME_ERROR"
-    sound = [replace(r, rule_type="BROKEN", condition=None) if i in broken else r for i, r in enumerate(rules)]
-    rows = evaluate_rules(frames, sound, run_id, as_of, suite)
-    done = []
-    for row in rows.collect():
-        values = row.asDict()
-        position = next((i for i in broken if values["rule_type"] == "BROKEN" and values["record_id"] == _record_id(run_id, i, rules[i])), None)
-        done.append(values if position is None else {**values, "rule_type": "BUSINESS", "error_message": broken[position]})
-    return spark.createDataFrame(done, rows.schema)
-
-
-def _record_id(run_id: str, position: int, rule: Rule) -> str:
-    return hashlib.md5(f"{run_id}^{position}^{rule.rule_name}".encode()).hexdigest()
-
-
 def _frame_name(frames: dict[str, DataFrame], database: str, table: str) -> str:
     """The key of a table in ``frames``: with its database if that is registered, else without."""
     name = f"{database}.{table}" if database else table
@@ -175,23 +183,80 @@ def _frame_name(frames: dict[str, DataFrame], database: str, table: str) -> str:
     raise ValueError(f"table {name} not found")
 
 
-def _isolated(df: DataFrame, entries: list[Entry]) -> tuple[list[DataFrame], list[tuple[int, str]]]:
-    """The one pass over a table, and the errors of rules that do not resolve against it.
+def _resolving(df: DataFrame, entries: list[Entry]) -> tuple[list[Entry], dict[int, str]]:
+    """The row rules that resolve against their table, and the errors of the others.
 
-    All rules are analysed together; only if that fails is each one tried alone.
+    All are analysed together; only if that fails is each one tried alone.
     """
     try:
-        return [_one_pass(df, entries)], []
+        _one_pass(df, entries)
+        return entries, {}
     except AnalysisException:
         pass
-    sound, errors = [], []
+    sound, errors = [], {}
     for entry in entries:
         try:
             _one_pass(df, [entry])
             sound.append(entry)
         except AnalysisException as exc:
-            errors.append((entry[0], exc.getCondition() or "ANALYSIS_ERROR"))
-    return ([_one_pass(df, sound)] if sound else []), errors
+            errors[entry[0]] = exc.getCondition() or "ANALYSIS_ERROR"
+    return sound, errors
+
+
+def _unreadable_constants(frames: dict[str, DataFrame], rules: dict[int, Rule]) -> dict[int, str]:
+    """Errors of patterns and text limits, found by one query over constants.
+
+    The engine that will run a pattern reads it once. Only where one of them is no pattern is each read alone.
+    """
+    patterns, limits, args = {}, {}, {}
+    for i, r in rules.items():
+        kind = r.rule_type.upper()
+        if kind == "REGEX" and r.pattern is not None:
+            patterns[i] = f"'' RLIKE :p{i}"
+            args[f"p{i}"] = r.pattern
+        if kind == "RANGE" and r.columns:
+            for end, limit in (("lo", r.min_value), ("hi", r.max_value)):
+                to = _limit_type(frames, r) if isinstance(limit, str) else None
+                if to:
+                    limits[i, end] = f"try_cast(:{end}{i} AS {to}) IS NOT NULL"
+                    args[f"{end}{i}"] = limit
+    if not args:
+        return {}
+    spark = next(iter(frames.values())).sparkSession
+
+    def read(tests: dict) -> list:
+        # a literal argument may be bound that no test names
+        return list(spark.sql(f"SELECT {', '.join(tests.values())}", args=args).first()) if tests else []
+
+    errors = {}
+    try:
+        read(patterns)
+    except SparkRuntimeException:
+        for i, test in patterns.items():
+            try:
+                read({i: test})
+            except SparkRuntimeException as exc:
+                errors[i] = exc.getCondition() or "RUNTIME_ERROR"
+    for (i, _), readable in zip(limits, read(limits)):
+        if not readable:
+            errors[i] = "CAST_INVALID_INPUT"
+    return errors
+
+
+def _limit_type(frames: dict[str, DataFrame], rule: Rule) -> str | None:
+    """What a limit given as text is read as; None where the column is text too, or is not there."""
+    try:
+        df = frames[_frame_name(frames, rule.database, rule.table)]
+    except ValueError:
+        return None
+    kind = df.schema[rule.columns[0]].dataType if rule.columns[0] in df.columns else T.StringType()
+    if isinstance(kind, T.FractionalType) and not isinstance(kind, T.DecimalType):
+        return "double"
+    if isinstance(kind, T.NumericType):
+        return "decimal(38,12)"
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)):
+        return kind.simpleString()
+    return None
 
 
 def _bad_row(rule: Rule, df: DataFrame) -> Column | None:
@@ -218,11 +283,11 @@ def _bad_row(rule: Rule, df: DataFrame) -> Column | None:
             # text that is no number lies outside the range
             number = value.try_cast("double")
             return value.isNotNull() & ~F.coalesce(number.between(F.lit(rule.min_value), F.lit(rule.max_value)), F.lit(False))
-        return ~value.between(F.lit(rule.min_value), F.lit(rule.max_value))
+        to = _limit_type({rule.table: df}, replace(rule, database=""))
+        limits = [F.lit(v).try_cast(to) if to and isinstance(v, str) else F.lit(v) for v in (rule.min_value, rule.max_value)]
+        return ~value.between(*limits)
     if rule.pattern is None:
         raise ValueError("pattern is missing")
-    # the engine that will run the pattern reads it once, on one constant
-    df.sparkSession.sql("SELECT '' RLIKE :p", args={"p": rule.pattern}).collect()
     return ~value.cast("string").rlike(rule.pattern)
 
 
@@ -230,13 +295,17 @@ def _is_text(df: DataFrame, column: str) -> bool:
     return column in df.columns and isinstance(df.schema[column].dataType, T.StringType)
 
 
+def _count_failed(rule: Rule, total: str) -> str:
+    """An empty table that should hold rows fails, although it has no row to count."""
+    return f"if({total} {rule.operator} {int(rule.threshold)}, 0, greatest({total}, 1))"
+
+
 def _one_pass(df: DataFrame, entries: list[Entry]) -> DataFrame:
     """All row rules of one table: a single aggregate, then one output row per rule."""
     marked, measures, rows = [], ["count(1) AS total"], []
     for position, rule, bad in entries:
         if bad is None:
-            # an empty table that should hold rows fails, although it has no row to count
-            failed = f"if(total {rule.operator} {int(rule.threshold)}, 0, greatest(total, 1))"
+            failed = _count_failed(rule, "total")
         else:
             failed = f"failed_{position}"
             marked.append(bad.alias(f"bad_{position}"))
@@ -253,19 +322,57 @@ def _one_pass(df: DataFrame, entries: list[Entry]) -> DataFrame:
     return df.select(*marked).selectExpr(*measures).selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def _uniqueness(df: DataFrame, rule: Rule, position: int) -> DataFrame:
-    groups = df.groupBy(*rule.columns).agg(F.count(F.lit(1)).alias("n"))
-    repeated = F.col("n") > 1
-    return groups.agg(
-        F.lit(position).alias("position"),
-        F.coalesce(F.sum(F.when(repeated, F.col("n") - 1)), F.lit(0)).alias("failed"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
-        F.min(F.when(repeated, _sample(rule))).cast("string").alias("sample"),
-    )
+# ---- rules on keys ------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class _KeyRule:
+    """A rule on the keys of ``table``, and of ``ref`` for a reference.
+
+    ``key`` and ``ref_key`` are the values, in the types ``types``; ``own`` are the types of the table itself.
+    """
 
+    position: int
+    rule: Rule
+    table: str
+    key: tuple[Column, ...]
+    types: tuple[T.DataType, ...]
+    own: tuple[T.DataType, ...]
+    ref: str | None = None
+    ref_key: Column | None = None
+
+    @property
+    def tables(self) -> list[str]:
+        return [self.table, *([self.ref] if self.ref else [])]
 
-def _referential(df: DataFrame, ref: DataFrame, rule: Rule, position: int) -> DataFrame:
+
+def _uniqueness(frames: dict[str, DataFrame], rule: Rule, position: int) -> _KeyRule:
+    if not rule.columns:
+        raise ValueError("column is missing")
+    table = _frame_name(frames, rule.database, rule.table)
+    grouped = frames[table].groupBy(*rule.columns).agg(F.count(F.lit(1)))  # fails here where it cannot be grouped
+    types = tuple(f.dataType for f in grouped.schema.fields[:-1])
+    return _KeyRule(position, rule, table, tuple(F.col(c) for c in rule.columns), types, types)
+
+
+def _referential(frames: dict[str, DataFrame], rule: Rule, position: int) -> _KeyRule | DataFrame:
     """Orphans counted per distinct value; NULLs on either side never count as orphans."""
+    if not rule.columns:
+        raise ValueError("column is missing")
+    if not rule.ref_table:
+        raise ValueError("ref_table is missing")
+    table, ref = _frame_name(frames, rule.database, rule.table), _frame_name(frames, rule.ref_database, rule.ref_table)
+    column, ref_column = F.col(rule.columns[0]), F.col(rule.ref_column or rule.columns[0])
+    own, other = (df.groupBy(c.alias("v")).agg(F.count(F.lit(1))).schema["v"].dataType for df, c in ((frames[table], column), (frames[ref], ref_column)))
+    numbers = isinstance(own, T.NumericType) and isinstance(other, T.NumericType)
+    if own != other and not numbers:
+        return _referential_join(frames[table], frames[ref], rule, position)
+    to = wider_number(own, other) if own != other else own
+    return _KeyRule(position, rule, table, (column.cast(to),), (to,), (own,), ref, ref_column.cast(to))
+
+
+def _referential_join(df: DataFrame, ref: DataFrame, rule: Rule, position: int) -> DataFrame:
+    """For keys of unlike types, which only Spark's own comparison brings together."""
     column = rule.columns[0]
     values = df.groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
     known = ref.select(F.col(rule.ref_column or column).alias("v")).distinct().withColumn("known", F.lit(True))
@@ -278,6 +385,102 @@ def _referential(df: DataFrame, ref: DataFrame, rule: Rule, position: int) -> Da
     )
 
 
+class _Slots:
+    """Key columns shared by all rules: one for each type, as often as one rule needs it."""
+
+    def __init__(self) -> None:
+        self.types: dict[str, T.DataType] = {}
+
+    def of(self, types: tuple[T.DataType, ...]) -> list[str]:
+        names, seen = [], defaultdict(int)
+        for kind in types:
+            text = kind.simpleString()
+            name = f"{text}#{seen[text]}"
+            seen[text] += 1
+            self.types.setdefault(name, kind)
+            names.append(name)
+        return [f"_key_{list(self.types).index(n)}" for n in names]
+
+    @property
+    def columns(self) -> list[tuple[str, T.DataType]]:
+        return [(f"_key_{i}", kind) for i, kind in enumerate(self.types.values())]
+
+
+def _keyed_pass(frames: dict[str, DataFrame], keyed: list[_KeyRule], by_table: dict[str, list[Entry]]) -> DataFrame:
+    """All key rules, and the row rules of their tables: every table read once, one shuffle of combined counts.
+
+    Failing values of row rules are keys too, so a sample is the smallest of them; a negative zero shows as zero.
+    """
+    tables = list(dict.fromkeys(name for k in keyed for name in k.tables))
+    slots = _Slots()
+    key_slots = {k.position: slots.of(k.types) for k in keyed}
+    samples: dict[int, tuple[str, Column]] = {}
+    for table in tables:
+        for position, rule, bad in by_table.get(table, ()):
+            if bad is not None and rule.columns:
+                value = _sample(rule)
+                samples[position] = (slots.of((frames[table].select(value).schema[0].dataType,))[0], value)
+
+    def entry(position: int, own: bool, values: dict[str, Column]) -> Column:
+        filled = [values.get(n, F.lit(None)).cast(t).alias(n) for n, t in slots.columns]
+        return F.struct(F.lit(position).alias("_rule"), F.lit(own).alias("_own"), *filled)
+
+    parts = []
+    for place, table in enumerate(tables):
+        entries = []
+        rows = by_table.get(table, [])
+        if rows:
+            entries.append(entry(-1 - place, True, {}))
+        for position, _, bad in rows:
+            if bad is not None:
+                entries.append(F.when(bad, entry(position, True, dict([samples[position]] if position in samples else []))))
+        for k in keyed:
+            if k.table == table:
+                entries.append(entry(k.position, True, dict(zip(key_slots[k.position], k.key))))
+            if k.ref == table:
+                entries.append(F.when(k.ref_key.isNotNull(), entry(k.position, False, {key_slots[k.position][0]: k.ref_key})))
+        # each entry on a row of its own; a row has none for the row rules that it passes
+        parts.append(frames[table].select(F.explode(F.array(*entries)).alias("_e")).where(F.col("_e").isNotNull()).select("_e.*"))
+    own = F.col("_own")
+    counts = reduce(DataFrame.unionByName, parts).groupBy("_rule", *(n for n, _ in slots.columns)).agg(F.count_if(own).alias("_n"), F.count_if(~own).alias("_known"))
+
+    measures, rows = [], []
+
+    def measured(position: int, here: Column, failing: Column, failed: Column, total: Column | None, sample: Column | None) -> None:
+        measures.append(F.coalesce(F.sum(F.when(here & failing, failed)), F.lit(0)).alias(f"failed_{position}"))
+        if total is not None:
+            measures.append(F.coalesce(F.sum(F.when(here, total)), F.lit(0)).alias(f"total_{position}"))
+        if sample is not None:
+            measures.append(F.min(F.when(here & failing, sample)).alias(f"sample_{position}"))
+
+    def told(position: int, failed: str, total: str, sample: bool) -> None:
+        text = f"CAST(sample_{position} AS STRING)" if sample else "CAST(NULL AS STRING)"
+        rows.append(f"struct({position} AS position, CAST({failed} AS BIGINT) AS failed, CAST({total} AS BIGINT) AS total, {text} AS sample)")
+
+    n = F.col("_n")
+    for k in keyed:
+        here, names = F.col("_rule") == k.position, key_slots[k.position]
+        if k.ref:
+            failing, failed = (F.col("_known") == 0) & F.col(names[0]).isNotNull(), n
+            value = F.col(names[0]).cast(k.own[0])
+        else:
+            failing, failed = n > 1, n - 1
+            value = F.col(names[0]) if len(names) == 1 else F.concat_ws("^", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in names])
+        measured(k.position, here, failing, failed, n, value)
+        told(k.position, f"failed_{k.position}", f"total_{k.position}", True)
+    for place, table in enumerate(tables):
+        if by_table.get(table):
+            measures.append(F.coalesce(F.sum(F.when(F.col("_rule") == -1 - place, n)), F.lit(0)).alias(f"rows_{place}"))
+        for position, rule, bad in by_table.get(table, ()):
+            if bad is None:
+                told(position, _count_failed(rule, f"rows_{place}"), f"rows_{place}", False)
+                continue
+            sample = F.col(samples[position][0]) if position in samples else None
+            measured(position, F.col("_rule") == position, F.lit(True), n, None, sample)
+            told(position, f"failed_{position}", f"rows_{place}", position in samples)
+    return counts.agg(*measures).selectExpr(f"inline(array({', '.join(rows)}))")
+
+
 def _sample(rule: Rule) -> Column:
     """What to show of a failing row."""
     if len(rule.columns) == 1:
@@ -311,6 +514,7 @@ def _audit_rows(results: DataFrame, rules: list[Rule], run_id: str, as_of, suite
     )
     # one row per configured rule on both sides: bounded by the rule list
     return results.join(F.broadcast(described), "position").select(
+        "position",
         F.md5(F.concat_ws("^", F.lit(run_id), F.col("position"), F.col("rule_name"))).alias("record_id"),
         F.lit(run_id).alias("run_id"),
         F.lit(suite).alias("pipeline_name"),

@@ -107,6 +107,50 @@ query(
     )
 )
 
+KEY_RULES = [
+    Rule("line_unique", "UNIQUENESS", "lineitem", ("l_orderkey", "l_linenumber"), severity="CRITICAL"),
+    Rule("order_unique", "UNIQUENESS", "orders_q", "order_id"),
+    Rule("customer_once", "UNIQUENESS", "orders_q", "fk_customer"),
+    Rule("status_once", "UNIQUENESS", "orders_q", ("customer_id", "status_code")),
+    Rule("text_once", "UNIQUENESS", "orders_q", "eff_d"),
+    Rule("customer_known", "REFERENTIAL", "orders_q", "fk_customer", ref_table="customer", ref_column="c_custkey"),
+    Rule("order_known", "REFERENTIAL", "lineitem", "l_orderkey", ref_table="orders_q", ref_column="order_id"),
+    Rule("buyer_known", "REFERENTIAL", "customer", "c_custkey", ref_table="orders_q", ref_column="customer_id"),
+    Rule("quantity_is_a_line", "REFERENTIAL", "lineitem", "l_quantity", ref_table="lineitem", ref_column="l_linenumber"),
+    Rule("status_code", "REGEX", "orders_q", "status_code", pattern="^[FOP]$"),
+    Rule("deep_discount", "BUSINESS", "lineitem", "l_linenumber", condition="l_quantity > 45 AND l_discount >= 0.09"),
+    Rule("balance_range", "RANGE", "customer", "c_acctbal", min_value=0, max_value=9000),
+    Rule("enough_orders", "ROW_COUNT", "orders_q", operator=">=", threshold=1),
+]
+
+
+def _repeated(table: str, *columns: str) -> str:
+    value = columns[0] if len(columns) == 1 else "concat_ws('^', " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns) + ")"
+    return f"""SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS failed, CAST(min({value}) FILTER (WHERE n > 1) AS VARCHAR) AS sample,
+        CAST(sum(n) AS BIGINT) AS total FROM (SELECT {", ".join(columns)}, count(*) AS n FROM {table} GROUP BY ALL) g"""
+
+
+def _orphans(table: str, column: str, ref: str, ref_column: str) -> str:
+    orphan = f"v IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {ref} r WHERE r.{ref_column} = v)"
+    return f"""SELECT {n_if("orphan")} AS failed, CAST(min(v) FILTER (WHERE orphan) AS VARCHAR) AS sample, count(*) AS total
+        FROM (SELECT v, {orphan} AS orphan FROM (SELECT {column} AS v FROM {table}) x) y"""
+
+
+COUNTS |= {
+    "customer_once": _repeated("orders_q", "fk_customer"),
+    "status_once": _repeated("orders_q", "customer_id", "status_code"),
+    "text_once": _repeated("orders_q", "eff_d"),
+    "order_known": _orphans("lineitem", "l_orderkey", "orders_q", "order_id"),
+    "buyer_known": _orphans("customer", "c_custkey", "orders_q", "customer_id"),
+    "quantity_is_a_line": _orphans("lineitem", "l_quantity", "lineitem", "l_linenumber"),
+}
+
+
+@query("rule_keys_one_pass", _short(*(r.rule_name for r in KEY_RULES)))
+def _(t: Inputs):
+    return rules.evaluate_rules(frames(t), KEY_RULES, "run1", EVENTS_NOW).select(*SHORT)
+
+
 BREAKING = [
     Rule("text_range", "RANGE", "orders_q", "status_code", min_value=0, max_value=5),
     Rule("bad_pattern", "REGEX", "orders_q", "status_code", pattern="[F"),
@@ -117,6 +161,10 @@ BREAKING = [
     Rule("sound", "NOT_NULL", "orders_q", "customer_id"),
     Rule("other_database", "NOT_NULL", "orders_q", "c_custkey", database="archive"),
     Rule("across_databases", "REFERENTIAL", "orders_q", "fk_customer", ref_table="orders_q", ref_column="c_custkey", ref_database="archive"),
+    Rule("no_date", "RANGE", "orders_q", "load_ts", min_value="abc", max_value="2025-01-01"),
+    Rule("no_number", "RANGE", "orders_q", "order_id", min_value="1", max_value="many"),
+    Rule("date_limits", "RANGE", "orders_q", "load_ts", min_value="1995-01-01", max_value="1998-06-30"),
+    Rule("number_limits", "RANGE", "orders_q", "order_id", min_value="10", max_value="2500.5"),
 ]
 
 
@@ -142,6 +190,10 @@ def _counted(name: str, bad: str, source: str) -> str:
             _counted("sound", "customer_id IS NULL", "orders_q"),
             _counted("other_database", "c_custkey IS NULL", "customer"),
             _counted("across_databases", "fk_customer IS NOT NULL AND c_custkey IS NULL", "orders_q LEFT JOIN customer ON fk_customer = c_custkey"),
+            _broken("no_date", "CAST_INVALID_INPUT"),
+            _broken("no_number", "CAST_INVALID_INPUT"),
+            _counted("date_limits", "load_ts NOT BETWEEN TIMESTAMP '1995-01-01' AND TIMESTAMP '1998-06-30'", "orders_q"),
+            _counted("number_limits", "order_id NOT BETWEEN 10 AND 2500.5", "orders_q"),
         ]
     ),
 )
