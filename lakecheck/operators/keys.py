@@ -18,6 +18,7 @@ from lakecheck.functions.exprs import (
     local_time,
     on_day,
 )
+from lakecheck.functions.membership import bloom_filter, filter_bits, may_hold
 
 
 def with_ingest_columns(df: DataFrame, as_of: datetime, loaded_by: str, zone: str = DEADLINE_ZONE) -> DataFrame:
@@ -82,19 +83,37 @@ def labelled_totals(counts: DataFrame, name: str, value: str, choices: dict[str,
     return counts.groupBy(label.alias("source_system")).agg(F.sum(value).alias("total_rows"))
 
 
-def missing_rows(a: DataFrame, b: DataFrame, key_a: Column, key_b: Column) -> DataFrame:
-    """Rows of ``a`` whose key is absent in ``b``. A key that fills much of ``b`` is reduced first."""
-    known = b.select(key_b.alias("_key")).distinct()
+def missing_rows(a: DataFrame, b: DataFrame, key_a: Column, key_b: Column, expected: int | None = None) -> DataFrame:
+    """Rows of ``a`` whose key is absent in ``b``. A key that fills much of ``b`` is reduced first.
+
+    ``expected`` is for a slice against a large table: see ``reference_keys``.
+    """
+    known = reference_keys(a, b, key_a, key_b, expected)
     return a.withColumn("_key", key_a).join(known, "_key", "left_anti").drop("_key")
 
 
-def missing_count(a: DataFrame, b: DataFrame, key_a: Column, key_b: Column) -> DataFrame:
+def missing_count(a: DataFrame, b: DataFrame, key_a: Column, key_b: Column, expected: int | None = None) -> DataFrame:
     """Number of such rows. Both sides are reduced to one row per key before they meet."""
     counted = a.groupBy(key_a.alias("_key")).agg(F.count(F.lit(1)).alias("_rows"))
-    known = b.select(key_b.alias("_key")).distinct()
+    known = reference_keys(a, b, key_a, key_b, expected)
     return counted.join(known, "_key", "left_anti").agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("cnt"))
 
 
+def reference_keys(a: DataFrame, b: DataFrame, key_a: Column, key_b: Column, expected: int | None = None) -> DataFrame:
+    """``_key``: the distinct keys of ``b`` that matter to a search for keys of ``a``.
+
+    With ``expected``, about how many distinct keys ``a`` has, a Bloom filter of these drops the keys of ``b`` that
+    ``a`` surely does not have before they are shuffled. A key that passes by chance costs its row, never a result:
+    the join that follows is exact. The filter is left out where it would grow over its bound. A filter of the other
+    side would not do: that a key passes it does not prove that the reference has it.
+    """
+    keys = b.select(key_b.alias("_key"))
+    bits = filter_bits(expected) if expected is not None else None
+    if bits:
+        keys = keys.where(may_hold(bloom_filter(a.select(key_a.alias("_key")), F.col("_key"), bits), F.col("_key"), bits))
+    return keys.distinct()
+
+
 def key_presence(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct keys with the sides they occur on; NULL equals NULL.
 

@@ -88,7 +88,15 @@ def with_top_category(summary: DataFrame, top: DataFrame) -> DataFrame:
 def customer_order_summary(
     customers: DataFrame, orders: DataFrame, products: DataFrame, since: date, as_of: datetime | date
 ) -> DataFrame:
-    """The whole summary in two aggregations.
+    """The whole summary in two aggregations."""
+    summary = metrics_with_top_category(customers, orders, products, since)
+    return summary.withColumn(
+        "customer_lifetime_value", F.round(lifetime_value(F.col("total_revenue"), F.col("avg_profit_margin")), 2)
+    ).withColumn("processed_at", instant(as_of))
+
+
+def metrics_with_top_category(customers: DataFrame, orders: DataFrame, products: DataFrame, since: date) -> DataFrame:
+    """The metrics of each customer with the most frequent category beside them.
 
     Order lines are first reduced to one row per (customer, category) with partial sums, so a customer
     who owns a large share of the lines is combined on the map side and never meets the customer join
@@ -111,7 +119,7 @@ def customer_order_summary(
     rank = F.struct(-F.col("lines"), F.col("category").isNull(), F.col("category"))
     people = active_only(customers).select("customer_id", "customer_name", "region")
     revenue = F.sum("amount").cast(MONEY_TYPE)
-    summary = (
+    return (
         partial.join(people, "customer_id", "inner")
         .groupBy("customer_id", "customer_name", "region")
         .agg(
@@ -124,9 +132,6 @@ def customer_order_summary(
             F.min_by("category", rank).alias("top_category"),
         )
     )
-    return summary.withColumn(
-        "customer_lifetime_value", F.round(lifetime_value(F.col("total_revenue"), F.col("avg_profit_margin")), 2)
-    ).withColumn("processed_at", instant(as_of))
 
 
 def _mean(total: Column, count: Column, digits: int) -> Column:

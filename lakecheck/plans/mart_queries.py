@@ -188,8 +188,7 @@ def _(t: Inputs):
     f"WITH {FULL} SELECT m.*, top_category FROM metrics m LEFT JOIN top t ON m.customer_id = t.customer_id",
 )
 def _(t: Inputs):
-    full = full_orders(t)
-    return mart.with_top_category(mart.customer_metrics(full), mart.top_category(mart.category_counts(full)))
+    return mart.metrics_with_top_category(t.customers_v, t.lines, t.products_v, SINCE)
 
 
 def src_key_sql(side: str) -> str:
@@ -217,6 +216,33 @@ def _(t: Inputs):
     return keys.missing_rows(t.orders_src, t.orders_tgt, _src_key(), _src_key())
 
 
+# a slice of the orders against the whole target
+SLICE = "(SELECT * FROM orders_src WHERE amount < 20000)"
+
+
+def order_slice(t: Inputs):
+    return t.orders_src.filter("amount < 20000")
+
+
+@query(
+    "recon_missing_in_target_slice",
+    f"""SELECT count(*) AS cnt FROM {SLICE} a
+        WHERE NOT EXISTS (SELECT 1 FROM orders_tgt b WHERE {src_key_sql("a")} = {src_key_sql("b")})""",
+)
+def _(t: Inputs):
+    part = order_slice(t)
+    return keys.missing_count(part, t.orders_tgt, _src_key(), _src_key(), expected=part.count())
+
+
+@query(
+    "recon_missing_rows_slice",
+    f"SELECT a.* FROM {SLICE} a WHERE NOT EXISTS (SELECT 1 FROM orders_tgt b WHERE a.k = b.k AND a.status = b.status)",
+)
+def _(t: Inputs):
+    part = order_slice(t)
+    return keys.missing_rows(part, t.orders_tgt, _src_key(), _src_key(), expected=part.count())
+
+
 @query(
     "cross_join_params",
     f"""WITH params AS (SELECT '1900' AS lo, '2100' AS hi)

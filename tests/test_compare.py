@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lakecheck.operators import compare, keys
 from tests.conftest import rows
@@ -118,3 +119,41 @@ def test_key_columns_that_clash_with_the_result(spark):
     with pytest.raises(ValueError):
         compare.data_diff(df, df, ["kind"], ["n"])
     assert compare.data_diff_summary(df, df, ["kind"], ["n"]).first()["status"] == "PASS"
+
+
+def test_segments_give_the_same_differences(spark, sides):
+    a, b = sides
+    twice = a.unionByName(a.filter("k = 2")).unionByName(spark.createDataFrame([(2, "x", "a")], SCHEMA))
+    for segments, left, right, columns, options in (
+        (1, a, b, ["v"], {}),
+        (3, b, a, ["v"], {"case_sensitive": False}),
+        (1 << 16, twice, a, ["v"], {"null_as_empty": True}),
+        (3, a, twice, [], {}),
+        (3, twice, twice, ["v"], {}),
+        (3, a.limit(0), b, ["v"], {}),
+    ):
+        args = (left, right, ["k", "s"], columns)
+        assert rows(compare.data_diff(*args, segments=segments, **options)) == rows(compare.data_diff(*args, **options))
+        assert rows(compare.data_diff_summary(*args, segments=segments, **options)) == rows(compare.data_diff_summary(*args, **options))
+    assert rows(compare.data_diff_values(a, b, ["k"], ["s", "v"], segments=3)) == rows(compare.data_diff_values(a, b, ["k"], ["s", "v"]))
+
+
+def test_repeats_that_cancel_each_other_are_seen(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y")], "k int, v string")
+    b = spark.createDataFrame([(1, "y"), (1, "y"), (1, "x")], "k int, v string")
+    unequal = compare._unequal_only(compare._stacked(a, b, ["k"], ["v"], True, False), ["k"], 8)
+    assert unequal.count() == 6
+    assert compare._unequal_only(compare._stacked(a, a, ["k"], ["v"], True, False), ["k"], 8).count() == 0
+
+
+def test_missing_keys_with_a_filter(spark):
+    a = spark.createDataFrame([(i, f"a{i}") for i in range(0, 300, 3)] + [(None, "n"), (5000, "m"), (5000, "o")], "k int, v string")
+    b = spark.range(0, 2000, 2).select(F.col("id").cast("int").alias("k"))
+    b = b.unionByName(b.filter("k = 6"))
+    key = F.col("k")
+    want = rows(keys.missing_rows(a, b, key, key), "k", "v")
+    for expected in (1, 103, 10**9):
+        assert rows(keys.missing_rows(a, b, key, key, expected), "k", "v") == want
+        assert keys.missing_count(a, b, key, key, expected).first()[0] == len(want)
+    assert keys.missing_count(a, b.limit(0), key, key, 10).first()[0] == a.count()
+    assert keys.missing_count(a.limit(0), b, key, key, 10).first()[0] == 0
