@@ -1,3 +1,3 @@
-from lakecheck.sinks import compact, merge, writers
+from lakecheck.sinks import compact, merge, versions, writers
 
-__all__ = ["compact", "merge", "writers"]
+__all__ = ["compact", "merge", "versions", "writers"]

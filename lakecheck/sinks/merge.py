@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakecheck.operators.keys import dedup_latest
+from lakecheck.session import scratch_folder
 from lakecheck.sinks.writers import overwrite
 
 
@@ -24,8 +25,12 @@ def merge_upsert(
     and the target is not shuffled, and with a large one a frequent target key can still be split.
     ``set_values`` overrides columns of updated and inserted rows. A NULL key matches nothing.
     """
+    return upserted(target, dedup_latest(source, keys, latest_by), keys, update, set_values)
+
+
+def upserted(target: DataFrame, fresh: DataFrame, keys: list[str], update: list[str], set_values: dict[str, Column] | None = None) -> DataFrame:
+    """``merge_upsert`` for a source that has one row per key. It is read twice: write it before if it is costly."""
     set_values = set_values or {}
-    fresh = dedup_latest(source, keys, latest_by)
     incoming = fresh.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in update], F.lit(True).alias("_matched"))
 
     def after(name: str) -> Column:
@@ -46,7 +51,22 @@ def merge_upsert(
     return kept.unionByName(new_rows)
 
 
-def merge_into_path(target: DataFrame, source: DataFrame, path: str, partition_by: list[str] = (), **merge) -> DataFrame:
-    """Write the merged table to a new path, never to the one being read, and return it."""
-    overwrite(merge_upsert(target, source, **merge), path, partition_by)
-    return target.sparkSession.read.parquet(path)
+def merge_into_path(
+    target: DataFrame,
+    source: DataFrame,
+    path: str,
+    keys: list[str],
+    update: list[str],
+    latest_by: list[str | Column],
+    set_values: dict[str, Column] | None = None,
+    partition_by: list[str] = (),
+) -> DataFrame:
+    """Write the merged table to a new path, never to the one being read, and return it.
+
+    The newest source rows are worked out once, and written for the update and the insert to read.
+    """
+    spark = target.sparkSession
+    folder = scratch_folder(spark, "merge-source")
+    dedup_latest(source, keys, latest_by).write.parquet(folder)
+    overwrite(upserted(target, spark.read.parquet(folder), keys, update, set_values), path, partition_by)
+    return spark.read.parquet(path)

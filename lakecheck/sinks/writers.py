@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakecheck.sources.audit_files import PIPE_OPTIONS
+from lakecheck.sources.audit_files import PIPE_OPTIONS, RUN_FOLDER
 
 
 def overwrite(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
@@ -20,8 +20,7 @@ def overwrite(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
 
 def overwrite_partitions(df: DataFrame, path: str, partition_by: list[str]) -> None:
     """Replace only the partitions that ``df`` has rows for."""
-    writer = _sized(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    _partitioned(writer, partition_by).parquet(path)
+    _replacing(df, partition_by).parquet(path)
 
 
 def append(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
@@ -63,17 +62,39 @@ def temp_view(df: DataFrame, name: str) -> Iterator[str]:
         df.sparkSession.catalog.dropTempView(name)
 
 
+def append_observed(df: DataFrame, path: str, metrics: dict[str, Column], partition_by: list[str] = ()) -> dict:
+    """Append, and aggregates over the rows that were written, from the same job.
+
+    ``metrics`` are aggregate expressions by name. They are taken in the last stage, whose tasks count once even where
+    one has to run again.
+    """
+    watched = Observation()
+    sized = _sized(df, partition_by).observe(watched, *[c.alias(name) for name, c in metrics.items()])
+    _partitioned(sized.write.mode("append"), partition_by).parquet(path)
+    return watched.get
+
+
 def write_audit(df: DataFrame, root: str) -> None:
-    """Audit rows, pipe-delimited with header under ``run_date=``; line breaks become blanks."""
+    """Audit rows, pipe-delimited with header under ``run_date=`` and ``run=``; line breaks become blanks.
+
+    Rows of a run and date replace what an earlier attempt has written of these, so a run that is repeated does not
+    double its rows. The folders are switched when the write commits; until then the old rows stay.
+    """
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType) and f.name != "run_date"]
     flat = df.withColumns({c: F.regexp_replace(c, r"[\r\n]+", " ") for c in texts})
-    _sized(flat, ["run_date"]).write.mode("append").options(**PIPE_OPTIONS).partitionBy("run_date").csv(root)
+    keyed = flat.withColumn(RUN_FOLDER, F.col("run_id"))
+    _replacing(keyed, ["run_date", RUN_FOLDER]).options(**PIPE_OPTIONS).csv(root)
 
 
 def write_rule_rows(df: DataFrame, root: str) -> None:
-    """Rule results as JSON lines under ``dt=/run_id=``."""
+    """Rule results as JSON lines under ``dt=/run_id=``; rows of a day and run replace those of an earlier attempt."""
     dated = df.withColumn("dt", F.to_date("failure_timestamp").cast("string"))
-    _sized(dated, ["dt", "run_id"]).write.mode("append").partitionBy("dt", "run_id").json(root)
+    _replacing(dated, ["dt", "run_id"]).json(root)
+
+
+def _replacing(df: DataFrame, partition_by: list[str]):
+    """A writer that replaces exactly the partition folders that ``df`` has rows for."""
+    return _sized(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by)
 
 
 def write_csv_report(df: DataFrame, path: str, order: list[str], single_file: bool = False) -> None:

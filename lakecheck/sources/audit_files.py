@@ -8,16 +8,18 @@ from pyspark.sql import types as T
 
 # how audit files are written and read
 PIPE_OPTIONS = {"sep": "|", "escape": "\\", "header": True, "nullValue": "\\N"}
+# the folder of a run below its date; the column itself is in the files
+RUN_FOLDER = "run"
 
 
 def read_audit(spark: SparkSession, root: str) -> DataFrame:
-    """Pipe-delimited audit files under ``run_date=`` folders.
+    """Pipe-delimited audit files under ``run_date=`` folders, with folders of runs below or without.
 
     Columns go by the names in the header, never by position. All stay text, ``run_date`` too; blank text
     is kept apart from NULL.
     """
     read = spark.read.options(**PIPE_OPTIONS).csv(root)
-    return read.withColumn("run_date", F.col("run_date").cast("string"))
+    return read.drop(RUN_FOLDER).withColumn("run_date", F.col("run_date").cast("string"))
 
 
 def read_escaped_audit(spark: SparkSession, root: str, columns: list[str]) -> DataFrame:
