@@ -9,6 +9,7 @@ from lakecheck.operators import (
     members,
     movement,
     outcomes,
+    partials,
     policies,
     rolling,
     rules,
@@ -27,6 +28,7 @@ __all__ = [
     "members",
     "movement",
     "outcomes",
+    "partials",
     "policies",
     "rolling",
     "rules",

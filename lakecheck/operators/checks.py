@@ -264,6 +264,11 @@ def volume_against_window(
     return _window_verdict(totals, "today_count", "total_in_window", days, limit_pct, ["days_with_data"])
 
 
+def volume_from_partials(totals: DataFrame, days: int = 60, limit_pct: float = 15.0) -> DataFrame:
+    """The same verdict from kept daily counts (``partials.window_totals``), without reading the rows again."""
+    return _window_verdict(totals, "today_count", "total_in_window", days, limit_pct, ["days_with_data"])
+
+
 def amount_against_window(
     df: DataFrame, amount: str, day: date, load: str, transaction: str, days: int = 30, limit_pct: float = 20.0
 ) -> DataFrame:

@@ -120,7 +120,8 @@ def delete_reappear(presence: DataFrame, key: str, snapshot: str) -> DataFrame:
     """Keys that vanish for at least one snapshot and come back.
 
     Snapshots are dates, numbered in a table of one row per date; each key then compares its own consecutive
-    snapshot numbers. The dates come from the distinct presence, which is worked out once.
+    snapshot numbers. The presence is read twice, for the dates and for the keys; ``delete_reappear_bits`` reads it
+    once, for a span of days that is known.
     """
     if not isinstance(presence.schema[snapshot].dataType, T.DateType):
         raise ValueError(f"{snapshot} must be a date")
@@ -136,3 +137,40 @@ def delete_reappear(presence: DataFrame, key: str, snapshot: str) -> DataFrame:
         F.col(snapshot).alias("reappeared_on"),
         (F.col("_no") - F.col("_before") - 1).cast("bigint").alias("missed_snapshots"),
     )
+
+
+def delete_reappear_bits(presence: DataFrame, key: str, snapshot: str, first: date, days: int = 384) -> DataFrame:
+    """As ``delete_reappear``, for snapshots on the ``days`` days from ``first`` on: one read, one shuffle, no window.
+
+    A key's presence is one bit per day, combined in the tasks that read and kept in ``days / 64`` numbers. The days
+    that have a snapshot at all are the bits of all keys together, from the same combined rows. Gaps are read off the
+    bits of a key, and how many snapshots fall into one off a table of running counts. A date outside the span is an
+    error.
+    """
+    if not isinstance(presence.schema[snapshot].dataType, T.DateType):
+        raise ValueError(f"{snapshot} must be a date")
+    offset = F.datediff(F.col(snapshot), F.lit(first))
+    outside = F.raise_error(F.concat(F.lit("snapshot outside the span of days: "), F.col(snapshot).cast("string"))).cast("int")
+    dated = presence.where(F.col(snapshot).isNotNull()).select(key, F.when((offset >= 0) & (offset < days), offset).otherwise(outside).alias("_day"))
+    words = range(-(-days // 64))
+    bit, word = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_day") % 64), F.shiftright("_day", 6)
+    none = F.lit(0).cast("bigint")
+    seen = dated.groupBy(key).agg(*[F.bit_or(F.when(word == i, bit).otherwise(none)).alias(f"_w{i}") for i in words])
+
+    def on_days(bits: Column) -> Column:
+        day = F.sequence(F.lit(0), F.lit(days - 1))
+        return F.filter(day, lambda d: F.call_function("shiftright", F.get(bits, F.shiftright(d, 6)), d % 64).bitwiseAND(F.lit(1)) == 1)
+
+    every = seen.agg(F.array(*[F.coalesce(F.bit_or(f"_w{i}"), none) for i in words]).alias("bits")).select(on_days(F.col("bits")).alias("on"))
+    # snapshots before each day of the span
+    before = every.select(F.transform(F.sequence(F.lit(0), F.lit(days)), lambda d: F.size(F.filter("on", lambda x: x < d)))).scalar()
+    own = seen.select(key, on_days(F.array(*[f"_w{i}" for i in words])).alias("_on")).where(F.size("_on") > 1)
+    pairs = F.transform(F.slice("_on", F.lit(2), F.size("_on")), lambda d, i: F.struct(F.get("_on", i).alias("last"), d.alias("back")))
+    gaps = own.select(key, F.explode(F.filter(pairs, lambda p: p["back"] - p["last"] > 1)).alias("_gap"))
+    missed = F.get(before, F.col("_gap.back")) - F.get(before, F.col("_gap.last") + 1)
+    return gaps.withColumn("_missed", missed).where("_missed > 0").select(
+        key,
+        F.date_add(F.lit(first), F.col("_gap.last")).alias("last_seen"),
+        F.date_add(F.lit(first), F.col("_gap.back")).alias("reappeared_on"),
+        F.col("_missed").cast("bigint").alias("missed_snapshots"),
+    )

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import datetime, time, timedelta
 
 from pyspark.sql import functions as F
 
 from lakecheck.functions.exprs import from_day
-from lakecheck.operators import checks, keys, mart, policies
+from lakecheck.operators import checks, keys, mart, partials, policies
 from lakecheck.plans.inputs import EVENTS_DAY, EVENTS_NOW, ORDERS_DAY, Inputs
 from lakecheck.plans.registry import n_if, passes, pct, query
+from lakecheck.session import scratch_folder
 
 DAY = f"DATE '{ORDERS_DAY}'"
 
@@ -214,17 +215,31 @@ def _(t: Inputs):
     return checks.volume_against_window(t.orders_q, ORDERS_DAY, "load_ts", "update_ts")
 
 
-@query(
-    "check_volume_60d_including_day",
-    f"""WITH c AS (SELECT {n_if(f"CAST(load_ts AS DATE) = {DAY}")} AS today_count,
+VOLUME_WITH_DAY = f"""WITH c AS (SELECT {n_if(f"CAST(load_ts AS DATE) = {DAY}")} AS today_count,
         {n_if(f"CAST(load_ts AS DATE) BETWEEN {DAY} - 59 AND {DAY}")} AS total_in_window,
         count(DISTINCT CAST(load_ts AS DATE)) FILTER (WHERE CAST(load_ts AS DATE) BETWEEN {DAY} - 59 AND {DAY}) AS days_with_data
-        FROM orders_q) {window_check("today_count", "total_in_window", 60, 15, "days_with_data,")}""",
-)
+        FROM orders_q) {window_check("today_count", "total_in_window", 60, 15, "days_with_data,")}"""
+
+
+@query("check_volume_60d_including_day", VOLUME_WITH_DAY)
 def _(t: Inputs):
     return checks.volume_against_window(t.orders_q, ORDERS_DAY, "load_ts", include_day=True)
 
 
+@query("check_volume_60d_partials", VOLUME_WITH_DAY)
+def _(t: Inputs):
+    # all days but the last three first, then the days that have rows loaded since
+    root = scratch_folder(t.spark, "daily-counts")
+    before = t.orders_q.filter(F.col("load_ts") < F.lit(str(ORDERS_DAY - timedelta(days=2))).cast("timestamp_ntz"))
+    measures = {"cnt": F.count(F.lit(1))}
+    partials.refresh_partials(before, root, "load_ts", measures)
+    since = datetime.combine(ORDERS_DAY - timedelta(days=2), time.min)
+    changed = partials.changed_days(t.orders_q, "load_ts", "load_ts", since)
+    partials.refresh_partials(t.orders_q, root, "load_ts", measures, days=changed)
+    kept = partials.read_partials(t.spark, root, ORDERS_DAY - timedelta(days=59), ORDERS_DAY)
+    return checks.volume_from_partials(partials.window_totals(kept, ORDERS_DAY, 60, include_day=True))
+
+
 EVENT_DATE = "coalesce(CAST(load_ts AS DATE), CAST(update_ts AS DATE))"
 AMOUNT = "TRY_CAST(amount_txt AS DECIMAL(18,2))"
 

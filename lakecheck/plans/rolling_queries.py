@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import functions as F
 
 from lakecheck.functions.exprs import money
-from lakecheck.operators import keys, mart, rolling
+from lakecheck.operators import keys, mart, partials, rolling
 from lakecheck.plans.inputs import EVENTS_DAY, ORDERS_DAY, Inputs
 from lakecheck.plans.mart_queries import FULL, full_orders
 from lakecheck.plans.registry import mean, query
+from lakecheck.session import scratch_folder
 
 
 @query(
@@ -53,16 +54,29 @@ def z_days(daily: str, value: str, day: str, scale: int) -> str:
         SELECT *, CASE WHEN abs(z_score) >= 3 THEN 'CRITICAL' WHEN abs(z_score) >= 2 THEN 'WARNING' ELSE 'NORMAL' END AS z_flag FROM z"""
 
 
-@query(
-    "rolling_zscore_30d",
-    z_days("SELECT load_date, count(*) AS today_count FROM movements GROUP BY 1", "today_count", f"DATE '{EVENTS_DAY}'", 0),
-)
+Z_DAYS = z_days("SELECT load_date, count(*) AS today_count FROM movements GROUP BY 1", "today_count", f"DATE '{EVENTS_DAY}'", 0)
+
+
+@query("rolling_zscore_30d", Z_DAYS)
 def _(t: Inputs):
     recent = keys.within_days(t.movements, "load_date", EVENTS_DAY - timedelta(days=37), EVENTS_DAY)
     daily = recent.groupBy("load_date").agg(F.count(F.lit(1)).alias("today_count"))
     return rolling.rolling_zscore_days(daily, "load_date", "today_count", EVENTS_DAY)
 
 
+@query("rolling_zscore_30d_partials", Z_DAYS)
+def _(t: Inputs):
+    # the state of two days ago, brought up to date from the rows of the days since
+    root = scratch_folder(t.spark, "daily-counts")
+    since = datetime.combine(EVENTS_DAY - timedelta(days=1), time.min)
+    measures = {"today_count": F.count(F.lit(1))}
+    partials.refresh_partials(t.events.filter(F.col("ts") < F.lit(since)), root, "ts", measures)
+    changed = partials.changed_days(t.events, "ts", "ts", since)
+    partials.refresh_partials(t.events, root, "ts", measures, days=changed)
+    daily = partials.read_partials(t.spark, root, EVENTS_DAY - timedelta(days=37), EVENTS_DAY)
+    return rolling.rolling_zscore_days(daily.withColumnRenamed(partials.DAY, "load_date"), "load_date", "today_count", EVENTS_DAY)
+
+
 @query(
     "rolling_zscore_30d_amount",
     z_days(
@@ -147,3 +161,8 @@ REAPPEAR = """WITH n AS (SELECT snapshot_date, row_number() OVER (ORDER BY snaps
 @query("delete_reappear", REAPPEAR)
 def _(t: Inputs):
     return rolling.delete_reappear(t.presence, "k", "snapshot_date")
+
+
+@query("delete_reappear_bits", REAPPEAR)
+def _(t: Inputs):
+    return rolling.delete_reappear_bits(t.presence, "k", "snapshot_date", date(2024, 1, 1))

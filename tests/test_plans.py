@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lakecheck.operators import audit, checks, compare, jobs, keys, mart, members, movement, outcomes, policies, rolling, rules
 from lakecheck.operators.rules import Rule
+from lakecheck.plans import rule_queries
 from lakecheck.plans.inputs import EVENTS_DAY, Inputs
 from lakecheck.sinks import merge
 
@@ -78,15 +79,60 @@ def test_difference_is_one_shuffle_without_join(t):
     assert "partial_" in got
 
 
-def test_uniqueness_and_references_combine_before_the_shuffle(t):
+def test_key_rules_of_a_run_share_one_combined_shuffle(t):
     listed = [
         Rule("u", "UNIQUENESS", "li", ("l_orderkey", "l_linenumber")),
         Rule("f", "REFERENTIAL", "li", "l_partkey", ref_table="part", ref_column="p_partkey"),
+        Rule("s", "UNIQUENESS", "part", "p_name"),
+        Rule("b", "BUSINESS", "li", "l_quantity", condition="l_quantity > 45"),
+        Rule("n", "ROW_COUNT", "part", threshold=1),
     ]
     got = plan(rules.evaluate_rules({"li": t.lineitem, "part": t.part}, listed, "r", datetime(2024, 1, 1)))
-    for piece in ("keys=[l_orderkey", "keys=[l_partkey"):
-        assert piece in got
-    assert got.count("partial_count(1)") >= 2
+    assert len(re.findall(r"FileScan parquet", got)) == 2
+    assert got.count("Exchange hashpartitioning") == 1 and "Join" in got and "SortMergeJoin" not in got
+    # counts are combined in the tasks that read, and nothing is sorted
+    below = got[got.index("Exchange hashpartitioning") :]
+    assert "partial_count" in below and "SortAggregate" not in below and "Sort [" not in got
+    assert "l_extendedprice" not in got
+
+
+def test_audit_rows_read_each_table_once(t):
+    known = {"orders_q": t.orders_q, "customer": t.customer, "lineitem": t.lineitem}
+    for listed in (rule_queries.RULES, rule_queries.KEY_RULES):
+        got = rules.evaluate_rules(known, listed, "r", datetime(2024, 1, 1))
+        assert scans(got) == 3 and plan(got).count("Exchange hashpartitioning") == 1
+
+
+def test_a_slice_shuffles_few_reference_keys(spark, t, no_broadcast):
+    part = t.orders_src.filter("amount < 5000")
+    key = F.col("k")
+    every, few = (keys.reference_keys(part, t.orders_tgt, key, key, expected) for expected in (None, part.count()))
+    assert "bit_or" in plan(few) and "shiftright" in plan(few)
+    hits = part.join(t.orders_tgt, "k").count()
+    assert hits <= few.count() <= hits + 0.02 * every.count() < every.count() / 2
+    got = plan(keys.missing_count(part, t.orders_tgt, key, key, part.count()))
+    # the filter stands below the exchange of the reference keys
+    assert got.index("Exchange hashpartitioning(_key") < got.rindex("shiftright")
+
+
+def test_a_filter_that_would_be_too_large_is_left_out(t):
+    key = F.col("k")
+    assert "shiftright" not in plan(keys.reference_keys(t.orders_src, t.orders_tgt, key, key, 10**9))
+
+
+def test_segments_shuffle_digests_before_rows(t):
+    got = plan(compare.data_diff(t.orders_src, t.orders_tgt, ["k"], ["status"], segments=64))
+    digests = got[got.index("BroadcastExchange") :]
+    assert "partial_bit_xor" in digests and "SortAggregate" not in digests and "Sort [" not in digests
+
+
+def test_equal_tables_are_not_read_twice_for_their_rows(t):
+    df = compare.data_diff(t.orders_src, t.orders_src, ["k"], ["status", "amount"], segments=64)
+    assert df.count() == 0
+    assert df.collect() == []
+    # once the digests are there, nothing is left to do
+    final = plan(df).split("== Initial Plan ==")[0]
+    assert "EmptyRelation" in final and "FileScan" not in final and "SortAggregate" not in final
 
 
 def test_summary_meets_the_customers_after_aggregation(t, no_broadcast):
