@@ -122,13 +122,13 @@ def _digest(members: np.ndarray) -> bytes | None:
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest() if len(members) else None
 
 
-def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", key: Column | None = None) -> DataFrame:
+def sketches(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **keys: Column) -> DataFrame:
     """``doc_id, node, size, registers``: per row the digest of its set (NULL if empty), the set size and the registers.
 
-    With ``key``, a binary column, also ``key`` after the id.
+    ``keys``, binary columns by name, follow the id.
     """
-    base = docs.select(F.col(id_column).alias("doc_id"), *([] if key is None else [key.alias("key")]), F.col(text_column).cast("string").alias("text"))
-    keyed = "" if key is None else "key binary, "
+    base = docs.select(F.col(id_column).alias("doc_id"), *(c.alias(name) for name, c in keys.items()), F.col(text_column).cast("string").alias("text"))
+    keyed = "".join(f"{name} binary, " for name in keys)
     return base.mapInArrow(_sketch, f"doc_id {base.schema['doc_id'].dataType.simpleString()}, {keyed}node binary, size long, registers binary")
 
 
@@ -301,12 +301,19 @@ def _grouped(rows: DataFrame) -> DataFrame:
 
 def _labelled(docs: DataFrame, id_column: str, text_column: str, key: Column | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sketches of all rows, one row per class, and ``node, label`` of the classes that are linked with others."""
-    rows = written(sketches(docs, id_column, text_column, key), "sketches")
-    classes = written(rows.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("registers").alias("registers")), "classes")
+    text = F.col(text_column).cast("string")
+    text_key = F.coalesce(F.unhex(F.md5(text.cast("binary"))), F.lit(b""))
+    keys = {"text_key": text_key} | ({} if key is None else {"key": key})
+    rows = written(sketches(docs, id_column, text_column, **keys), "sketches")
+    # the row that stands for a class: its id alone would not do, one id may have several texts, and many rows no id
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first")
+    classes = rows.where("size > 0").groupBy("node").agg(first, F.first("size").alias("size"), F.first("registers").alias("registers"))
+    classes = written(classes.select("node", "first.doc_id", "first.text_key", "size", "registers"), "classes")
     likely = written(likely_pairs(candidate_pairs(classes), classes), "likely")
-    wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "doc_id"), "node")
-    source = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-    texts = written(wanted.alias("w").join(source.alias("s"), F.col("w.doc_id").eqNullSafe(F.col("s.doc_id"))).select("node", "text"), "texts")
+    wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct().join(classes.select("node", "doc_id", "text_key"), "node")
+    source = docs.select(F.col(id_column).alias("doc_id"), text_key.alias("text_key"), text.alias("text"))
+    same = F.col("w.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("w.text_key") == F.col("s.text_key"))
+    texts = written(wanted.alias("w").join(source.alias("s"), same).select("node", "text").dropDuplicates(["node"]), "texts")
     return rows, classes, components(written(verified_links(likely, texts), "links"))
 
 
