@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -52,3 +55,21 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 def code_points(data: np.ndarray) -> np.ndarray:
     """True where a UTF-8 byte starts a code point."""
     return (data & 0xC0) != 0x80
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` for ``mapInArrow``; at its end the task gives freed memory back.
+
+    Workers wait for further tasks, and what the allocators keep would stay with the executor while later stages need it.
+    """
+
+    @wraps(run)
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return tidied

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakecheck.llm.arrow import ragged, slices, text_buffer
+from lakecheck.llm.arrow import ragged, slices, text_buffer, tidy
 from lakecheck.llm.components import components, with_facts
 from lakecheck.llm.storage import written
 from lakecheck.llm.words import LOWER, mix, powers, word_hashes, word_spans
@@ -103,6 +103,7 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 # ---- sketches, buckets and clusters -------------------------------------------------------------
 
 
+@tidy
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in slices(batch, "text"):
@@ -151,6 +152,7 @@ def _neighbours(members: DataFrame) -> DataFrame:
     return nexts.where("b is not null").select(F.col("node").alias("a"), "b")
 
 
+@tidy
 def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -223,6 +225,7 @@ def group_links(sets: list[np.ndarray], tied: np.ndarray) -> list[tuple[int, int
     return links
 
 
+@tidy
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by ``task, node``; a group ends where the task changes."""
     task, nodes, sets, tied = None, [], [], []
@@ -247,6 +250,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield close()
 
 
+@tidy
 def _with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hub, hub_set = None, None
     for batch in batches:
