@@ -49,6 +49,9 @@ HEADLINE = [
     "sum_statewise_members",
     "topk_failing_checks",
     "join_top_category_back",
+    "rule_keys_one_pass",
+    "cmp_data_diff_segments",
+    "merge_by_file",
 ]
 DASHBOARD = [
     "audit_by_layer",

@@ -14,6 +14,7 @@ from lakecheck.functions.exprs import when_status
 from lakecheck.operators.keys import latest_rows
 from lakecheck.operators.topn import top_groups
 
+# The movement categories.
 CATEGORIES = ("INFORCE", "ADD", "DEDUCT")
 
 

@@ -7,9 +7,10 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from lakecheck.functions import exprs
-from lakecheck.operators import checks, compare, jobs, keys, mart, members, outcomes, topn
+from lakecheck.operators import checks, compare, jobs, keys, mart, members, outcomes, partials, topn
 from lakecheck.plans.inputs import EVENTS_DAY, EVENTS_NOW, ORDERS_DAY, Inputs
 from lakecheck.plans.registry import mean, n_if, pct, query
+from lakecheck.session import scratch_folder
 
 SINCE = date(1998, 1, 1)
 
@@ -418,15 +419,30 @@ def _(t: Inputs):
 WINDOW = f"FROM transactions WHERE load_date >= DATE '{ORDERS_DAY}' - 30"
 
 
-@query(
-    "sum_statewise_members",
-    f"""SELECT state_code, count(*) AS total_members, count(DISTINCT club_id) AS clubs_active,
-        count(DISTINCT load_date) AS days_active {WINDOW} GROUP BY state_code""",
-)
+STATEWISE = f"""SELECT state_code, count(*) AS total_members, count(DISTINCT club_id) AS clubs_active,
+        count(DISTINCT load_date) AS days_active {WINDOW} GROUP BY state_code"""
+
+
+@query("sum_statewise_members", STATEWISE)
 def _(t: Inputs):
     return members.statewise_members(t.transactions, ORDERS_DAY)
 
 
+@query("sum_statewise_members_partials", STATEWISE)
+def _(t: Inputs):
+    # counts and bitmaps of all days but the last two, then of these; the window slides without rereading a row
+    root, first = scratch_folder(t.spark, "members"), ORDERS_DAY - timedelta(days=30)
+    late = [ORDERS_DAY - timedelta(days=1), ORDERS_DAY]
+    before = t.transactions.filter(F.col("load_date") < F.lit(late[0]))
+    for rows, days in ((before, None), (t.transactions, late)):
+        partials.refresh_partials(rows, f"{root}/counts", "load_date", {"n": F.count(F.lit(1))}, ["state_code"], days)
+        partials.refresh_distincts(rows, root, "load_date", ["club_id"], ["state_code"], days)
+    kept = partials.read_partials(t.spark, f"{root}/counts", first)
+    totals = kept.groupBy("state_code").agg(F.sum("n").alias("total_members"), F.count(F.lit(1)).alias("days_active"))
+    clubs = partials.distinct_counts(t.spark, root, ["club_id"], ["state_code"], first)
+    return totals.join(clubs, "state_code").select("state_code", "total_members", F.col("club_id").alias("clubs_active"), "days_active")
+
+
 @query(
     "sum_clubwise_members",
     f"""SELECT club_id, count(*) AS total_members, count(DISTINCT state_code) AS states_present,

@@ -77,6 +77,34 @@ def test_the_volume_check_from_partials(spark, tmp_path, include):
     assert rows(kept) == rows(checks.volume_against_window(df, day, "ts", days=10, include_day=include))
 
 
+def test_distinct_counts_over_windows_are_exact(spark, tmp_path):
+    root, first = str(tmp_path / "sets"), data(11)
+    old = events(spark, first).withColumn("w", F.concat(F.lit("v"), F.col("v") % 7)).repartition(6)
+    partials.refresh_distincts(old, root, "ts", ["v", "w"], ["g"])
+    added = [*first, (3, 1000, "a", 0), (3, None, "a", 0), (19, 7, "new", 0), (19, 2000, None, 0)]
+    new = events(spark, added).withColumn("w", F.concat(F.lit("v"), F.col("v") % 7)).repartition(5)
+    before = stamps(root)
+    partials.refresh_distincts(new, root, "ts", ["v", "w"], ["g"], [date(2024, 1, 4), date(2024, 1, 20)])
+    numbers = spark.read.parquet(f"{root}/numbers/v")
+    assert rows(numbers, "value") == rows(new.where("v is not null").select("v").distinct()) and numbers.select("id").distinct().count() == numbers.count()
+    assert numbers.agg(F.max("id")).first()[0] == numbers.count()
+    touched = {f for f in stamps(f"{root}/bitmaps") if f not in before}
+    assert {f.split(f"{partials.DAY}=")[1][:10] for f in touched} == {"2024-01-04", "2024-01-20"}
+    for lo, hi in ((0, 19), (2, 5), (19, 19), (0, 2)):
+        lo, hi = START + timedelta(days=lo), START + timedelta(days=hi)
+        span = new.where(F.to_date("ts").between(F.lit(lo), F.lit(hi)))
+        want = span.groupBy("g").agg(F.count_distinct("v").alias("v"), F.count_distinct("w").alias("w"))
+        assert rows(partials.distinct_counts(spark, root, ["v", "w"], ["g"], lo, hi)) == rows(want)
+    assert rows(partials.distinct_counts(spark, root, ["v", "w"])) == rows(new.agg(F.count_distinct("v"), F.count_distinct("w")))
+
+
+def test_more_values_than_one_bitmap_holds(spark, tmp_path):
+    df = spark.range(100_000).select(F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz").alias("ts"), F.col("id").alias("v"))
+    for part in (df, df.withColumn("v", F.col("v") + 50_000).withColumn("ts", F.lit(datetime(2024, 1, 2)).cast("timestamp_ntz"))):
+        partials.refresh_distincts(part, str(tmp_path / "sets"), "ts", ["v"])
+    assert rows(partials.distinct_counts(spark, str(tmp_path / "sets"), ["v"])) == [(150_000,)]
+
+
 def presence(spark, seed, n=300, days=150):
     rng = random.Random(seed)
     found = [(rng.choice((None, *range(25))), START + timedelta(days=rng.choice(range(0, days, 3)))) for _ in range(n)]
