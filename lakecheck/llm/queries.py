@@ -219,6 +219,54 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-@query("op13_spelling")
+@query(
+    "op13_spelling",
+    r"""
+WITH RECURSIVE steps AS (
+  SELECT b, list_reduce([b, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b)
+),
+crc AS (SELECT list(v ORDER BY b) AS t FROM steps),
+runs AS (
+  SELECT doc_id, run, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run
+    FROM documents
+  ) GROUP BY ALL
+),
+bytes AS (
+  SELECT run, c, flatten([CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [192 | (unicode(ch) >> 6), 128 | (unicode(ch) & 63)] END
+                          FOR ch IN string_split(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || run, '')]) AS b
+  FROM runs
+),
+hashed AS (
+  SELECT run, c, xor(list_reduce([4294967295] || b, lambda s, x: xor(s >> 8, t[(xor(s, x) & 255) + 1])), 4294967295) AS h FROM bytes, crc
+),
+words AS (
+  SELECT word, CAST(sum(c) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, c FROM hashed
+  ) GROUP BY word HAVING sum(c) >= 2 AND length(word) >= 7
+),
+holes AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word
+),
+best AS (
+  SELECT word, other, other_n, count(*) OVER (PARTITION BY word) AS n_near FROM near
+  QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1
+),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * n THEN other END AS form, CASE WHEN other_n >= 10 * n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best b ON w.word = b.word
+),
+chains AS (
+  SELECT word, form AS root FROM forms WHERE form IS NOT NULL
+  UNION SELECT c.word, f.form FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NOT NULL
+),
+roots AS (SELECT c.word, c.root FROM chains c JOIN forms f ON f.word = c.root WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(r.root, f.word) AS root, f.n, f.n_near, f.form_n FROM forms f LEFT JOIN roots r ON r.word = f.word
+""",
+)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -19,7 +19,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_all_are_registered():
     numbers = {int(re.match(r"op(\d+)_", n)[1]) for n in entry.queries() if n.startswith("op")}
-    assert numbers == set(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == set(range(1, 14)) and "pipeline" in entry.queries()
     assert set(ORACLES) <= set(entry.oracle_sql())
 
 
