@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
+from datetime import date, datetime, time, timedelta
 
 from pyspark.sql import functions as F
 
@@ -430,10 +430,11 @@ def _(t: Inputs):
 
 @query("sum_statewise_members_partials", STATEWISE)
 def _(t: Inputs):
-    # counts and bitmaps of all days but the last two, then of these; the window slides without rereading a row
+    # counts and bitmaps of all days but the last ones, then of these; the window slides without rereading a row
     root, first = scratch_folder(t.spark, "members"), ORDERS_DAY - timedelta(days=30)
-    late = [ORDERS_DAY - timedelta(days=1), ORDERS_DAY]
-    before = t.transactions.filter(F.col("load_date") < F.lit(late[0]))
+    yesterday = ORDERS_DAY - timedelta(days=1)
+    before = t.transactions.filter(F.col("load_date") < F.lit(yesterday))
+    late = partials.changed_days(t.transactions, "load_date", "load_date", datetime.combine(yesterday, time.min))
     for rows, days in ((before, None), (t.transactions, late)):
         partials.refresh_partials(rows, f"{root}/counts", "load_date", {"n": F.count(F.lit(1))}, ["state_code"], days)
         partials.refresh_distincts(rows, root, "load_date", ["club_id"], ["state_code"], days)

@@ -12,7 +12,10 @@ from lakecheck.operators import checks, partials, rolling
 from tests.conftest import rows
 
 START = date(2024, 1, 1)
-MEASURES = {"cnt": F.count(F.lit(1)), "total": F.sum("v"), "largest": F.max("v")}
+
+
+def measures():
+    return {"cnt": F.count(F.lit(1)), "total": F.sum("v"), "largest": F.max("v")}
 
 
 def events(spark, data):
@@ -33,21 +36,21 @@ def stamps(root):
 def test_a_refresh_replaces_the_changed_days_only(spark, tmp_path):
     root, first = str(tmp_path / "daily"), data()
     old = events(spark, first)
-    partials.refresh_partials(old, root, "ts", MEASURES, ["g"])
+    partials.refresh_partials(old, root, "ts", measures(), ["g"])
     before = stamps(root)
     # new rows of two days, one of them long ago
     new = events(spark, [*first, (3, 7, "a", 24 * 17), (3, 99, "c", 24 * 17), (19, 1, None, 2)])
     days = partials.changed_days(new, "ts", "load_ts", datetime(2024, 1, 18, 12) + timedelta(days=2, hours=0))
     assert date(2024, 1, 4) in days
     days = [date(2024, 1, 4), date(2024, 1, 20)]
-    partials.refresh_partials(new, root, "ts", MEASURES, ["g"], days)
+    partials.refresh_partials(new, root, "ts", measures(), ["g"], days)
     after = stamps(root)
     changed = {f for f in before.keys() | after.keys() if before.get(f) != after.get(f)}
     assert {f.split(f"{partials.DAY}=")[1][:10] for f in changed} == {"2024-01-04", "2024-01-20"}
     whole = str(tmp_path / "whole")
-    partials.refresh_partials(new, whole, "ts", MEASURES, ["g"])
+    partials.refresh_partials(new, whole, "ts", measures(), ["g"])
     assert rows(partials.read_partials(spark, root)) == rows(partials.read_partials(spark, whole))
-    partials.refresh_partials(new, root, "ts", MEASURES, ["g"], [])
+    partials.refresh_partials(new, root, "ts", measures(), ["g"], [])
     assert stamps(root) == after
 
 
@@ -61,7 +64,7 @@ def test_only_the_wanted_days_are_read(spark, tmp_path):
     table, root = str(tmp_path / "t"), str(tmp_path / "daily")
     events(spark, data()).write.parquet(table)
     df = spark.read.parquet(table)
-    partials.refresh_partials(df, root, "ts", MEASURES)
+    partials.refresh_partials(df, root, "ts", measures())
     read = partials.read_partials(spark, root, START + timedelta(days=3), START + timedelta(days=5))
     assert read.count() == 3 and "PartitionFilters: [isnotnull(partial_day" in read._jdf.queryExecution().executedPlan().toString()
     day = partials.on_day(df, "ts", START)
