@@ -230,7 +230,8 @@ def _(t: Inputs):
 def _(t: Inputs):
     # all days but the last three first, then the days that have rows loaded since
     root = scratch_folder(t.spark, "daily-counts")
-    before = t.orders_q.filter(F.col("load_ts") < F.lit(str(ORDERS_DAY - timedelta(days=2))).cast("timestamp_ntz"))
+    # state is kept for the days of the window
+    before = keys.within_days(t.orders_q, "load_ts", ORDERS_DAY - timedelta(days=60), ORDERS_DAY - timedelta(days=3))
     measures = {"cnt": F.count(F.lit(1))}
     partials.refresh_partials(before, root, "load_ts", measures)
     since = datetime.combine(ORDERS_DAY - timedelta(days=2), time.min)

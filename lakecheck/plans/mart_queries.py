@@ -433,7 +433,8 @@ def _(t: Inputs):
     # counts and bitmaps of all days but the last ones, then of these; the window slides without rereading a row
     root, first = scratch_folder(t.spark, "members"), ORDERS_DAY - timedelta(days=30)
     yesterday = ORDERS_DAY - timedelta(days=1)
-    before = t.transactions.filter(F.col("load_date") < F.lit(yesterday))
+    # state is kept for the days of the window
+    before = t.transactions.filter(F.col("load_date").between(F.lit(first), F.lit(yesterday - timedelta(days=1))))
     late = partials.changed_days(t.transactions, "load_date", "load_date", datetime.combine(yesterday, time.min))
     for rows, days in ((before, None), (t.transactions, late)):
         partials.refresh_partials(rows, f"{root}/counts", "load_date", {"n": F.count(F.lit(1))}, ["state_code"], days)
