@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from lakecheck.llm import exact, fingerprint, lines, secrets
+from lakecheck.llm.queries import QUERIES
 from lakecheck.llm.secrets import ALL_RULES, BASE_RULES, SecretRule
 from tests.llm.data import SCHEMA, empty, ordered, plain, rows, table
 
@@ -103,6 +104,30 @@ def test_a_ledger_leaves_only_unseen_pairs(spark):
     blobs = len({t or "" for _, t in data})
     assert sorted((r["rule"], r["n"]) for r in scanned.groupBy("rule").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()) == [("access", 1), ("assign", 1), ("hex", blobs + 1)]
     assert {r["rule"] for r in found.collect()} == {"assign", "hex"}
+    told = secrets.spans_by_path(more, "path", "text", findings.union(found), newer).collect()
+    wanted = [(i, ",".join(spans(t or "", newer))) for i, t in [*data, (500, "token=brand-new-one")]]
+    assert ordered([(r["path"], ",".join(f"{s['rule']}:{s['start']}:{s['end']}" for s in r["found"])) for r in told]) == ordered(wanted)
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    text = "token=abcdef1 cafe beef " * 100_000
+    data = [(1, text), (2, "token=abcdef1 " * 256), (3, "token=abcdef1 " * 257), (4, "ab " * 512)]
+    versions = spark.createDataFrame(data, "path long, text string")
+    findings, _ = secrets.scan_secrets(versions, "text")
+    got = {r["path"]: [(s["rule"], s["start"], s["end"]) for s in r["found"]] for r in secrets.spans_by_path(versions, "path", "text", findings).collect()}
+    for path, t in data:
+        assert got[path] == [("assign", i, i + 13) for i in range(0, len(t) if t[0] == "t" else 0, 24 if path == 1 else 14)]
+
+
+def test_secrets_query(spark, tmp_path):
+    data, versions = secret_rows(spark)
+    versions.selectExpr("path AS doc_id", "text", "blob", "rule").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r[c] for c in ("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")) for r in QUERIES["op1_secrets"](spark, str(tmp_path)).collect()]
+    want = []
+    for i, t in data:
+        base = spans(t or "", BASE_RULES)
+        want.append((i, *(sum(x.startswith(k + ":") for x in base) for k in ("assign", "access", "hex")), sha(",".join(base)), ",".join(spans(t or "", ALL_RULES))))
+    assert ordered(got) == ordered(want)
 
 
 def test_secrets_of_nothing(spark):
