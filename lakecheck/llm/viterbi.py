@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding: best segmentations over a trie of distinct words.
 
-A text is cut at blanks; each part with its mark is a word, and no piece reaches over a mark. The distinct words of
-a slice are sorted, which lays them out as a trie in depth-first order. Going from one word to the next, the forward
-scores of their common prefix stay on the stack, and only positions beyond it are worked out. Words met before in a
-task are not segmented again.
+A text is cut before blanks; each part with its mark is a word, and a run of blanks belongs to the word behind it,
+so pieces of several marks take part. The distinct words of a slice are sorted, which lays them out as a trie in
+depth-first order. Going from one word to the next, the forward scores of their common prefix stay on the stack, and
+only positions beyond it are worked out, each by one walk through a trie of the pieces read from their ends. Words
+met before in a task are not segmented again.
 
 The segmentation is the one with the greatest sum of piece scores (see ``pieces.Vocabulary``); of equal ones that
 with the longest last piece. A character without a piece is written as its UTF-8 bytes, as are line feeds and marks
@@ -12,14 +13,16 @@ that stand in the text itself, so every text is read back exactly.
 
 from __future__ import annotations
 
+import re
+from array import array
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lakecheck.llm.arrow import slices
+from lakecheck.llm.arrow import STEP_BYTES, ragged, slices, strings
 from lakecheck.llm.pieces import MARK, VOCABULARY, Vocabulary, load
 
 #: Log score of one byte piece.
@@ -27,94 +30,168 @@ BYTE_SCORE = -25.0
 #: First character of a word that follows a line feed and so has no mark.
 BARE = "\n"
 KNOWN_WORDS = 300_000
+_BREAKS = re.compile("\n| {2,}")
+
+
+def _endings(vocabulary: Vocabulary) -> dict:
+    """Trie of the pieces read from their ends: by character a node ``[score, id, nodes behind]``, without a piece ``[None, -1, ..]``.
+
+    Blanks of a run stand in it as blanks, not as marks.
+    """
+    root: dict = {}
+    for piece, score in vocabulary.scores.items():
+        for form in (piece, piece.replace(MARK, " ")) if MARK not in piece[1:] else (piece.replace(MARK, " "),):
+            nodes, node = root, None
+            for c in reversed(form):
+                node = nodes.setdefault(c, [None, -1, {}])
+                nodes = node[2]
+            node[:2] = score, vocabulary.ids[piece]
+    return root
 
 
 class Segmenter:
     def __init__(self, vocabulary: Vocabulary) -> None:
-        self.ids, self.scores, self.bytes_ = vocabulary.ids, vocabulary.scores, vocabulary.bytes_
-        self.endings = {p[i:] for p in self.ids for i in range(len(p))}
+        self.bytes_ = vocabulary.bytes_
+        self.endings = _endings(vocabulary)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the table of known parts: where their pieces start in ``flat``."""
         self.known: dict[str, tuple[int, ...]] = {}
-        self.line = (self.bytes_[0x0A],)
+        self.place = {"\n": 0, "\n\n": 1}
+        self.flat, self.starts = array("i", [self.bytes_[0x0A]]), array("q", [0, 0, 1])
 
     def learn(self, words: Iterable[str]) -> None:
-        """Segment the distinct ``words``, depth-first over their trie."""
-        score, back, last = [0.0], [0], ""
+        """Segment the distinct ``words``, depth-first over their trie.
+
+        Per position of the word at hand: the best score of what is before it, where the last piece of that starts,
+        and its id, -1 if it is a character written as bytes.
+        """
+        score, back, took, last, root = [0.0], [0], [-1], "", self.endings
         for word in sorted(words):
             same = 0
             for a, b in zip(last, word):
                 if a != b:
                     break
                 same += 1
-            del score[same + 1 :], back[same + 1 :]
-            for stop in range(same + 1, len(word) + 1):
-                self._step(word, stop, score, back)
-            self.known[word] = self._path(word, back)
+            del score[same + 1 :], back[same + 1 :], took[same + 1 :]
+            least = 1 if word[:1] == BARE else 0
+            if same < least:
+                score.append(0.0)
+                back.append(0)
+                took.append(-1)
+                same = 1
+            for end in range(same, len(word)):
+                c = word[end]
+                best, start, piece = score[end] + BYTE_SCORE * (1 if c < "\x80" else len(c.encode())), end, -1
+                nodes, at = root, end
+                if c != MARK or not end:
+                    while at >= least:
+                        c = word[at]
+                        node = nodes.get(c)
+                        if node is None or (c == MARK and at):
+                            break
+                        own, number, nodes = node
+                        if own is not None and score[at] + own >= best:
+                            best, start, piece = score[at] + own, at, number
+                        at -= 1
+                score.append(best)
+                back.append(start)
+                took.append(piece)
+            out: list[int] = []
+            stop = len(word)
+            while stop > least:
+                start = back[stop]
+                if took[stop] >= 0:
+                    out.append(took[stop])
+                else:
+                    out.extend(self.bytes_[b] for b in reversed(word[start:stop].encode()))
+                stop = start
+            self.known[word] = tuple(reversed(out))
             last = word
 
-    def _step(self, word: str, stop: int, score: list[float], back: list[int]) -> None:
-        """Best score of the first ``stop`` characters, and where its last piece starts."""
-        if stop == 1 and word[0] == BARE:
-            score.append(0.0)
-            back.append(0)
-            return
-        least = 1 if word[0] == BARE else 0
-        best, start = score[stop - 1] + BYTE_SCORE * len(word[stop - 1].encode()), stop - 1
-        if stop == 1 or word[stop - 1] != MARK:
-            for at in range(stop - 1, least - 1, -1):
-                piece = word[at:stop]
-                if piece not in self.endings or (at > 0 and word[at] == MARK):
-                    break
-                own = self.scores.get(piece)
-                if own is not None and score[at] + own >= best:
-                    best, start = score[at] + own, at
-        score.append(best)
-        back.append(start)
-
-    def _path(self, word: str, back: list[int]) -> tuple[int, ...]:
-        out: list[int] = []
-        stop, least = len(word), 1 if word[0] == BARE else 0
-        while stop > least:
-            start = back[stop]
-            piece = word[start:stop]
-            own = self.ids.get(piece) if not (start > 0 and piece[0] == MARK) else None
-            out.extend((own,) if own is not None else (self.bytes_[b] for b in reversed(piece.encode())))
-            stop = start
-        return tuple(reversed(out))
+    @staticmethod
+    def parted(texts: pa.Array) -> pa.Array:
+        """Texts whose parts stand between single blanks, each of which is the mark of the part behind it.
+
+        A part that starts with line feeds is none with a mark: after one of them stands a word behind a line feed,
+        which may be empty; two are a line feed; three and more stand for one blank less in front of a word.
+        """
+        odd = np.asarray(pc.or_(pc.starts_with(texts, " "), pc.match_substring(texts, "  ")))
+        out = pc.replace_substring(texts, "\n", " \n\n \n")
+        if odd.any():
+            code = lambda m: " \n\n \n" if m[0] == "\n" else " " + "\n" * (len(m[0]) + 1)
+            changed = [_BREAKS.sub(code, " " + t).removeprefix(" ") for t in texts.filter(pa.array(odd)).to_pylist()]
+            out = pc.replace_with_mask(out, pa.array(odd), pa.array(changed, out.type))
+        return pc.if_else(pc.equal(texts, ""), "\n", out)
 
     @staticmethod
-    def words(text: str) -> list[str]:
-        """Marked words of a text; line feeds stand alone, and the word behind one has no mark."""
-        if "\n" not in text:
-            return [MARK + x for x in text.split(" ")]
-        out = []
-        for x in text.split(" "):
-            lines = x.split("\n")
-            out.append(MARK + lines[0])
-            for line in lines[1:]:
-                out.append(BARE)
-                if line:
-                    out.append(BARE + line)
-        return out
+    def _word(part: str) -> str:
+        """A part as ``learn`` takes it."""
+        if part[:1] != "\n":
+            return MARK + part
+        bare = part.lstrip("\n")
+        return BARE + part[1:] if part[1:2] != "\n" else " " * (len(part) - len(bare) - 1) + bare
+
+    def _places(self, parts: list[str]) -> np.ndarray:
+        """Places of distinct parts in the table; new ones are segmented first."""
+        new = [p for p in parts if p not in self.place]
+        if len(self.place) + len(new) > KNOWN_WORDS:
+            self.forget()
+            new = [p for p in parts if p not in self.place]
+        words = [self._word(p) for p in new]
+        self.learn(words)
+        for part, word in zip(new, words):
+            self.place[part] = len(self.starts) - 1
+            self.flat.extend(self.known[word])
+            self.starts.append(len(self.flat))
+        self.known = {}
+        return np.fromiter(map(self.place.__getitem__, parts), np.int64, len(parts))
+
+    def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and how many each has; NULL has none. A long text is done by stretches of whole parts."""
+        texts = self.parted(texts.fill_null("").cast(pa.large_string()))
+        ids, lengths = [], np.zeros(len(texts), np.int64)
+        if texts.nbytes <= 4 * STEP_BYTES:
+            ids, lengths = self._looked_up(texts)
+            return ids, lengths
+        for i, text in enumerate(texts.to_pylist()):
+            for stretch in _stretches(text):
+                some, n = self._looked_up(pa.array([stretch], pa.large_string()))
+                ids.append(some)
+                lengths[i] += n[0]
+        return np.concatenate(ids), lengths
+
+    def _looked_up(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        cut = pc.split_pattern(texts, " ")
+        coded = cut.flatten().dictionary_encode()
+        place = self._places(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        starts, flat = np.array(self.starts, np.int64), np.frombuffer(self.flat, np.int32)
+        sizes = starts[place + 1] - starts[place]
+        so_far = np.concatenate(([0], np.cumsum(sizes)))
+        bounds = np.asarray(cut.offsets) - np.asarray(cut.offsets)[0]
+        return flat[ragged(starts[place], sizes)], np.diff(so_far[bounds])
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
-        cut = [self.words(t) if t else [] for t in texts]
-        new = set(chain.from_iterable(cut)).difference(self.known)
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known = {}
-            new = set(chain.from_iterable(cut))
-        self.learn(new)
-        self.known[BARE] = self.line
-        get = self.known.__getitem__
-        return [None if t is None else list(chain.from_iterable(map(get, words))) for t, words in zip(texts, cut)]
+        ids, lengths = self.pieces(pa.array(texts, pa.string()))
+        ends = np.cumsum(lengths)
+        return [None if t is None else ids[e - n : e].tolist() for t, e, n in zip(texts, ends, lengths)]
+
+
+def _stretches(text: str) -> Iterator[str]:
+    """``text`` cut at single blanks, which go, into stretches of about ``STEP_BYTES`` characters."""
+    at = 0
+    while at >= 0:
+        stop = text.find(" ", at + STEP_BYTES)
+        yield text[at:] if stop < 0 else text[at:stop]
+        at = stop + 1 if stop >= 0 else -1
 
 
 def _encoded(batch: pa.RecordBatch, text: str, segmenter: Segmenter) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     for rows in slices(batch, text):
-        ids = segmenter.encode(rows.column(text).to_pylist())
-        lengths = np.fromiter((len(x) if x else 0 for x in ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(x for x in ids if x), np.int32, int(lengths.sum()))
+        ids, lengths = segmenter.pieces(rows.column(text))
         offsets = pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
-        yield rows, pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array([x is None for x in ids], pa.bool_()))
+        yield rows, pa.ListArray.from_arrays(offsets, pa.array(ids), mask=rows.column(text).is_null())
 
 
 def _fields(df: DataFrame) -> str:
@@ -143,15 +220,34 @@ def decode(df: DataFrame, tokens: str = "tokens", text: str = "decoded", vocabul
     base, words = df.drop(text), load(vocabulary)
     table = {i: p.replace(MARK, " ").encode() for p, i in words.ids.items()} | {i: bytes([b]) for b, i in enumerate(words.bytes_)}
 
-    def read(ids: np.ndarray) -> str:
-        return b"".join(map(table.__getitem__, ids.tolist())).decode(errors="replace").removeprefix(" ")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [table.get(i, b"") for i in range(max(table) + 1)]
+        sizes = np.fromiter(map(len, held), np.int64, len(held))
+        data, begin = np.frombuffer(b"".join(held), np.uint8), np.cumsum(sizes) - sizes
         for batch in batches:
             column = batch.column(tokens)
-            flat, offsets = np.asarray(column.values), np.asarray(column.offsets)
-            known = np.asarray(column.is_valid())
-            texts = [read(flat[a:b]) if k else None for a, b, k in zip(offsets[:-1], offsets[1:], known)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text])
+            offsets = np.asarray(column.offsets, np.int64)
+            ids = np.asarray(column.values)[offsets[0] : offsets[-1]]
+            starts, length = begin[ids], sizes[ids]
+            first = (offsets[:-1] - offsets[0])[np.diff(offsets) > 0]  # the blank put before a text goes
+            marked = first[data[starts[first]] == 0x20]
+            starts[marked] += 1
+            length[marked] -= 1
+            so_far = np.concatenate(([0], np.cumsum(length)))
+            out = np.empty(so_far[-1], np.uint8)
+            for at in range(0, len(ids), STEP_BYTES):
+                stop = min(at + STEP_BYTES, len(ids))
+                out[so_far[at] : so_far[stop]] = data[ragged(starts[at:stop], length[at:stop])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, _texts(out, so_far[offsets - offsets[0]], column.is_null())], names=[*batch.schema.names, text])
 
     return base.mapInArrow(run, f"{_fields(base)}, `{text}` string")
+
+
+def _texts(data: np.ndarray, offsets: np.ndarray, null: pa.Array) -> pa.Array:
+    """A string column over UTF-8 bytes; NULL where ``null`` is true."""
+    out = strings(data, offsets)
+    try:
+        out.validate(full=True)
+    except pa.ArrowInvalid:
+        out = pa.array([data[a:b].tobytes().decode(errors="replace") for a, b in zip(offsets[:-1], offsets[1:])], pa.large_string())
+    return pc.if_else(null, pa.scalar(None, pa.large_string()), out).cast(pa.string())

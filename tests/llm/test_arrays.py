@@ -342,6 +342,40 @@ def test_segmentations_are_the_best_ones():
         assert sum(score[i] for i in s.known[word]) == pytest.approx(best[least])
 
 
+def test_runs_of_blanks_use_their_pieces():
+    v = load()
+    s = viterbi.Segmenter(v)
+    rng = random.Random(8)
+    tested = ["".join(rng.choice(("the", "a", " ", "  ", "   ", "\n", MARK, "é")) for _ in range(rng.randrange(1, 14))) for _ in range(400)]
+    tested += [" " * n for n in range(1, 40)] + [" " * 5 + "the", "the" + " " * 7, "a\n" + " " * 4 + "b", "\n", " \n ", MARK * 3, " " + MARK]
+    score = {i: v.scores[p] for p, i in v.ids.items()} | dict.fromkeys(v.bytes_, viterbi.BYTE_SCORE)
+    for text, got in zip(tested, s.encode(tested)):
+        whole = " " + text  # the best segmentation of the text as a whole; only blanks are marks
+        best = [0.0] * (len(whole) + 1)
+        for at in range(len(whole) - 1, -1, -1):
+            best[at] = best[at + 1] + viterbi.BYTE_SCORE * len(whole[at].encode())
+            for stop in range(at + 1, min(len(whole), at + v.longest) + 1):
+                part = whole[at:stop]
+                if MARK not in part and part.replace(" ", MARK) in v.scores:
+                    best[at] = max(best[at], v.scores[part.replace(" ", MARK)] + best[stop])
+        assert sum(score[i] for i in got) == pytest.approx(best[0])
+    assert len(s.encode([" " * 15])[0]) == 1
+
+
+def test_a_long_text_is_encoded_by_stretches():
+    v = load()
+    rng = random.Random(9)
+    long = "".join(rng.choice(("the ", "cat", "  ", "\n", "é ", " on\n  ")) for _ in range(1_500_000))
+    got, lengths = viterbi.Segmenter(v).pieces(pa.array(["the", long, None, ""]))
+    parts = ["".join(x) for x in (long[i : i + 1000] for i in range(0, 3000, 1000))]
+    few = viterbi.Segmenter(v).encode(["the", long[:3000], "".join(parts)])
+    assert got[: lengths[0]].tolist() == few[0] and few[1] == few[2]
+    assert list(lengths[2:]) == [0, 0] and lengths.sum() == len(got)
+    table = {i: p.replace(MARK, " ").encode() for p, i in v.ids.items()} | {i: bytes([b]) for b, i in enumerate(v.bytes_)}
+    assert b"".join(map(table.__getitem__, got[lengths[0] :].tolist())).decode() == " " + long
+    assert got[lengths[0] : lengths[0] + 600].tolist() == few[1][:600]
+
+
 def test_texts_come_back_exactly(spark):
     docs = table(spark)
     back = viterbi.decode(viterbi.encode(docs)).collect()
