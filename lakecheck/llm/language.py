@@ -32,10 +32,11 @@ ROUNDS = 3
 SMOOTHING = 0.05
 #: Probability of a character that no piece covers, in every language.
 UNKNOWN = 1e-6
-#: A run without white space is cut into units of so many characters.
+#: Characters of a word up to which it is scored in one block; training alone cuts longer runs into units of so many.
 UNIT = 32
-#: Longest piece that takes part.
-LONGEST = 12
+#: Positions of a longer word that are worked out between two rescalings, and words that go together.
+STRIDE = 16
+TOGETHER = 1024
 KNOWN_WORDS = 400_000
 #: Characters from which on the mean score of a text is taken as it is.
 FIT_CHARS = 100
@@ -68,12 +69,13 @@ def _prefix_sums(cps: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """``keys``: sorted hashes of the pieces; ``pieces``: their number in the vocabulary; ``probs``: piece by language."""
+    """``keys``: sorted hashes of the pieces; ``pieces``: their number in the vocabulary; ``probs``: piece by language; ``longest``: characters of a piece."""
 
     languages: list[str]
     keys: np.ndarray
     pieces: np.ndarray
     probs: np.ndarray
+    longest: int
 
     def hits(self, sums: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows whose ``[start, stop)`` is a piece, and the places of these pieces."""
@@ -91,7 +93,7 @@ class Model:
         met = []
         for stop in range(1, cps.shape[1] + 1):
             live = int(np.searchsorted(-lengths, -stop, side="right"))
-            for start in range(max(0, stop - LONGEST), stop):
+            for start in range(max(0, stop - self.longest), stop):
                 rows, at = self.hits(sums[:live], start, stop)
                 if stop - start == 1 and len(rows) < live:
                     bare = np.setdiff1d(np.arange(live), rows, assume_unique=True)
@@ -113,7 +115,7 @@ class Model:
         beta[np.arange(len(cps)), lengths] = 1.0
         sums = _prefix_sums(cps)
         for start in range(cps.shape[1] - 1, -1, -1):
-            for stop in range(start + 1, min(start + LONGEST, cps.shape[1]) + 1):
+            for stop in range(start + 1, min(start + self.longest, cps.shape[1]) + 1):
                 live = int(np.searchsorted(-lengths, -stop, side="right"))
                 rows, at = self.hits(sums[:live], start, stop)
                 if stop - start == 1 and len(rows) < live:
@@ -147,9 +149,58 @@ def units(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def word_scores(model: Model, words: list[str]) -> np.ndarray:
+    """Log probability of each word, its mark included, in each language, over all segmentations of the whole word."""
     out = np.zeros((len(words), len(model.languages)))
-    for cps, lengths, word in units(words) if words else ():
-        np.add.at(out, word, model.log_scores(cps, lengths))
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    short, long = np.flatnonzero(sizes <= UNIT), np.flatnonzero(sizes > UNIT)
+    if len(short):
+        for cps, lengths, word in units([words[i] for i in short]):
+            out[short[word]] = model.log_scores(cps, lengths)
+    long = long[np.argsort(-sizes[long], kind="stable")]
+    for at in range(0, len(long), TOGETHER):
+        rows = long[at : at + TOGETHER]
+        out[rows] = long_scores(model, [words[i] for i in rows])
+    return out
+
+
+def long_scores(model: Model, words: list[str]) -> np.ndarray:
+    """``word_scores`` of words by falling length, ``STRIDE`` positions of all of them at a time.
+
+    The forward scores of the last ``longest`` positions go on to the next stride, divided by the one of the last
+    position, whose logarithm is added up: nothing is cut, and nothing gets too small however long a word is.
+    """
+    text = "".join(MARK + w for w in words)
+    cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    begin, wide, n = np.cumsum(sizes) - sizes, model.longest, len(model.languages)
+    probs = np.vstack((model.probs, np.zeros(n), np.full(n, UNKNOWN)))
+    absent, unknown = len(model.keys), len(model.keys) + 1
+    out, logs = np.empty((len(words), n)), np.zeros((len(words), n))
+    tail = np.zeros((len(words), wide, n))
+    tail[:, -1] = 1.0
+    stops = wide + np.arange(STRIDE)  # in a window that starts wide - 1 characters before the stride
+    starts = stops[:, None] - np.arange(wide, 0, -1)
+    shift, length = powers(_INVERSE, UNIT + 1)[starts], (stops[:, None] - starts).astype(np.uint64)
+    for done in range(0, int(sizes[0]), STRIDE):
+        live = int(np.searchsorted(-sizes, -done, side="left"))  # words of more than ``done`` characters
+        at = done - wide + 1 + np.arange(wide - 1 + STRIDE)
+        inside = (at >= 0) & (at < sizes[:live, None])
+        window = np.where(inside, cps[np.where(inside, begin[:live, None] + at, 0)], 0)  # no piece has the character 0
+        sums = _prefix_sums(window)
+        keys = mix((sums[:, stops][:, :, None] - sums[:, starts]) * shift + length)
+        place = np.searchsorted(model.keys, keys)
+        place[place == absent] = 0
+        place[model.keys[place] != keys] = absent
+        place[:, :, -1][place[:, :, -1] == absent] = unknown
+        alpha = np.concatenate((tail[:live], np.zeros((live, STRIDE, n))), axis=1)
+        for k in range(STRIDE):
+            alpha[:, wide + k] = (alpha[:, k : k + wide] * probs[place[:, k]]).sum(axis=1)
+        over = np.flatnonzero(sizes[:live] <= done + STRIDE)
+        out[over] = logs[over] + np.log(alpha[over, wide - 1 + sizes[over] - done])
+        scale = alpha[:, -1]
+        scale[over] = 1.0
+        tail = alpha[:, STRIDE:] / scale[:, None]
+        logs[:live] += np.log(scale)
     return out
 
 
@@ -188,11 +239,11 @@ def train(labelled: DataFrame, vocabulary: str = VOCABULARY, per_language: int =
     languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     if not languages:
         return None
-    pieces = [p for p in load(vocabulary).ids if len(p) <= LONGEST and (p == MARK or p.strip(MARK))]
+    pieces = [p for p in load(vocabulary).ids if p == MARK or p.strip(MARK)]
     pieces = sorted({p.lower() for p in pieces})
     keys = piece_keys(pieces)
     order = np.argsort(keys)
-    model = Model(languages, keys[order], order, np.full((len(pieces), len(languages)), 1 / len(pieces)))
+    model = Model(languages, keys[order], order, np.full((len(pieces), len(languages)), 1 / len(pieces)), max(map(len, pieces)))
     counted = _sample(labelled, per_language).mapInArrow(_count_words, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     types = written(counted, "words")
     for _ in range(rounds):
@@ -200,7 +251,7 @@ def train(labelled: DataFrame, vocabulary: str = VOCABULARY, per_language: int =
         counts = np.full_like(model.probs, SMOOTHING)
         for r in got:
             counts[r["piece"], r["lang"]] += r["n"]
-        model = Model(languages, model.keys, model.pieces, counts / counts.sum(axis=0))
+        model = Model(languages, model.keys, model.pieces, counts / counts.sum(axis=0), model.longest)
     return model
 
 
@@ -283,7 +334,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", pred: str
     A NULL text, one without any letter, and every text if no language was learned are ``und`` with score 0. Ties go
     to the language that comes first. Columns of the input named like the new ones are replaced, others pass
     through; rows stay as they are, repeated ones too. A text is scored in one task, whatever its length, by its
-    distinct words; a run without white space is scored in units of ``UNIT`` characters. ``fit`` names a third column:
+    distinct words; a run without white space is one word, summed over all its segmentations. ``fit`` names a third column:
     ``mean``, the log score per character under the predicted language, and ``weight``, ``sqrt(chars / FIT_CHARS)`` and 1
     at most, since the mean of a short text is less certain; NULL where the language is ``und``.
     """

@@ -284,26 +284,32 @@ def test_languages_of_texts_never_seen(spark, model):
 
 def test_all_segmentations_are_summed(model):
     place = {int(p): i for i, p in enumerate(model.pieces)}
-    known = sorted({p.lower() for p in load().ids if len(p) <= language.LONGEST and (p == MARK or p.strip(MARK))})
+    known = sorted({p.lower() for p in load().ids if p == MARK or p.strip(MARK)})
     prob = {p: model.probs[place[i]] for i, p in enumerate(known)}
 
     def total(word):
         if not word:
             return np.ones(len(model.languages))
-        out = sum(prob[word[:k]] * total(word[k:]) for k in range(1, min(len(word), language.LONGEST) + 1) if word[:k] in prob)
+        out = sum(prob[word[:k]] * total(word[k:]) for k in range(1, len(word) + 1) if word[:k] in prob)
         return out + (language.UNKNOWN * total(word[1:]) if word[0] not in prob else 0)
 
     tested = ["the", "unter", "ciónes", "x", "été", "zz日q"]
     assert np.allclose(language.word_scores(model, tested), [np.log(total(MARK + w)) for w in tested])
-    long = "ab" * 40
-    parts = [(MARK + long)[i : i + language.UNIT] for i in range(0, len(long) + 1, language.UNIT)]
-    assert np.allclose(language.word_scores(model, [long])[0], sum(np.log(forward(model, prob, p)) for p in parts))
+    rng = random.Random(10)
+    longest = max(prob, key=len).removeprefix(MARK)
+    tested = ["ab" * 40, "x" * 31, "x" * 32, "日" * 47, "日" * 48, "日" * 500, longest, longest * 9, "\x00" * 40, "straightforward" * 30]
+    tested += ["".join(rng.choice(("the", "distribution", "é", "日", "z", longest)) for _ in range(rng.randrange(8, 200))) for _ in range(30)]
+    assert np.allclose(language.word_scores(model, tested), [forward(model, prob, MARK + w) for w in tested], rtol=1e-9)
 
 
 def forward(model, prob, word):
-    alpha = [np.ones(len(model.languages))]
+    """Log probability of the whole word over all segmentations, in log space."""
+    alpha, longest = [np.zeros(len(model.languages))], max(map(len, prob))
     for stop in range(1, len(word) + 1):
-        alpha.append(sum(alpha[a] * prob[word[a:stop]] for a in range(max(0, stop - language.LONGEST), stop) if word[a:stop] in prob))
+        ways = [alpha[a] + np.log(prob[word[a:stop]]) for a in range(max(0, stop - longest), stop) if word[a:stop] in prob]
+        if word[stop - 1] not in prob:
+            ways.append(alpha[stop - 1] + np.log(language.UNKNOWN))
+        alpha.append(np.logaddexp.reduce(ways))
     return alpha[-1]
 
 
