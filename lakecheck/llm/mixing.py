@@ -9,7 +9,6 @@ order is cut by totals of hash buckets and, inside one bucket, by single documen
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -57,60 +56,85 @@ def fill_targets(sizes: dict, weights: dict, total: float, cap: float = MAX_REPE
 
 
 def route(patterns: Sequence[Pattern], quotas: dict, repeats: int = MAX_REPEATS) -> dict[tuple[int, str | None], int]:
-    """Words that pattern ``i`` gives to each source: a maximal flow of least cost, by successive shortest paths.
+    """Words that pattern ``i`` gives to each source: a maximal flow of least cost.
 
     Arcs: start to pattern once per pass, with the pattern's words as capacity and ``pass - 1`` as cost; pattern to
-    its sources without limit; source to end with its quota. Potentials keep reduced costs non-negative.
+    its sources without limit; source to end with its quota. Every way through has one arc with a cost, so the
+    cheapest flow is a maximal one over first passes, made larger with second passes, and so on. A pattern that shares
+    its only source with no other needs no flow.
     """
-    names = list(quotas)
+    holders: dict = {}
+    for i, p in enumerate(patterns):
+        for s in p.sources:
+            holders.setdefault(s, []).append(i)
+    alone = {i: p.sources[0] for i, p in enumerate(patterns) if len(p.sources) == 1 and len(holders[p.sources[0]]) == 1}
+    out = {(i, s): min(int(round(quotas[s])), repeats * patterns[i].words) for i, s in alone.items()}
+    rest = [i for i in range(len(patterns)) if i not in alone]
+    out |= _flow({i: patterns[i] for i in rest}, {s: int(round(q)) for s, q in quotas.items()}, repeats) if rest else {}
+    return {k: n for k, n in out.items() if n}
+
+
+def _flow(patterns: dict[int, Pattern], quotas: dict, repeats: int) -> dict[tuple[int, str | None], int]:
+    """Blocking flows over levels of equal distance, pass by pass; a pass only adds room to arcs from the start."""
+    names = sorted({s for p in patterns.values() for s in p.sources}, key=lambda s: (s is None, s or ""))
     at = {s: 1 + len(patterns) + i for i, s in enumerate(names)}
     end = 1 + len(patterns) + len(names)
-    heads: list[list[int]] = [[] for _ in range(end + 1)]
+    arcs: list[list[int]] = [[] for _ in range(end + 1)]
     to: list[int] = []
     room: list[int] = []
-    cost: list[int] = []
 
-    def arc(a: int, b: int, capacity: int, price: int) -> None:
-        for u, v, c, p in ((a, b, capacity, price), (b, a, 0, -price)):
-            heads[u].append(len(to))
+    def arc(a: int, b: int, capacity: int) -> int:
+        for u, v, c in ((a, b, capacity), (b, a, 0)):
+            arcs[u].append(len(to))
             to.append(v)
             room.append(c)
-            cost.append(p)
+        return len(to) - 2
 
-    links = {}
-    for i, p in enumerate(patterns):
-        for k in range(repeats):
-            arc(0, 1 + i, p.words, k)
+    fed, links = [], {}
+    for k, (i, p) in enumerate(patterns.items()):
+        fed.append((arc(0, 1 + k, 0), p.words))
         for s in p.sources:
-            links[i, s] = len(to)
-            arc(1 + i, at[s], repeats * p.words, 0)
+            links[i, s] = arc(1 + k, at[s], repeats * p.words)
     for s in names:
-        arc(at[s], end, int(round(quotas[s])), 0)
-    height = [0] * (end + 1)
-    while True:
-        far = [float("inf")] * (end + 1)
-        came = [-1] * (end + 1)
-        far[0] = 0
-        queue = [(0, 0)]
-        while queue:
-            d, u = heapq.heappop(queue)
-            if d > far[u]:
-                continue
-            for e in heads[u]:
-                if room[e] > 0 and (n := d + cost[e] + height[u] - height[to[e]]) < far[to[e]]:
-                    far[to[e]], came[to[e]] = n, e
-                    heapq.heappush(queue, (n, to[e]))
-        if came[end] < 0:
-            return {k: room[e ^ 1] for k, e in links.items() if room[e ^ 1]}
-        height = [h + (f if f < float("inf") else 0) for h, f in zip(height, far)]
-        path, v = [], end
-        while v:
-            path.append(came[v])
-            v = to[came[v] ^ 1]
-        amount = min(room[e] for e in path)
-        for e in path:
-            room[e] -= amount
-            room[e ^ 1] += amount
+        arc(at[s], end, quotas[s])
+
+    def levels() -> list[int]:
+        level, queue = [-1] * (end + 1), [0]
+        level[0] = 0
+        for u in queue:
+            for e in arcs[u]:
+                if room[e] > 0 and level[to[e]] < 0:
+                    level[to[e]] = level[u] + 1
+                    queue.append(to[e])
+        return level
+
+    for _ in range(repeats):
+        for e, words in fed:
+            room[e] += words
+        while (level := levels())[end] > 0:
+            tried, path, u = [0] * (end + 1), [], 0
+            while True:
+                if u == end:
+                    amount = min(room[e] for e in path)
+                    for e in path:
+                        room[e] -= amount
+                        room[e ^ 1] += amount
+                    full = next(k for k, e in enumerate(path) if not room[e])
+                    u = to[path[full] ^ 1]
+                    del path[full:]
+                elif tried[u] < len(arcs[u]):
+                    e = arcs[u][tried[u]]
+                    if room[e] > 0 and level[to[e]] == level[u] + 1:
+                        path.append(e)
+                        u = to[e]
+                    else:
+                        tried[u] += 1
+                elif path:  # a dead end: back one step, past the arc that led here
+                    u = to[path.pop() ^ 1]
+                    tried[u] += 1
+                else:
+                    break
+    return {k: room[e ^ 1] for k, e in links.items()}
 
 
 def sized(docs: DataFrame, sources: Column, id_column: str, text_column: str, seed: int) -> DataFrame:
@@ -133,7 +157,10 @@ def mixing_plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS, repeats: in
     patterns = [Pattern(r["pattern"], tuple(r["sources"]), r["words"]) for r in totals]
     names = source_order([s for p in patterns for s in p.sources])
     weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
-    size = {s: sum(p.words for p in patterns if s in p.sources) for s in names}
+    size = dict.fromkeys(names, 0)
+    for p in patterns:
+        for s in p.sources:
+            size[s] += p.words
     target = fill_targets(size, weight, sum(p.words for p in patterns), repeats)
     flow = route(patterns, target, repeats)
     given, routed = [0] * len(patterns), dict.fromkeys(names, 0)

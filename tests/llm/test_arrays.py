@@ -86,6 +86,35 @@ def test_flow_prefers_unread_words_and_shares_overlaps():
     assert flow == {(0, "b"): 30}  # at most three passes
 
 
+@pytest.mark.parametrize("seed", range(40))
+def test_flows_are_maximal_and_cheapest(seed):
+    rng = random.Random(seed)
+    names = [None, "a", "b", "c", "d"][: rng.randrange(1, 6)]
+    sets = sorted({tuple(sorted(rng.sample(names, rng.randrange(1, len(names) + 1)), key=str)) for _ in range(rng.randrange(1, 8))}, key=str)
+    p = [mixing.Pattern(str(x), x, rng.randrange(0, 30)) for x in sets]
+    quotas = {s: rng.randrange(0, 60) for s in names}
+    flow = mixing.route(p, quotas)
+    given, got = Counter(), Counter()
+    for (i, s), n in flow.items():
+        assert n > 0 and s in p[i].sources
+        given[i] += n
+        got[s] += n
+    assert all(got[s] <= quotas[s] for s in names) and all(given[i] <= 3 * p[i].words for i in given)
+    cuts = [{s for k, s in enumerate(names) if m >> k & 1} for m in range(2 ** len(names))]
+    largest = [min(sum(quotas[s] for s in t) + sum(k * x.words for x in p if not t.issuperset(x.sources)) for t in cuts) for k in range(4)]
+    assert sum(given.values()) == largest[3]
+    cost = sum(k * max(0, min(p[i].words, n - k * p[i].words)) for i, n in given.items() for k in range(3))
+    assert cost == sum(k * (largest[k + 1] - largest[k]) for k in range(3))
+
+
+def test_very_many_sources_are_routed():
+    n = 100_000
+    alone = [mixing.Pattern(str(i), (str(i),), i % 100) for i in range(n)]
+    assert sum(mixing.route(alone, {str(i): 150 for i in range(n)}).values()) == sum(min(150, 3 * (i % 100)) for i in range(n))
+    ring = [mixing.Pattern(str(i), (str(i), str((i + 1) % 5000)), 10) for i in range(5000)]
+    assert sum(mixing.route(ring, {str(i): 25 for i in range(5000)}).values()) == 125_000
+
+
 def test_mixed_sizes(spark):
     got = mixing.mixed_sizes(table(spark)).collect()
     assert len(got) == len(rows())
