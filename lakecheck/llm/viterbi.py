@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lakecheck.llm.arrow import STEP_BYTES, ragged, slices, strings
+from lakecheck.llm.arrow import STEP_BYTES, ragged, slices, strings, tidy
 from lakecheck.llm.pieces import MARK, VOCABULARY, Vocabulary, load
 
 #: Log score of one byte piece.
@@ -30,6 +30,8 @@ BYTE_SCORE = -25.0
 #: First character of a word that follows a line feed and so has no mark.
 BARE = "\n"
 KNOWN_WORDS = 300_000
+#: Ids handled at once when texts are read back; those of a longer text go through in parts.
+STEP_TOKENS = 1 << 17
 _BREAKS = re.compile("\n| {2,}")
 
 
@@ -206,6 +208,7 @@ def encode(docs: DataFrame, text: str = "text", tokens: str = "tokens", vocabula
     """
     base, words = docs.drop(tokens), load(vocabulary)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         segmenter = Segmenter(words)
         for batch in batches:
@@ -220,29 +223,43 @@ def decode(df: DataFrame, tokens: str = "tokens", text: str = "decoded", vocabul
     base, words = df.drop(text), load(vocabulary)
     table = {i: p.replace(MARK, " ").encode() for p, i in words.ids.items()} | {i: bytes([b]) for b, i in enumerate(words.bytes_)}
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [table.get(i, b"") for i in range(max(table) + 1)]
         sizes = np.fromiter(map(len, held), np.int64, len(held))
         data, begin = np.frombuffer(b"".join(held), np.uint8), np.cumsum(sizes) - sizes
         for batch in batches:
-            column = batch.column(tokens)
-            offsets = np.asarray(column.offsets, np.int64)
-            ids = np.asarray(column.values)[offsets[0] : offsets[-1]]
-            starts, length = begin[ids], sizes[ids]
-            first = (offsets[:-1] - offsets[0])[np.diff(offsets) > 0]  # the blank put before a text goes
-            marked = first[data[starts[first]] == 0x20]
-            starts[marked] += 1
-            length[marked] -= 1
-            so_far = np.concatenate(([0], np.cumsum(length)))
-            out = np.empty(so_far[-1], np.uint8)
-            for at in range(0, len(ids), STEP_BYTES):
-                stop = min(at + STEP_BYTES, len(ids))
-                out[so_far[at] : so_far[stop]] = data[ragged(starts[at:stop], length[at:stop])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, _texts(out, so_far[offsets - offsets[0]], column.is_null())], names=[*batch.schema.names, text])
+            offsets = np.asarray(batch.column(tokens).offsets, np.int64)
+            at = 0
+            while at < batch.num_rows:
+                stop = int(np.searchsorted(offsets, offsets[at] + STEP_TOKENS, side="right")) - 1
+                stop = min(max(stop, at + 1), batch.num_rows)
+                rows = batch.slice(at, stop - at)
+                yield pa.RecordBatch.from_arrays([*rows.columns, _read(rows.column(tokens), data, begin, sizes)], names=[*rows.schema.names, text])
+                at = stop
 
     return base.mapInArrow(run, f"{_fields(base)}, `{text}` string")
 
 
+def _read(column: pa.Array, data: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Texts of lists of ids; piece ``i`` is ``data[begin[i] : begin[i] + sizes[i]]``. The blank put before a text goes."""
+    offsets = np.asarray(column.offsets, np.int64)
+    ids = np.asarray(column.values)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    length = sizes[ids]
+    first = offsets[:-1][np.diff(offsets) > 0]
+    marked = first[data[begin[ids[first]]] == 0x20]
+    length[marked] -= 1
+    so_far = np.concatenate(([0], np.cumsum(length)))
+    skip = np.zeros(len(ids), bool)
+    skip[marked] = True
+    out = np.empty(so_far[-1], np.uint8)
+    for at in range(0, len(ids), STEP_TOKENS):
+        stop = min(at + STEP_TOKENS, len(ids))
+        out[so_far[at] : so_far[stop]] = data[ragged(begin[ids[at:stop]] + skip[at:stop], length[at:stop])]
+    return _texts(out, so_far[offsets], column.is_null())
+
+
 def _texts(data: np.ndarray, offsets: np.ndarray, null: pa.Array) -> pa.Array:
     """A string column over UTF-8 bytes; NULL where ``null`` is true."""
     out = strings(data, offsets)
