@@ -29,8 +29,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``lang`` becomes the predicted language, so later stages and the corpus carry what the text says.
     """
     model = train_on(docs)
-    told = predict(docs, model, pred="_pred", score="_score", fit="_fit")
-    kept = told.where((F.col("_pred") != "und") & (F.col("_score") >= SURE) & fits(F.col("_fit"), F.col("_pred"), fit_floors(docs, model)))
+    told = written(predict(docs, model, pred="_pred", score="_score", fit="_fit"), "told")
+    floors = fit_floors(told, pred="_pred", fit="_fit")
+    kept = told.where((F.col("_pred") != "und") & (F.col("_score") >= SURE) & fits(F.col("_fit"), F.col("_pred"), floors))
     return kept.withColumn("lang", F.col("_pred")).select(*docs.columns)
 
 

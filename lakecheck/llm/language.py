@@ -3,7 +3,7 @@
 Each language has a probability for every piece of one fixed public vocabulary. A text is split at white space;
 the probability of a marked word is the sum over all ways to cut it into pieces, worked out by the forward
 algorithm, and the log probabilities of its words add up. Models are trained by expectation maximisation: expected
-piece counts over all segmentations of the words of a labelled sample, gathered per language and piece.
+piece counts over all segmentations of the words of all labelled texts, gathered per language and piece.
 
 The work per row is over distinct words: words of a slice are hashed, and the forward algorithm runs over columns
 of distinct words, position by position, for all languages at once.
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,6 @@ from lakecheck.llm.pieces import MARK, VOCABULARY, load
 from lakecheck.llm.storage import written
 from lakecheck.llm.words import mix, powers, word_hashes, word_spans
 
-#: Labelled texts per language that a model is fitted on; whole texts, chosen by a hash of their id.
-SAMPLE_PER_LANGUAGE = 1000
 ROUNDS = 3
 #: Added to each expected count.
 SMOOTHING = 0.05
@@ -40,6 +39,12 @@ TOGETHER = 1024
 KNOWN_WORDS = 400_000
 #: Characters from which on the mean score of a text is taken as it is.
 FIT_CHARS = 100
+#: Bytes of text whose words are counted together in training, before they are shuffled.
+COUNT_BYTES = 1 << 22
+#: Leading bits of a piece's hash by which most parts of words that are no piece are told.
+SEEN_BITS = 20
+#: Decimals of a log score per character in the thresholds: scores are counted on this grid, all of them.
+FIT_DIGITS = 4
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 
@@ -77,20 +82,28 @@ class Model:
     probs: np.ndarray
     longest: int
 
+    @cached_property
+    def seen(self) -> np.ndarray:
+        """Whether a piece has a hash with these leading bits."""
+        out = np.zeros(1 << SEEN_BITS, bool)
+        out[self.keys >> np.uint64(64 - SEEN_BITS)] = True
+        return out
+
     def hits(self, sums: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, np.ndarray]:
         """Rows whose ``[start, stop)`` is a piece, and the places of these pieces."""
         keys = _spans_hash(sums, start, stop)
+        rows = np.flatnonzero(self.seen[keys >> np.uint64(64 - SEEN_BITS)])
+        keys = keys[rows]
         at = np.searchsorted(self.keys, keys)
         at[at == len(self.keys)] = 0
-        rows = np.flatnonzero(self.keys[at] == keys)
-        return rows, at[rows]
+        met = self.keys[at] == keys
+        return rows[met], at[met]
 
-    def forward(self, cps: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list]:
-        """Forward scores (unit, position, language); rows by falling length. Also the pieces met: rows, start, stop, places."""
+    def forward(self, cps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Forward scores (unit, position, language); rows by falling length."""
         sums, n = _prefix_sums(cps), len(self.languages)
         alpha = np.zeros((len(cps), cps.shape[1] + 1, n))
         alpha[:, 0] = 1.0
-        met = []
         for stop in range(1, cps.shape[1] + 1):
             live = int(np.searchsorted(-lengths, -stop, side="right"))
             for start in range(max(0, stop - self.longest), stop):
@@ -100,33 +113,42 @@ class Model:
                     alpha[bare, stop] += alpha[bare, start] * UNKNOWN
                 if len(rows):
                     alpha[rows, stop] += alpha[rows, start] * self.probs[at]
-                    met.append((rows, start, stop, at))
-        return alpha, met
+        return alpha
 
     def log_scores(self, cps: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        alpha, _ = self.forward(cps, lengths)
+        alpha = self.forward(cps, lengths)
         return np.log(alpha[np.arange(len(cps)), lengths])
 
-    def expected(self, cps: np.ndarray, lengths: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Expected counts (piece, language) over all segmentations; ``weights`` (unit, language) are word counts."""
-        alpha, met = self.forward(cps, lengths)
-        beta = np.zeros_like(alpha)
-        ends = alpha[np.arange(len(cps)), lengths]
-        beta[np.arange(len(cps)), lengths] = 1.0
+    def expected(self, cps: np.ndarray, lengths: np.ndarray, lang: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Expected counts (piece, language) over all segmentations; a unit counts ``weights`` times, in its own language alone."""
         sums = _prefix_sums(cps)
-        for start in range(cps.shape[1] - 1, -1, -1):
-            for stop in range(start + 1, min(start + self.longest, cps.shape[1]) + 1):
-                live = int(np.searchsorted(-lengths, -stop, side="right"))
+        alpha = np.zeros((cps.shape[1] + 1, len(cps)))
+        alpha[0] = 1.0
+        met = []  # pieces, and characters that no piece covers, by stop
+        for stop in range(1, cps.shape[1] + 1):
+            live = int(np.searchsorted(-lengths, -stop, side="right"))
+            for start in range(max(0, stop - self.longest), stop):
                 rows, at = self.hits(sums[:live], start, stop)
                 if stop - start == 1 and len(rows) < live:
                     bare = np.setdiff1d(np.arange(live), rows, assume_unique=True)
-                    beta[bare, start] += beta[bare, stop] * UNKNOWN
+                    alpha[stop, bare] += alpha[start, bare] * UNKNOWN
+                    met.append((bare, start, stop, None, UNKNOWN))
                 if len(rows):
-                    beta[rows, start] += beta[rows, stop] * self.probs[at]
-        out = np.zeros_like(self.probs)
-        for rows, start, stop, at in met:
-            np.add.at(out, at, alpha[rows, start] * self.probs[at] * beta[rows, stop] * weights[rows] / ends[rows])
-        return out
+                    p = self.probs[at, lang[rows]]
+                    alpha[stop, rows] += alpha[start, rows] * p
+                    met.append((rows, start, stop, at, p))
+        ends = np.arange(len(cps))
+        total = alpha[lengths, ends]
+        beta = np.zeros_like(alpha)
+        beta[lengths, ends] = weights / total
+        cells, counts = [np.empty(0, np.int64)], [np.empty(0)]
+        for rows, start, stop, at, p in reversed(met):
+            back = beta[stop, rows] * p
+            beta[start, rows] += back
+            if at is not None:
+                cells.append(at * len(self.languages) + lang[rows])
+                counts.append(alpha[start, rows] * back)
+        return np.bincount(np.concatenate(cells), np.concatenate(counts), self.probs.size).reshape(self.probs.shape)
 
 
 def units(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -217,12 +239,13 @@ def _sample(labelled: DataFrame, per_language: int) -> DataFrame:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for rows in slices(batch, "text"):
+        for rows in slices(batch, "text", COUNT_BYTES):
             lower = pc.utf8_lower(rows.column("text"))
             data, offsets = text_buffer(lower)
             starts, ends, text = word_spans(data, offsets)
-            words = _decoded(data, starts, ends)
-            yield pa.RecordBatch.from_arrays([rows.column("lang").take(pa.array(text)), words], names=["lang", "word"])
+            words = pa.table([rows.column("lang").take(pa.array(text)), _decoded(data, starts, ends)], names=["lang", "word"])
+            counted = words.group_by(["lang", "word"], use_threads=False).aggregate([([], "count_all")])
+            yield from counted.rename_columns({"count_all": "n"}).select(["lang", "word", "n"]).combine_chunks().to_batches()
 
 
 def _decoded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -231,10 +254,12 @@ def _decoded(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array
     return pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[ragged(starts, lengths)])]).cast(pa.string())
 
 
-def train(labelled: DataFrame, vocabulary: str = VOCABULARY, per_language: int = SAMPLE_PER_LANGUAGE, rounds: int = ROUNDS) -> Model | None:
-    """Fit on ``labelled`` (``id, lang, text``, no NULLs in ``lang`` and ``text``); None if it has no language.
+def train(labelled: DataFrame, vocabulary: str = VOCABULARY, per_language: int | None = None, rounds: int = ROUNDS) -> Model | None:
+    """Fit on all ``labelled`` rows (``id, lang, text``, no NULLs in ``lang`` and ``text``); None if it has no language.
 
-    What reaches the driver is one row per language and one per piece and language, bounded by the vocabulary.
+    The words of all texts are counted once; each round goes over distinct words. Only a caller that names
+    ``per_language`` gets a model of so many texts of each language. What reaches the driver is one row per language
+    and one per piece and language, bounded by the vocabulary.
     """
     languages = sorted(r["lang"] for r in labelled.select("lang").distinct().collect())
     if not languages:
@@ -244,7 +269,8 @@ def train(labelled: DataFrame, vocabulary: str = VOCABULARY, per_language: int =
     keys = piece_keys(pieces)
     order = np.argsort(keys)
     model = Model(languages, keys[order], order, np.full((len(pieces), len(languages)), 1 / len(pieces)), max(map(len, pieces)))
-    counted = _sample(labelled, per_language).mapInArrow(_count_words, "lang string, word string").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    texts = labelled.select("lang", "text") if per_language is None else _sample(labelled, per_language)
+    counted = texts.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     types = written(counted, "words")
     for _ in range(rounds):
         got = types.mapInArrow(_expectation(model), "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect()
@@ -263,9 +289,7 @@ def _expectation(model: Model):
             words, n = batch.column("word").to_pylist(), np.asarray(batch.column("n"), float)
             lang = np.array([place[x] for x in batch.column("lang").to_pylist()], int)
             for cps, lengths, word in units(words) if words else ():
-                weights = np.zeros((len(word), len(model.languages)))
-                weights[np.arange(len(word)), lang[word]] = n[word]
-                total += model.expected(cps, lengths, weights)
+                total += model.expected(cps, lengths, lang[word], n[word])
         piece, language = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(language.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(total[piece, language])], names=["lang", "piece", "n"])
 
@@ -368,18 +392,25 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", pred: str
     return base.mapInArrow(run, schema)
 
 
-def fit_floors(docs: DataFrame, model: Model | None, id_column: str = "doc_id", lang: str = "lang", text: str = "text", per_language: int = SAMPLE_PER_LANGUAGE) -> dict[str, tuple[float, float]]:
+def fit_floors(told: DataFrame, pred: str = "lang_pred", fit: str = "fit", lang: str = "lang") -> dict[str, tuple[float, float]]:
     """``language: (usual, floor)``: its median log score per character and how far a text of it may be below, times ``weight``.
 
-    Learned from labelled rows, about ``per_language`` of each language, held-out ones included. The floor is twice
-    the distance that one row in a thousand exceeds, one nat per character at least; a text below it is in no language
-    that was learned. What reaches the driver is two numbers per language.
+    Learned from all labelled rows of ``told``, which ``predict`` has given ``pred`` and ``fit``, held-out ones included;
+    it is read twice, so write it before. The floor is twice the distance that one row in a thousand exceeds, one nat per
+    character at least; a text below it is in no language that was learned. Rows are counted by their score with
+    ``FIT_DIGITS`` decimals, so a language has some 100,000 counts at most, however many rows. What reaches the driver
+    is two numbers per language.
     """
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(id_column).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    told = written(predict(_sample(rows, per_language), model, fit="fit").where("fit is not null").select("lang_pred", "fit.mean", "fit.weight"), "fits")
-    usual = told.groupBy("lang_pred").agg(F.percentile("mean", F.lit(0.5)).alias("usual"))
-    below = told.join(F.broadcast(usual), "lang_pred").groupBy("lang_pred", "usual").agg(F.percentile((F.col("usual") - F.col("mean")) * F.col("weight"), F.lit(0.999)).alias("far"))
-    return {r["lang_pred"]: (r["usual"], -max(2 * r["far"], 1.0)) for r in below.collect()}
+    rows = told.where(F.col(lang).isNotNull() & F.col(fit).isNotNull()).select(F.col(pred).alias("pred"), F.col(fit).alias("fit"))
+    usual = _percentile(rows, ["pred"], F.col("fit.mean"), 0.5, "usual")
+    below = _percentile(rows.join(F.broadcast(usual), "pred"), ["pred", "usual"], (F.col("usual") - F.col("fit.mean")) * F.col("fit.weight"), 0.999, "far")
+    return {r["pred"]: (r["usual"], -max(2 * r["far"], 1.0)) for r in below.collect()}
+
+
+def _percentile(rows: DataFrame, by: list[str], value: Column, part: float, name: str) -> DataFrame:
+    """Over all rows of each group, from counts of the rounded values."""
+    counts = rows.groupBy(*by, F.round(value, FIT_DIGITS).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy(*by).agg(F.percentile("value", F.lit(part), F.col("n")).alias(name))
 
 
 def fits(fit: Column, pred: Column, floors: dict[str, tuple[float, float]]) -> Column:

@@ -354,6 +354,58 @@ def test_languages_of_odd_texts(spark, model):
     assert nothing is None and {r["lang_pred"] for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_models_learn_from_all_labelled_texts(spark, monkeypatch):
+    tables = {}
+    monkeypatch.setattr(language, "written", lambda df, name: tables.setdefault(name, df.localCheckpoint()))
+    docs = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("lang"), F.concat(F.lit("The word"), F.col("id"), F.lit(" the\tthe ")).alias("text"))
+    language.train(docs, rounds=1)
+    got = {(r["lang"], r["word"]): r["n"] for r in tables["words"].collect()}
+    want = {(lang, "the"): 6000 for lang in "ab"} | {("ab"[i % 2], f"word{i}"): 1 for i in range(4000)}
+    assert got == want
+
+
+def test_floors_come_from_all_labelled_rows(spark):
+    rng = np.random.default_rng(4)
+    mean, weight = -2 - rng.random(6000), rng.random(6000)
+    mean[:12] = -9.5  # two rows in a thousand, the rarer the sample the less of them
+    weight[:12] = 1
+    data = [(i, "en" if i else None, "en", (float(m), float(w))) for i, (m, w) in enumerate(zip(mean, weight))] + [(-1, "de", "de", (-3.0, 1.0)), (-2, "de", "und", None)]
+    told = spark.createDataFrame(data, "doc_id long, lang string, lang_pred string, fit struct<mean: double, weight: double>").repartition(5)
+    usual = np.median(mean[1:])
+    far = np.quantile((usual - mean[1:]) * weight[1:], 0.999)
+    floors = language.fit_floors(told)
+    assert floors["en"] == pytest.approx((usual, -2 * far), abs=3e-4) and far > 6
+    assert floors["de"] == (-3.0, -1.0) and set(floors) == {"en", "de"}
+    assert language.fit_floors(told.where("lang is null")) == {}
+
+
+def test_expected_counts_follow_all_segmentations(model):
+    place = {int(p): i for i, p in enumerate(model.pieces)}
+    known = sorted({p.lower() for p in load().ids if p == MARK or p.strip(MARK)})
+    where = {p: place[i] for i, p in enumerate(known)}
+
+    def ways(word):
+        if not word:
+            yield 1.0, []
+        for k in range(1, len(word) + 1):
+            if word[:k] in where or k == 1:
+                p = where.get(word[:k])
+                for rest, pieces in ways(word[k:]):
+                    yield (language.UNKNOWN if p is None else model.probs[p]) * rest, [*pieces, *([] if p is None else [p])]
+
+    tested, want = ["the", "x", "zz日q", "日", "été", "unter"], np.zeros_like(model.probs)
+    for i, word in enumerate(tested):
+        lang, found = i % len(model.languages), list(ways(MARK + word))
+        total = sum(prob[lang] if np.ndim(prob) else prob for prob, _ in found)
+        for prob, pieces in found:
+            for p in pieces:
+                want[p, lang] += (i + 1) * prob[lang] / total
+    got = np.zeros_like(want)
+    for cps, lengths, word in language.units(tested):
+        got += model.expected(cps, lengths, word % len(model.languages), word + 1.0)
+    assert np.allclose(got, want)
+
+
 # ---- pieces -------------------------------------------------------------------------------------
 
 
