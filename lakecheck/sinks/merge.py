@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakecheck.operators.keys import dedup_latest
-from lakecheck.session import scratch_folder
+from lakecheck.session import scratch_folder, small_tasks
 from lakecheck.sinks.writers import overwrite
 
 
@@ -63,10 +63,21 @@ def merge_into_path(
 ) -> DataFrame:
     """Write the merged table to a new path, never to the one being read, and return it.
 
-    The newest source rows are worked out once, and written for the update and the insert to read.
+    The newest source rows are worked out once, and written for the update and the insert to read. The target's rows
+    are counted first, which for a file table is what its files tell and its filters need: partitions follow them.
     """
     spark = target.sparkSession
-    folder = scratch_folder(spark, "merge-source")
-    dedup_latest(source, keys, latest_by).write.parquet(folder)
-    overwrite(upserted(target, spark.read.parquet(folder), keys, update, set_values), path, partition_by)
+    n = target.count()
+    fresh = newest_written(source, keys, latest_by, n)
+    with small_tasks(spark, n + fresh.count()):
+        overwrite(upserted(target, fresh, keys, update, set_values), path, partition_by)
     return spark.read.parquet(path)
+
+
+def newest_written(source: DataFrame, keys: list[str], latest_by: list[str | Column], rows: int) -> DataFrame:
+    """The newest source row per key, written; partitions for about ``rows`` rows."""
+    spark = source.sparkSession
+    folder = scratch_folder(spark, "merge-source")
+    with small_tasks(spark, rows):
+        dedup_latest(source, keys, latest_by).write.parquet(folder)
+    return spark.read.parquet(folder)

@@ -17,9 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakecheck.operators.keys import dedup_latest
-from lakecheck.session import scratch_folder
-from lakecheck.sinks.merge import upserted
+from lakecheck.session import small_tasks
+from lakecheck.sinks.merge import newest_written, upserted
 from lakecheck.sinks.writers import overwrite
 
 MANIFEST = "file string, schema string"
@@ -81,15 +80,16 @@ def merge_version(
     other files go into the next version as they are. What reaches the driver are names of files.
     """
     files, schema = _files(spark, root)
-    folder = scratch_folder(spark, "merge-source")
-    dedup_latest(source, keys, latest_by).write.parquet(folder)
-    fresh = spark.read.parquet(folder)
-    located = _rows(spark, root, files, schema).select(*keys, "_file")
+    table = _rows(spark, root, files, schema)
+    n = table.count()
+    fresh = newest_written(source, keys, latest_by, n)
+    located = table.select(*keys, "_file")
     holding = located.join(fresh.select(*keys), keys, "left_semi").select("_file").distinct()
     known = {_bare(f): f for f in files}
-    touched = {known[_bare(unquote(r["_file"]))] for r in holding.collect()}
-    old = _rows(spark, root, sorted(touched), schema).drop("_file")
-    added = _write_files(upserted(old, fresh, keys, update, set_values), root, partition_by)
+    with small_tasks(spark, n + fresh.count()):
+        touched = {known[_bare(unquote(r["_file"]))] for r in holding.collect()}
+        old = _rows(spark, root, sorted(touched), schema).drop("_file")
+        added = _write_files(upserted(old, fresh, keys, update, set_values), root, partition_by)
     return _commit(spark, root, [f for f in files if f not in touched] + added, schema)
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
+from lakecheck import session
 from lakecheck.sinks import merge, versions, writers
 from lakecheck.sources import audit_files
 from tests.conftest import rows
@@ -109,6 +110,55 @@ def test_a_merge_reads_its_source_once(spark, tmp_path):
     assert read.value == 20
 
 
+SETTINGS = {
+    "spark.sql.shuffle.partitions": "1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.files.maxPartitionBytes": "1g",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+}
+
+
+@pytest.fixture
+def coarse(spark):
+    """A session with one shuffle partition."""
+    before = {key: spark.conf.get(key, None) for key in SETTINGS}
+    for key, value in SETTINGS.items():
+        spark.conf.set(key, value)
+    yield {key: spark.conf.get(key, None) for key in SETTINGS}
+    for key, value in before.items():
+        spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_partitions_of_a_merge_follow_its_rows(spark, coarse, root, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "SORT_ROWS", 1000, raising=False)
+    target = table(spark, 4000)
+    source = spark.range(2000, 6000).selectExpr("id AS k", "'new' AS v", "1 AS ts")
+    want = [(k, f"v{k}", k % 7) if k < 2000 else (k, "new", k % 7 if k < 4000 else None) for k in range(6000)]
+    out = str(tmp_path / "out")
+    got = merge.merge_into_path(target, source, out, ["k"], ["v"], [F.desc("ts")])
+    versions.write_version(target, root)
+    merged(spark, root, source)
+    for df in (got, versions.read_version(spark, root)):
+        assert sorted(map(tuple, df.collect())) == want
+        sizes = [r["n"] for r in df.groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) >= 7 and max(sizes) < 1500
+    assert {key: spark.conf.get(key, None) for key in SETTINGS} == coarse
+
+
+def test_small_tasks_are_finer_only_and_end_with_their_block(spark, coarse):
+    with pytest.raises(ZeroDivisionError), session.small_tasks(spark, 10 * session.SORT_ROWS + 1):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "11"
+        assert spark.conf.get("spark.sql.files.maxPartitionBytes") == f"{session.SORT_BYTES}b"
+        assert spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") == "4096b"
+        1 / 0
+    assert {key: spark.conf.get(key, None) for key in SETTINGS} == coarse
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    with session.small_tasks(spark, 0):
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "1"
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes", None) is None
+
+
 def test_a_failed_staging_table_is_no_table(spark, tmp_path):
     with pytest.raises(PySparkException), writers.staging_table(failing(spark), "lakecheck_failing", path=str(tmp_path / "first")):
         pass
