@@ -158,12 +158,15 @@ def near_pairs(words: DataFrame, least: int = LEAST) -> DataFrame:
 
     Words have ``least`` code points or more. A pair is verified where it meets, so no candidate is written; one that
     meets under several keys is kept once. A key that many words share is split by adaptive execution.
+
+    The joins here and below are told to merge. Spark takes the signatures for as large as the words' compressed file,
+    though each word has twenty, and would broadcast them.
     """
     signed = _signed(words.select("word", "n"), least)
     left = signed.select("key", F.col("word").alias("a"), F.col("n").alias("a_n"))
     right = signed.select("key", F.col("word").alias("b"), F.col("n").alias("b_n"))
     close = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)
-    return left.join(right, "key").where(close).groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+    return left.join(right.hint("merge"), "key").where(close).groupBy("a", "b").agg(F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
 
 
 def spelling_forms(words: DataFrame, least: int = LEAST, times: int = TIMES) -> DataFrame:
@@ -178,7 +181,7 @@ def spelling_forms(words: DataFrame, least: int = LEAST, times: int = TIMES) ->
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("b_n").alias("other_n")), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("a_n").alias("other_n")))).alias("x")).select("x.*")
     near = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("other_n")).alias("less"), "other")).alias("best"))
     formed = F.col("best").isNotNull() & (-F.col("best.less") >= F.col("n") * times)
-    rows = sound.join(near, "word", "left").select(
+    rows = sound.join(near.hint("merge"), "word", "left").select(
         "word",
         F.when(formed, F.col("best.other")).alias("form"),
         "n",
@@ -187,7 +190,7 @@ def spelling_forms(words: DataFrame, least: int = LEAST, times: int = TIMES) ->
     )
     rows = written(rows, "forms")
     roots = _roots(rows.where("form is not null").select("word", F.col("form").alias("root")), rows, times)
-    return rows.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return rows.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def _roots(links: DataFrame, rows: DataFrame, times: int) -> DataFrame:
@@ -199,7 +202,7 @@ def _roots(links: DataFrame, rows: DataFrame, times: int) -> DataFrame:
     step = 1
     while step < longest:
         ahead = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        links = written(links.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
+        links = written(links.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root")), "roots")
         step *= 2
     return links
 

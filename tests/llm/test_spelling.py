@@ -105,6 +105,18 @@ def test_all_pairs_of_a_dense_vocabulary(spark):
     assert got == {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if one_edit(a, b)}
 
 
+def test_no_table_of_words_is_broadcast(spark):
+    # a small file of words stands for twenty times as many signatures
+    words = {"abcdefgh": 2000, "abcdefgi": 150, "abcdefji": 12, "abcdekji": 1, "zzzzzzzz": 3}
+    pairs = near_pairs(spark.createDataFrame(list(words.items()), "word string, n long"))
+    forms = spelling_forms(spark.createDataFrame(list(words.items()), "word string, n long"))
+    for df, joins in ((pairs, 1), (forms, 1)):
+        found = df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert found and "Broadcast" not in plan and plan.split("Initial Plan")[0].count("SortMergeJoin") == joins
+    assert ordered(map(tuple, forms.collect())) == expected(words)
+
+
 def test_near_words_share_a_key():
     rng = random.Random(7)
     for _ in range(300):
